@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import language
+from skysweep.llm import language, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -23,5 +23,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).selectExpr("doc_id", f"{held_out(4, 2)} as held_out", "lang_pred", "score", "letters_score")
 
 
-QUERIES = {"op1_language_id": op1_language_id}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id text")
+    labels = table(spark, sf_dir, "labels", "doc_id toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    lexicon = toxicity.fit(docs, labels.where(f"not {held_out(5, 0)}"))
+    return toxicity.scored(docs, lexicon, ["doc_id"]).selectExpr("doc_id", f"{held_out(5, 0)} as held_out", "score", "int(score >= 0.5) as predicted", "hits", "words")
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_toxicity": op2_toxicity}
 ORACLES: dict[str, str] = {}
