@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import language, toxicity
+from skysweep.llm import language, neardup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -30,5 +30,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, lexicon, ["doc_id"]).selectExpr("doc_id", f"{held_out(5, 0)} as held_out", "score", "int(score >= 0.5) as predicted", "hits", "words")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_toxicity": op2_toxicity}
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id text"), k=3, percent=85)
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op3_minhash_dedup": op3_minhash_dedup,
+}
 ORACLES: dict[str, str] = {}
