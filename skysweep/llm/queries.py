@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import language, mixing, neardup, toxicity
+from skysweep.llm import embdup, language, mixing, neardup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -38,10 +38,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id text source"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.integers(table(spark, sf_dir, "embeddings", "vec_id embedding"))
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id embedding label"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_mixing": op4_mixing,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op7_embedding_dedup": op7_embedding_dedup,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op7_embedding_dedup": embdup.ORACLE}
