@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import embdup, language, mixing, neardup, topk, toxicity
+from skysweep.llm import embdup, language, mixing, neardup, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -43,16 +43,28 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id text"), window=13)
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id embedding label"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id url html")
+    files = warc.write_archive(pages, warc.archive_folder(pages), min_revisit=0)
+    return warc.read_archive(files, pages.schema["page_id"].dataType.simpleString()).drop("url")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_mixing": op4_mixing,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_warc": op8_warc,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op7_embedding_dedup": embdup.ORACLE}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}
