@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import embdup, language, mixing, neardup, substrings, topk, toxicity, warc
+from skysweep.llm import embdup, language, mixing, neardup, packing, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(files, pages.schema["page_id"].dataType.simpleString()).drop("url")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id source text"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -66,5 +70,6 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}
