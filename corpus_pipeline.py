@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Null and empty texts go in the first
+stage; an empty table stays empty. Columns that the stages don't know are carried along.
 """
 
 from __future__ import annotations
@@ -8,26 +9,62 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import skysweep
-from skysweep.llm import language
-from skysweep.llm.common import shared_dir
+from skysweep.llm import language, mixing, neardup, packing, pii
+from skysweep.llm.common import shared_dir, written
 from skysweep.llm.queries import held_out
 
-#: Below this posterior no language explains a text well enough.
+#: Below this posterior no language explains a text better than the others together.
 LEAST_POSTERIOR = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in one of the languages learned from labelled rows; texts without letters, null texts and texts that
-    no language explains better than the others together go."""
+    """Keeps the documents in one of the languages learned from labelled rows; null texts, texts without letters and texts that no language explains go."""
     skysweep.ship(spark)
     model = language.fit(docs.where(f"not {held_out(4, 2)} and doc_id is not null"))
     kept = language.identify(docs, model, keep=docs.columns).where(f"lang_pred <> 'und' and score >= {LEAST_POSTERIOR}")
     return kept.select(*docs.columns)
 
 
-STAGES = [("language_id", language_stage)]
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more), and one row of
+    an id that repeats. Rows without an id are kept: nothing is known to be their copy."""
+    skysweep.ship(spark)
+    kept = written(neardup.near_duplicates(docs, k=5, percent=80).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
+    once = docs.join(kept.where("_n = 1 or _id is null"), F.expr("doc_id <=> _id"), "left_semi")
+    repeated = kept.where("_n > 1 and _id is not null")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(docs.join(repeated, F.expr("doc_id = _id"), "left_semi").dropDuplicates(["doc_id"]))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts surrogates in the place of personal data and secrets."""
+    changed = pii.replace_entities(docs).select(*docs.columns)
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its share of the mix asks for, to the nearest whole number of times: 0 to 3 equal rows."""
+    mixed = mixing.mix(docs, keep=docs.columns).where("2 * taken >= size and taken > 0")
+    return mixed.withColumn("times", F.explode(F.expr("sequence(1L, cast(round(taken / size) as bigint))"))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    skysweep.ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_duplicates", dedup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 #: The stages fit a model, hash with seeds and cut token sequences; DuckDB can't express them.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import embdup, language, mixing, neardup, packing, substrings, topk, toxicity, warc
+from skysweep.llm import embdup, language, mixing, neardup, packing, pii, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id source text"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id text"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -71,5 +75,6 @@ QUERIES = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}
