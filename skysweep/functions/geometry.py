@@ -49,6 +49,7 @@ def beam(rows: DataFrame) -> DataFrame:
 
 def xy_to_sample_pulse(x: str, y: str) -> dict[str, Column]:
     """1-based sample and pulse of a point, for scans with sample_dist, first_sample_dist, pulses, bearing_offset and tilt."""
+    x, y = f"({x})", f"({y})"
     return {
         "sample": F.expr(f"1 + cast(floor(sqrt({x} * {x} + {y} * {y}) / (sample_dist * cos(radians(tilt))) - first_sample_dist / sample_dist) as int)"),
         "pulse": F.expr(f"1 + cast(floor(pmod({PI} / 2 - atan2({y}, {x}) + (180D / pulses - bearing_offset) * {PI} / 180, 2 * {PI}) / (2 * {PI}) * pulses) as int)"),
