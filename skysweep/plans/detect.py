@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame
 
 from skysweep.functions.geometry import pulse_table
+from skysweep.functions.stored import stored
 from skysweep.operators import background as B
 from skysweep.operators import filters as Z
 from skysweep.operators import patches as E
@@ -79,14 +80,14 @@ def scored_samples(pulses: DataFrame, params: FindParams, keys: list[str] | None
     """Samples with scores by the statistics valid before their scan."""
     samples = explode_samples(B.noise_filter(pulses, params.noise_cutoff) if params.noise_cutoff else pulses)
     cells = B.scan_cell_stats(samples, params.cell_size, keys)
-    stats = B.ewma_cell_stats(cells, params.learn_scans, params.decay, keys).persist()  # the only ordered step: one row per cell and scan
+    stats = stored(B.ewma_cell_stats(cells, params.learn_scans, params.decay, keys))  # the only ordered step: one row per cell and scan
     return B.score_samples(samples, stats, params.cell_size, keys)
 
 
 def runs_of(classified: DataFrame, scans: DataFrame, params: FindParams) -> DataFrame:
     """Runs with patch_id, of patches of more than one sample."""
-    runs = E.hot_runs(classified, scans).persist()  # read again for adjacency, samples and perimeter; a small part of the samples
-    return E.drop_singletons(E.find_patches(runs, E.run_adjacency(runs, scans, params.diagonal))).persist()
+    runs = stored(E.hot_runs(classified, scans))  # read again for adjacency, samples and perimeter; a small part of the samples
+    return stored(E.drop_singletons(E.find_patches(runs, E.run_adjacency(runs, scans, params.diagonal))))
 
 
 def measured(runs: DataFrame, scored: DataFrame, scans: DataFrame, params: BlipParams) -> DataFrame:
