@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysweep.llm.common import blocks, written
+from skysweep.llm.common import blocks, hashed_words, written
 
 #: Sequences in a window; words whose ids a worker remembers; documents in a part of a queue.
-WINDOW, REMEMBERED, PART = 32, 250_000, 20_000
-_KNOWN: dict[tuple[str, int], dict[bytes, bytes]] = {}
+WINDOW, REMEMBERED, PART = 32, 2_000_000, 20_000
+_KNOWN: dict[tuple[str, int], Words] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,27 +47,66 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) ->
         path = tokenizer or tokenizer_path()
         model = Tokenizer.from_file(path)
         kind = np.dtype("<u2") if max(model.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
-        known = _KNOWN.setdefault((path, kind.itemsize), {})
-        end = np.array([end_id], kind).tobytes()
+        words = _KNOWN.setdefault((path, kind.itemsize), Words(kind))
         for batch in batches:
-            for a, b, data, ends in blocks(batch.column("text"), 1 << 19):
-                raw, begin, texts = data.tobytes(), 0, []
-                for stop in ends.tolist():
-                    texts.append(raw[begin:stop].split())
-                    begin = stop
-                new = list({w for words in texts for w in words}.difference(known))
-                own = {w: np.array(x.ids, kind).tobytes() for w, x in zip(new, model.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True)}
-                if len(known) < REMEMBERED:
-                    known |= own
-                    ids = [b"".join(map(known.__getitem__, words)) + end for words in texts]
-                else:
-                    ids = [b"".join([known[w] if w in known else own[w] for w in words]) + end for words in texts]
-                n = [len(x) // kind.itemsize for x in ids]
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "source": batch.column("source").slice(a, b - a), "n": pa.array(n, pa.int64()), "width": pa.array([kind.itemsize] * len(n), pa.int32()), "ids": pa.array(ids, pa.binary())})
+            for a, b, data, ends in blocks(batch.column("text")):
+                hashes, starts, stops, counts = hashed_words(data, ends, False)
+                ids, per_word = words.ids(model, data, hashes, starts, stops)
+                total = np.concatenate(([0], np.cumsum(per_word)))[counts]
+                ids = np.insert(ids, total, end_id)
+                cuts = (np.concatenate(([0], total + np.arange(1, len(total) + 1))) * kind.itemsize).astype(np.int32)
+                n = np.diff(cuts) // kind.itemsize
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(ids.astype(kind))])
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(a, b - a), "source": batch.column("source").slice(a, b - a), "n": pa.array(n, pa.int64()), "width": pa.array(np.full(len(n), kind.itemsize), pa.int32()), "ids": packed})
 
     return docs.select("doc_id", "source", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, n long, width int, ids binary")
 
 
+def encoded(model, texts: list[str], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and how many each has. Texts without special tokens are joined by one, 500 at a time: that is quicker than one by one."""
+    special = [(x.content, i) for i, x in model.get_added_tokens_decoder().items()]
+    plain = bool(special) and not any(s in x for s, _ in special for x in texts)
+    if not plain:
+        lists = [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in lists for i in x], kind), np.array([len(x) for x in lists], np.int64)
+    mark, number = special[0]
+    ids, sizes = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for a in range(0, len(texts), 500):
+        some = np.array(model.encode_batch_fast([mark.join(texts[a : a + 500])], add_special_tokens=False)[0].ids, kind)
+        marks = np.flatnonzero(some == number)
+        sizes.append(np.diff(np.concatenate(([-1], marks, [len(some)]))) - 1)
+        ids.append(some[some != number])
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+class Words:
+    """Ids of words by their 64-bit hashes, in flat arrays; the first REMEMBERED words of a worker stay for its next tasks."""
+
+    def __init__(self, kind: np.dtype):
+        self.hashes, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+
+    def ids(self, model, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has."""
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        have = at < len(self.hashes)
+        have[have] = self.hashes[at[have]] == distinct[have]
+        new = np.flatnonzero(~have)
+        raw = data.tobytes()
+        texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)]
+        fresh, sizes = encoded(model, texts, self.flat.dtype)
+        flat = np.concatenate((self.flat, fresh))
+        begin, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        begin[have], count[have] = self.starts[at[have]], self.sizes[at[have]]
+        begin[new], count[new] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        if len(self.hashes) < REMEMBERED and len(new):
+            self.starts, self.sizes = np.insert(self.starts, at[new], begin[new]), np.insert(self.sizes, at[new], sizes)
+            self.hashes, self.flat = np.insert(self.hashes, at[new], distinct[new]), flat
+        per_word = count[where]
+        before = np.cumsum(per_word) - per_word
+        return flat[np.repeat(begin[where] - before, per_word) + np.arange(int(per_word.sum()))], per_word
+
+
 class Rounds:
     """The windows of all sources: ids that a source has served after k windows, and where its slice of a window lies on the line."""
 
