@@ -70,7 +70,8 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
     begin with "_"."""
     keep = keep or ["doc_id"]
     mark = F.expr(f"md5(cast(concat('{seed}:', coalesce(cast(doc_id as string), '')) as binary))")
-    rows = written(docs.select(*keep, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), mark.alias("_mark"), word_count().alias("_size")))
+    rows = docs.select(*keep, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), mark.alias("_mark"), word_count().alias("_size"))
+    rows = rows if "text" in keep else written(rows)  # texts are rather counted twice than stored twice
     totals = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"))
     sources = (
         source_targets(totals, weights, max_repeat)
@@ -79,21 +80,22 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
         .withColumn("seats", F.expr("sum(source_size) over () div block"))
     )
     sources = apportioned(sources.where("target > 0"), ["block", "seats"], ["source"], "target", "seats").withColumnRenamed("quota", "source_quota").unionByName(sources.where("target = 0").withColumn("source_quota", F.lit(0).cast("bigint")))
-    sources = written(sources.select(F.col("source").alias("_s"), "source_size", "target", "shards", "block", "source_quota"))
+    number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).alias("_sid")  # a key that is never null
+    sources = written(sources.select(number, F.col("source").alias("_s"), "source_size", "target", "shards", "block", "source_quota"))
     rows = rows.join(sources, F.expr("_source <=> _s")).withColumn("_shard", F.expr("pmod(cast(conv(substr(_mark, 1, 8), 16, 10) as bigint), shards)"))
 
-    shards = rows.groupBy("_s", "_shard", "block", "source_quota").agg(F.sum("_size").alias("words")).where("words > 0")
-    quotas = apportioned(shards, ["_s", "source_quota"], ["_shard"], "words", "source_quota")
+    shards = rows.groupBy("_sid", "_s", "_shard", "block", "source_quota").agg(F.sum("_size").alias("words")).where("words > 0")
+    quotas = apportioned(shards, ["_sid", "source_quota"], ["_shard"], "words", "source_quota")
     quotas = quotas.withColumn("blocks", F.expr("greatest(1L, cast(round(cast(words as double) / block) as bigint))")).withColumn("quota", F.expr(f"least(quota, {max_repeat} * blocks)"))
     once_more = (
         quotas.withColumn("_block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .withColumn("_rank", F.expr(f"row_number() over (partition by _s, _shard order by md5(cast(concat('{seed}:', coalesce(_s, ''), ':', cast(_shard as string), ':', cast(_block as string)) as binary)))"))
-        .groupBy("_s", "_shard", "words", "blocks", "quota")
+        .withColumn("_rank", F.expr(f"row_number() over (partition by _sid, _shard order by md5(cast(concat('{seed}:', coalesce(_s, ''), ':', cast(_shard as string), ':', cast(_block as string)) as binary)))"))
+        .groupBy("_sid", "_shard", "words", "blocks", "quota")
         .agg(F.expr("collect_list(case when _rank <= quota % blocks then _block end)").alias("more"))
-        .select(F.col("_s").alias("_qs"), F.col("_shard").alias("_qshard"), "words", "blocks", "quota", "more")
+        .select(F.col("_sid").alias("_qsid"), F.col("_shard").alias("_qshard"), "words", "blocks", "quota", "more")
     )
-    line = Window.partitionBy("_s", "_shard").orderBy("_mark", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("_end", F.sum("_size").over(line)).join(once_more, F.expr("_s <=> _qs and _shard = _qshard"), "left")
+    line = Window.partitionBy("_sid", "_shard").orderBy("_mark", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_end", F.sum("_size").over(line)).join(once_more, F.expr("_sid = _qsid and _shard = _qshard"), "left")
     # block j is [j * words div blocks, (j + 1) * words div blocks)
     first, last = "((_end - _size) * blocks div words)", "(_end * blocks div words + 1)"
     overlap = "greatest(0L, least(_end, (j + 1) * words div blocks) - greatest(_end - _size, j * words div blocks))"

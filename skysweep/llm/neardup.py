@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysweep.llm.common import blocks, components, hashed_words, mixed, sequences, written
+from skysweep.llm.common import blocks, components, dropped, hashed_words, mixed, sequences, written
 
 BANDS, ROWS, MANTISSA = 40, 7, 10
 REGISTERS = BANDS * ROWS
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     regs = reps.select("doc_id", "n_shingles", "regs")
     rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     shared = rows.groupBy("band").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("first")).where("c > 1")
-    left = written(rows.join(shared, "band").select("band", "rep", "n", "first"))
+    left = stored = written(rows.join(shared, "band").select("band", "rep", "n", "first"))
     texts = docs.where("doc_id is not null")
     links = written(ties)
     # quick rounds: each class tries one other, first the smallest of its groups, then members of their largest components
@@ -301,12 +301,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for quick in range(1, QUICK + 2):
         near = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
         near = _confirmed(written(_estimated(near, regs, percent / 100)), sets, percent)
-        links = written(links.unionByName(near.selectExpr("b as u", "a as v")))
+        before, links = links, written(links.unionByName(near.selectExpr("b as u", "a as v")))
+        dropped(before)
         labels = components(links)
         # groups whose members are connected are done
         named = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
         open_ = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        left = written(named.join(open_, "band"))
+        before, left = stored, written(named.join(open_, "band"))
+        stored = left
+        dropped(before)
         # next, each class tries a member of the largest component in one of its groups
         sizes = left.groupBy("band", "component").agg(F.count("*").alias("size"), F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(quick))).alias("one"))
         lead = sizes.groupBy("band").agg(F.max_by(F.struct("component", "one"), F.struct("size", "component")).alias("lead"))
@@ -316,5 +319,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if not named.isEmpty():
         links = links.unionByName(_cluster_links(named, reps, sets, percent))
         labels = components(links)
-    out = own.select("doc_id", "n_shingles").join(member.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    slim = written(own.select("doc_id", "n_shingles"))
+    dropped(own, sets, stored)  # what is lazy from here on reads slim, member and labels
+    out = slim.join(member.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
