@@ -13,7 +13,7 @@ import skysweep  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}").getOrCreate()
+    session = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     skysweep.ship(session)
     return session
