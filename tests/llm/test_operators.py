@@ -118,6 +118,21 @@ def test_pii(spark):
     assert (got[4], got[5], got[6]) == (None, "", "clean +1 4.0. text")
 
 
+def test_pii_long_secrets(spark):
+    rng = random.Random(5)
+    signs = [rng.choice("abcdefghijkLMNOP") for _ in range(400)]
+    late = "".join(signs[:300]) + "7" + "".join(signs[300:])  # the only digit comes after 300 signs
+    long = "".join(rng.choice("abcdef0123456789") for _ in range(300))
+    rows = [(1, f"token = {long} end"), (2, f'password="{late}", end'), (3, f"api_key: {long}"), (4, "token = " + "a" * 300 + " end")]
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, value in ((1, long), (2, late), (3, long)):
+        text, n = got[i]
+        assert n == 1 and len(text) == len(dict(rows)[i])
+        assert not any(value[j : j + 12] in text for j in range(len(value) - 11))
+    assert got[1][0].endswith(" end") and got[2][0].startswith('password="') and got[2][0].endswith('", end')
+    assert got[1][0].split()[2] == got[3][0].split()[1] and got[4] == (rows[3][1], 0)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
