@@ -3,7 +3,8 @@
 1. Sources in code-point order (null last) get the weights in turn; a source's target is its share of all words, and stops at
    max_repeat times its size, the excess reshared by weight.
 2. All words make equal blocks. They are apportioned to the sources by their targets, and a source's to its shards by their words, each time by the Sainte-Laguë rule: a block goes to the highest
-   quotient weight / (2 * blocks so far + 1). The quotas are integers.
+   quotient weight / (2 * blocks so far + 1). The quotas are integers. A source of fewer than FEW blocks a shard, or with a target of fewer than FEW, cuts finer blocks of
+   its own and takes as many as its target holds; the other sources share the rest.
 3. A shard holds the documents of one source with one hash of the id. In seeded order they form a line of words, cut into equal
    blocks. A shard with quota q and b blocks takes each block q div b times, and q mod b blocks, picked by a seeded hash, once
    more. A document's words taken are those of its part in the taken blocks, at most max_repeat times its size.
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from skysweep.llm.common import written
 
+#: Blocks a shard, or a target, under which a source has blocks of its own.
+FEW = 100
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -77,9 +80,13 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
         source_targets(totals, weights, max_repeat)
         .withColumn("shards", F.expr(f"greatest(source_size div {shard_words}, n div {shard_words // 20}) + 1"))
         .withColumn("block", F.expr(f"greatest(1L, sum(source_size) over () div (sum(shards) over () * {shard_blocks}L))"))
-        .withColumn("seats", F.expr("sum(source_size) over () div block"))
+        .withColumn("few", F.expr(f"target > 0 and block > 1 and (source_size < block * shards * {FEW} or target < block * {FEW})"))
+        .withColumn("few_words", F.expr("cast(round(coalesce(sum(case when few then target end) over (), 0D)) as bigint)"))
+        .withColumn("seats", F.expr("(sum(source_size) over () - few_words) div block"))
+        .withColumn("block", F.expr(f"case when few then greatest(1L, least(source_size div (shards * {shard_blocks}L), cast(target as bigint) div {shard_blocks}L)) else block end"))
     )
-    sources = apportioned(sources.where("target > 0"), ["block", "seats"], ["source"], "target", "seats").withColumnRenamed("quota", "source_quota").unionByName(sources.where("target = 0").withColumn("source_quota", F.lit(0).cast("bigint")))
+    own = sources.where("few or target = 0").withColumn("source_quota", F.expr("cast(round(target / block) as bigint)"))
+    sources = apportioned(sources.where("target > 0 and not few"), ["block", "seats"], ["source"], "target", "seats").withColumnRenamed("quota", "source_quota").unionByName(own)
     number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).alias("_sid")  # a key that is never null
     sources = written(sources.select(number, F.col("source").alias("_s"), "source_size", "target", "shards", "block", "source_quota"))
     rows = rows.join(sources, F.expr("_source <=> _s")).withColumn("_shard", F.expr("pmod(cast(conv(substr(_mark, 1, 8), 16, 10) as bigint), shards)"))

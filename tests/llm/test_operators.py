@@ -107,6 +107,19 @@ def test_mixing(docs):
     assert all(abs(taken[s] - t) <= max(8, 0.02 * t) for s, t in target.items())
 
 
+def test_mixing_small_sources(spark):
+    """Sources of a few words beside large ones: under half a block, about one block, and some blocks of the others' size."""
+    sizes = {"large": [4000] * 500, "other": [4000] * 250, "tiny": [10] * 10, "small": [20] * 70, "some": [50] * 100}
+    rows = [(s, n) for s, ns in sizes.items() for n in ns]
+    docs = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(rows)], "doc_id long, source string, n int").selectExpr("doc_id", "source", "repeat('w ', n) as text")
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs, keep=["doc_id", "source"], shard_words=10_000_000).collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(target[s] > 0 and abs(taken[s] - t) <= max(8, 0.02 * t) for s, t in target.items()), (taken, target)
+
+
 def test_pii(spark):
     rows = [(1, "call +1 (988) 555-2485 or 988-555-2485"), (2, "card 4041894974608795 not 4041894974608796, ip 42.144.35.254."), (3, "Mr John Smith and Mrs Smith, a.b@x.com"), (4, None), (5, ""), (6, "clean +1 4.0. text")]
     got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
