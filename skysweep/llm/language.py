@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,15 +80,15 @@ class Pieces:
                 a[:, j + 1] += a[:, j - k] * self._weights(ids, j, k)
         return a
 
-    def learn(self, words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, rounds: int = 4) -> None:
-        """Expectation-maximisation on padded words and their counts in each language."""
+    def learn(self, signs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, rounds: int = 4) -> None:
+        """Expectation-maximisation on words, runs of the signs, and their counts in each language."""
         order = np.argsort(sizes, kind="stable")
         for _ in range(rounds):
             seen = np.zeros_like(self.chance)
             for a in range(0, len(order), 8192):
                 rows = order[a : a + 8192]
-                width = int(sizes[rows].max())
-                ids, n = self.ids(words[rows, :width]), sizes[rows]
+                words, n = padded(signs, starts[rows], sizes[rows]), sizes[rows] + 1
+                ids, width = self.ids(words), words.shape[1]
                 fwd = self.forward(ids, width)
                 back = np.zeros_like(fwd)
                 back[np.arange(len(rows)), n] = 1
@@ -170,11 +170,14 @@ def _groups(batch: pa.RecordBatch, at_most: int = 1 << 20) -> Iterator[tuple[int
 
 
 def fit(rows: DataFrame, vocabulary: str | None = None, max_rows: int = 4000, max_words: int = 120_000) -> Pieces:
-    """Learns from rows (lang, text): about max_rows of them, picked by a hash of the text, and their max_words most frequent
-    (word, language) pairs. Rows with a null are left out. Both bounds hold the driver's share to a fixed size."""
-    rows = rows.select("lang", "text").where("lang is not null and text is not null")
-    share = min(1.0, max_rows / max(1, rows.count()))
-    rows = rows.where(F.expr(f"pmod(xxhash64(text, 'fit'), 1048576) < {int(share * 1048576) + 1}"))
+    """Learns from rows (lang, text): of each language about max_rows rows with a letter, picked by a hash of the text (all of
+    them, and at least one, if it has fewer), and its max_words most frequent words, ties by a hash. Rows with a null are left
+    out. Both bounds hold the driver's share to a fixed size a language."""
+    rows = rows.select("lang", "text").where("lang is not null and text is not null and text rlike '\\\\p{L}'")
+    rows = rows.withColumn("place", F.expr("pmod(xxhash64(text, 'fit'), 1048576)"))
+    picked = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least"))
+    picked = picked.selectExpr("lang", f"greatest(least, cast(1048576 * least(1D, {max_rows}D / n) as bigint)) as last")
+    rows = rows.join(F.broadcast(picked), "lang").where("place <= last").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +191,8 @@ def fit(rows: DataFrame, vocabulary: str | None = None, max_rows: int = 4000, ma
                 yield pa.record_batch({"lang": [k[0] for k in n], "word": [k[1].decode("utf-32-le") for k in n], "n": pa.array(n.values(), pa.int64())}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
     words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    got = words.orderBy(F.desc("n"), "word", "lang").limit(max_words).toPandas()
+    by_n = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word")
+    got = words.withColumn("place", F.row_number().over(by_n)).where(f"place <= {max_words}").drop("place").toPandas()
     languages = sorted(got.lang.unique())
     model = Pieces(pieces(vocabulary), languages)
     table = got.pivot(index="word", columns="lang", values="n").fillna(0)
@@ -196,7 +200,7 @@ def fit(rows: DataFrame, vocabulary: str | None = None, max_rows: int = 4000, ma
         texts = list(table.index)
         signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         sizes = np.array([len(x) for x in texts])
-        model.learn(padded(signs, np.cumsum(sizes) - sizes, sizes), sizes + 1, table[languages].to_numpy())
+        model.learn(signs, np.cumsum(sizes) - sizes, sizes, table[languages].to_numpy())
     return model
 
 

@@ -186,6 +186,18 @@ def test_language_and_toxicity(spark):
     assert scored == {1: 3.0, 2: 0.0, 3: 0.0}
 
 
+def test_rare_language_stays(spark):
+    """A rare language beside a frequent one, under bounds on rows and words that the frequent one alone exceeds."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeinrst") for _ in range(5)) for _ in range(400)]
+    train = [("en", " ".join(rng.choice(words) for _ in range(8))) for _ in range(3000)] + [("ru", "дом и сад стоят там"), ("ru", "сад и дом"), ("el", "το σπίτι")] + [("en", "12 34")]
+    model = language.fit(spark.createDataFrame(train, "lang string, text string"), max_rows=50, max_words=100)
+    assert model.languages == ["el", "en", "ru"]
+    rows = [(1, "там дом и сад"), (2, f"{words[0]} {words[1]}"), (3, "το σπίτι")]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: "ru", 2: "en", 3: "el"}
+
+
 def test_components_and_empty_tables(spark, docs):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (7, 7)], "u long, v long")
     assert {r.node: r.component for r in components(edges).collect()} == {1: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
