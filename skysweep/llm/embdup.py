@@ -4,7 +4,8 @@ A vector is scaled to length 1 and rotated at random; its code is the signs, kep
 and with it a bound on the estimate's error.
 
 1. Equal vectors of one label form a class.
-2. Samples of the code's bits are the keys of TABLES hash tables per label; there are as many tables as give a pair at the threshold a chance under MISS to share none.
+2. Signs of products with random normal directions are the keys of hash tables per label. No two bits of any table share a direction, so all bits are independent, and there
+   are as many tables as give a pair at the threshold a chance under MISS to share none.
 3. In each bucket all classes are compared with the smallest one. Those within half the threshold's angle join its ball: by the
    triangle inequality all vectors of a ball are linked, and need no comparison.
 4. Balls that share a bucket are compared. Estimates whose upper confidence bound lies below what a link needs end a pair; the others are computed exactly, and the triangle
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from skysweep.llm.common import components, mixed, written
 from skysweep.llm.topk import FINITE
 
-MISS, POOL, CODE = 1e-6, 512, 256
+MISS, CODE = 1e-6, 256
+#: Key bits worked out at once.
+STEP = 4096
 #: Standard deviations in an estimate's confidence bound.
 DEVIATIONS = 6.0
 #: Balls of a bucket that a round compares with all others.
@@ -37,17 +40,28 @@ SLACK = 1e-6
 
 
 def rotations(width: int, seed: int = 7) -> np.ndarray:
-    """(width, POOL): random rotations side by side, each orthonormal."""
+    """(width, CODE): random rotations side by side, each orthonormal."""
     rng, out = np.random.default_rng(seed), []
-    while sum(x.shape[1] for x in out) < POOL:
+    while sum(x.shape[1] for x in out) < CODE:
         out.append(np.linalg.qr(rng.standard_normal((max(1, width), max(1, width))))[0])
-    return np.concatenate(out, 1)[:, :POOL]
+    return np.concatenate(out, 1)[:, :CODE]
+
+
+def table_keys(unit: np.ndarray, tables: int, bits: int, seed: int = 11) -> np.ndarray:
+    """(vectors, tables): the sign bits of each table, every bit with a direction of its own."""
+    out, step = np.empty((len(unit), tables), np.uint64), max(1, STEP // bits)
+    for a in range(0, tables, step):
+        n = min(step, tables - a)
+        directions = np.random.default_rng((seed, a)).standard_normal((unit.shape[1], n * bits))
+        signs = (unit @ directions > 0).reshape(len(unit), n, bits)
+        out[:, a : a + n] = (signs.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2)
+    return out
 
 
 def coded(unit: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signs of the whole pool, the CODE first rotated components as a vector of length 1, and the correction factors."""
+    """Signs of the CODE rotated components, these components as a vector of length 1, and the correction factors."""
     turned = unit @ rotation
-    code = turned[:, :CODE] / np.maximum(np.linalg.norm(turned[:, :CODE], axis=1), 1e-300)[:, None]
+    code = turned / np.maximum(np.linalg.norm(turned, axis=1), 1e-300)[:, None]
     return turned > 0, code, np.abs(code).sum(1) / math.sqrt(CODE)
 
 
@@ -93,6 +107,13 @@ def _unsettled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, "va", "cb", "fb").mapInArrow(keep, pairs.schema)
 
 
+def table_sizes(classes: int, threshold: float = 0.93, miss: float = MISS) -> tuple[int, int]:
+    """Bits of a key and tables, for so many classes in the largest label."""
+    bits = min(40, max(12, math.ceil(math.log2(max(2, classes))) + 3))
+    alike = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, math.ceil(math.log(miss) / math.log1p(-alike))
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, miss: float = MISS) -> DataFrame:
     """One row per row of rows (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     usable = f"label is not null and {FINITE} and exists(embedding, x -> x <> 0)"
@@ -100,13 +121,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, miss: float = MISS
     grouped = rows.where("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     shape = grouped.groupBy("label").agg(F.count("*").alias("c"), F.max(F.size("embedding")).alias("d")).agg(F.max("c").alias("c"), F.max("d").alias("d")).first()
     width = shape.d or 1
-    bits = min(40, max(12, math.ceil(math.log2(max(2, shape.c or 2))) + 3))
-    alike = (1 - math.acos(threshold) / math.pi) ** bits
-    tables = math.ceil(math.log(miss) / math.log1p(-alike))
+    bits, tables = table_sizes(shape.c or 2, threshold, miss)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotation, rng = rotations(width), np.random.default_rng(11)
-        picked = np.stack([rng.choice(POOL, bits, replace=False) for _ in range(tables)])
+        rotation = rotations(width)
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
@@ -116,9 +134,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, miss: float = MISS
                 table /= np.abs(table).max(1)[:, None]
                 unit = table / np.linalg.norm(table, axis=1)[:, None]
                 signs, code, factor = coded(unit, rotation)
-                keys = (signs[:, picked].astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2) ^ part.column("label").to_numpy().view(np.uint64)[:, None]
+                keys = table_keys(unit, tables, bits) ^ part.column("label").to_numpy().view(np.uint64)[:, None]
                 keys = mixed(keys + mixed(np.arange(1, tables + 1, dtype=np.uint64))[None, :]).view(np.int64)
-                bits_ = np.packbits(signs[:, :CODE], axis=1)
+                bits_ = np.packbits(signs, axis=1)
                 yield pa.record_batch({"cid": part.column("cid"), "n": part.column("n"), "least": part.column("least"), "unit": pa.array([x.tobytes() for x in unit], pa.binary()), "rotated": pa.array([x.tobytes() for x in code.astype(np.float32)], pa.binary()), "code": pa.array([x.tobytes() for x in bits_], pa.binary()), "factor": pa.array(factor, pa.float64()), "keys": pa.array(list(keys), pa.list_(pa.int64()))})
 
     form = f"cid long, n long, least {rows.schema['vec_id'].dataType.simpleString()}, unit binary, rotated binary, code binary, factor double, keys array<long>"

@@ -166,6 +166,19 @@ def test_embeddings(spark):
         assert [(i, s) for _, i, s in sorted(found)] == [(i, -s) for s, i in want]
 
 
+def test_embedding_tables_are_independent():
+    """Pairs at the threshold meet in as many tables as independent tables would give: same mean, and the spread of a binomial."""
+    bits, tables = embdup.table_sizes(100_000)
+    rng, n = np.random.default_rng(4), 2000
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in rng.standard_normal((2, n, 64)))
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    shared = np.concatenate([(embdup.table_keys(a[i : i + 500], tables, bits) == embdup.table_keys(b[i : i + 500], tables, bits)).sum(1) for i in range(0, n, 500)])
+    alike = (1 - np.arccos(0.93) / np.pi) ** bits
+    assert abs(shared.mean() / (tables * alike) - 1) < 0.05
+    assert abs(shared.var() / (tables * alike * (1 - alike)) - 1) < 0.15
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, "http://b c", "<p>x</p>"), (3, None, None), (4, "http://d", ""), (5, "u", "é" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
