@@ -43,7 +43,7 @@ def beam(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_vx": F.expr("1 + sin(_e) - _uy"), "_vy": F.col("_ux"), "_vz": F.expr("-sin(_a) * cos(_e)")})
     rows = rows.withColumns({f"_b{c}": F.expr(f"cos(_t) * (cos(_o) * _u{c} + sin(_o) * _v{c}) + sin(_t) * _r{c}") for c in "xyz"})
     rows = rows.withColumns({"_wx": F.expr("_by * _rz - _bz * _ry"), "_wy": F.expr("_bz * _rx - _bx * _rz"), "_wz": F.expr("_bx * _ry - _by * _rx")})
-    out = {"azi": "pmod(450 - degrees(atan2(_by, _bx)), 360D)", "elev": "degrees(asin(greatest(-1D, least(1D, _bz))))", "wg_azi": "pmod(450 - degrees(atan2(_wy, _wx)), 360D)", "wg_elev": "degrees(asin(greatest(-1D, least(1D, _wz / sqrt(_wx * _wx + _wy * _wy + _wz * _wz)))))"}
+    out = {"azi": "pmod(450 - degrees(atan2(_by, _bx)), 360D)", "elev": "degrees(asin(greatest(-1D, least(1D, _bz))))", "wg_azi": "pmod(450 - degrees(atan2(_wy, _wx)), 360D)", "wg_elev": "degrees(asin(greatest(-1D, least(1D, try_divide(_wz, sqrt(_wx * _wx + _wy * _wy + _wz * _wz))))))"}
     return rows.withColumns({k: F.expr(v) for k, v in out.items()}).drop(*[c for c in rows.columns if c.startswith("_")])
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysweep.functions.stored import dropped, stored
 from skysweep.operators.background import HOT
 
 SCAN = ["source_id", "run_id", "scan_id"]
@@ -44,7 +45,7 @@ def find_patches(runs: DataFrame, adjacency: DataFrame, method: str = "grouped")
     """runs with patch_id: the smallest run number connected to the run.
 
     grouped: the runs and pairs of one scan (10^3 to 10^4) are joined by union-find in one task per scan. dataframe: smallest labels spread along the pairs, for scans too
-    large for that; every round is a join and its result a checkpoint."""
+    large for that; every round is a join and its result a stored table."""
     if method == "dataframe":
         return _spread(runs, adjacency)
     both = runs.select(*SCAN, F.col("run_no").alias("a"), F.col("run_no").alias("b")).unionByName(adjacency.select(*SCAN, "a", "b"))
@@ -82,15 +83,19 @@ def find_patches(runs: DataFrame, adjacency: DataFrame, method: str = "grouped")
 
 
 def _spread(runs: DataFrame, adjacency: DataFrame) -> DataFrame:
-    pairs = adjacency.select(*SCAN, "a", "b").unionByName(adjacency.select(*SCAN, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = runs.select(*SCAN, "run_no", F.col("run_no").alias("patch_id")).checkpoint()
+    pairs = stored(adjacency.select(*SCAN, "a", "b").unionByName(adjacency.select(*SCAN, F.col("b").alias("a"), F.col("a").alias("b"))))
+    table = stored(runs.select(*SCAN, "run_no", F.col("run_no").alias("patch_id")))
+    labels = table
     while True:
         near = pairs.join(labels.withColumnRenamed("run_no", "b"), [*SCAN, "b"]).groupBy(*SCAN, F.col("a").alias("run_no")).agg(F.min("patch_id").alias("_m"))
         new = labels.join(near, [*SCAN, "run_no"], "left").withColumn("_new", F.least("patch_id", "_m"))
         jump = labels.select(*SCAN, F.col("run_no").alias("_new"), F.col("patch_id").alias("_far"))
-        new = new.join(jump, [*SCAN, "_new"]).withColumn("_to", F.least("_new", "_far")).checkpoint()
+        new = stored(new.join(jump, [*SCAN, "_new"]).withColumn("_to", F.least("_new", "_far")))
         if new.where("_to <> patch_id").isEmpty():
+            dropped(pairs, new)
             return runs.join(labels, [*SCAN, "run_no"])
+        dropped(table)
+        table = new
         labels = new.select(*SCAN, "run_no", F.col("_to").alias("patch_id"))
 
 

@@ -81,9 +81,9 @@ def blip_perimeter(samples: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def summarize_patches(samples: DataFrame, geometry: DataFrame, scans: DataFrame, area_weighting: bool = False) -> DataFrame:
-    """Another summary: centroid by area or by range-weighted intensity, intensity weighted by range, time at the mean pulse."""
+    """Another summary: centroid by area or by range-weighted intensity, intensity weighted by range, time at the mean pulse. Null where all weights are 0."""
     rows = samples.join(geometry.select(*SCAN, "pulse", "azi", "elev"), [*SCAN, "pulse"]).join(scans.select(*SCAN, *META), SCAN).withColumn("_r", F.expr("sample_dist * (col + 0.5D) + first_sample_dist"))
     rows = rows.withColumn("_w", F.col("_r") if area_weighting else F.expr("_r * value"))
     flat = "_w * _r * cos(radians(elev))"
     sums = rows.groupBy(*PATCH, "ts", "duration_ms", "pulses", "bits_per_sample").agg(F.count("*").cast("int").alias("ns"), F.sum("_w").alias("_sw"), F.sum("_r").alias("_sr"), F.sum(F.expr("_r * value")).alias("_srv"), F.sum(F.expr(f"{flat} * sin(radians(azi))")).alias("_sx"), F.sum(F.expr(f"{flat} * cos(radians(azi))")).alias("_sy"), F.avg("pulse").alias("_p"))
-    return sums.select(*PATCH, "ns", F.expr("_sx / _sw").alias("x"), F.expr("_sy / _sw").alias("y"), F.expr("_srv / _sr / (pow(2D, bits_per_sample) - 1)").alias("int"), F.expr("ts + duration_ms / 1000D * _p / pulses").alias("t"))
+    return sums.select(*PATCH, "ns", F.expr("try_divide(_sx, _sw)").alias("x"), F.expr("try_divide(_sy, _sw)").alias("y"), F.expr("try_divide(_srv, _sr) / (pow(2D, bits_per_sample) - 1)").alias("int"), F.expr("ts + duration_ms / 1000D * _p / pulses").alias("t"))

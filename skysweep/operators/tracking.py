@@ -38,7 +38,7 @@ def candidate_pairs(blips: DataFrame, frames: int = 2, max_speed_kmh: float = 10
     u = blips.select(*RUN, F.col("scan_id").alias("u_scan"), *[F.col(c).alias(f"u_{c}") for c in columns]).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(frames - 1)))).withColumn("v_scan", F.expr("u_scan + step"))
     v = blips.select(*RUN, F.col("scan_id").alias("v_scan"), *[F.col(c).alias(f"v_{c}") for c in columns])
     pairs = u.join(v, [*RUN, "v_scan"]).withColumn("dist", F.expr("sqrt(pow(u_x - v_x, 2) + pow(u_y - v_y, 2) + pow(u_z - v_z, 2))")).withColumn("dt", F.expr("v_t - u_t"))
-    return pairs.where(f"dt <> 0 and abs(dist / dt) <= {max_speed_kmh / 3.6!r}D")
+    return pairs.where(f"abs(try_divide(dist, dt)) <= {max_speed_kmh / 3.6!r}D")  # at one time: null, so no pair
 
 
 def gain_pp(max_dist: str = "max_dist", alpha: float = 0.5, epsilon: float = 1e-3) -> Column:
@@ -56,29 +56,33 @@ def gain_tp(max_dist: str = "max_dist", alpha: float = 0.5, epsilon: float = 1e-
 
 
 def new_state(track_points: DataFrame) -> DataFrame:
-    """track_points (source_id, run_id, track_id, seq, t, x, y, z) with vx, vy, vz: the way from the point before over the time; null at the first."""
+    """track_points (source_id, run_id, track_id, seq, t, x, y, z) with vx, vy, vz: the way from the point before over the time; null at the first, and where both are at one time."""
     w = Window.partitionBy(*RUN, "track_id").orderBy("seq")
-    return track_points.withColumns({f"v{c}": (F.col(c) - F.lag(c).over(w)) / (F.col("t") - F.lag("t").over(w)) for c in "xyz"})
+    return track_points.withColumns({f"v{c}": F.try_divide(F.col(c) - F.lag(c).over(w), F.col("t") - F.lag("t").over(w)) for c in "xyz"})
 
 
 def nn_gates(blips: DataFrame, max_speed_kmh: float = 100.0, max_change_percent: float = 150.0) -> DataFrame:
-    """Pairs of blips of adjacent scans with the nearest-neighbour gates: fast, area and intensity change, and whether the pair passes all."""
+    """Pairs of blips of adjacent scans with the nearest-neighbour gates: fast, area and intensity change, and whether the pair passes all.
+
+    Divisions by zero are limits: a change from zero is infinite and fails, zero to zero is no change; at one time any change and any way is too fast. A null fails."""
     columns = ["blip_id", "t", "x", "y", "z", "area", "int"]
     u = blips.select(*RUN, F.expr("scan_id + 1").alias("v_scan"), *[F.col(c).alias(f"u_{c}") for c in columns])
     v = blips.select(*RUN, F.col("scan_id").alias("v_scan"), *[F.col(c).alias(f"v_{c}") for c in columns])
     m = 1 + max_change_percent / 100
     rows = u.join(v, [*RUN, "v_scan"]).withColumns({"dist": F.expr("sqrt(pow(u_x - v_x, 2) + pow(u_y - v_y, 2) + pow(u_z - v_z, 2))"), "dt": F.expr("v_t - u_t")})
-    change = "({0} / dt > {1!r}D or {0} * dt < {2!r}D)"
-    rows = rows.withColumns({"too_fast": F.expr(f"abs(dist / dt) > {max_speed_kmh / 3.6!r}D"), "area_changed": F.expr(change.format("(v_area / u_area)", m, 1 / m)), "int_changed": F.expr(change.format("(v_int / u_int)", m, 1 / m))})
+    change = "case when u_{0} = 0 then v_{0} <> 0 when dt = 0 then true else v_{0} / u_{0} / dt > {1!r}D or v_{0} / u_{0} * dt < {2!r}D end"
+    rows = rows.withColumns({"too_fast": F.expr(f"case when dt = 0 then dist > 0 else abs(dist / dt) > {max_speed_kmh / 3.6!r}D end"), **{f"{c}_changed": F.expr(change.format(c, m, 1 / m)) for c in ("area", "int")}})
     return rows.withColumn("passes", F.expr("not (coalesce(too_fast, true) or coalesce(area_changed, true) or coalesce(int_changed, true))"))
 
 
 def gain_to_log_units(gain: str = "gain") -> Column:
-    return F.expr(f"10 * log10({gain} / (1 - {gain}))")
+    """Decibels of the odds of a gain: infinite at 0 and 1, null outside."""
+    return F.expr(f"case when {gain} = 1 then double('Infinity') when {gain} = 0 then double('-Infinity') when {gain} > 0 and {gain} < 1 then 10 * log10({gain} / (1 - {gain})) end")
 
 
 def log_units_to_gain(units: str = "units") -> Column:
-    return F.expr(f"pow(10D, {units} / 10) / (1 + pow(10D, {units} / 10))")
+    """The inverse of gain_to_log_units."""
+    return F.expr(f"1 / (1 + pow(10D, -{units} / 10))")
 
 
 def filter_short_tracks(track_points: DataFrame, min_blips: int = 4) -> DataFrame:
@@ -235,6 +239,20 @@ def matched(some: list[dict], others: list[dict], model: MultiFrame) -> list[tup
     return [(some[i], others[j], gain[i, j] / SCALE) for i, j in best_pairs(gain)]
 
 
+def pair_gains(ends: np.ndarray, headings: np.ndarray, points: np.ndarray, max_speed: float, most_change: float, turn_rate: float) -> np.ndarray:
+    """Whole-number gains of (points, ends), 0 where a gate is shut. ends and points: rows t, x, y, z, area, int; headings: the last step (x, y, z) of each
+    end's track, NaN if it has none. The gates are those of nn_gates, and turning by more than turn_rate (radians a second)."""
+    step = points[:, None, :] - ends[None, :, :]
+    dt, way = step[..., 0], step[..., 1:4]
+    dist = np.linalg.norm(way, axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        change = points[:, None, 4:6] / ends[None, :, 4:6]
+        odd = (change / dt[..., None] > most_change) | (change * dt[..., None] * most_change < 1)
+        cosine = (way * headings).sum(2) / (dist * np.linalg.norm(headings, axis=1))
+        shut = odd.any(2) | (np.abs(dist / dt) > max_speed) | (cosine < np.cos(turn_rate * dt))
+    return np.where(shut, 0, np.trunc(100 + dist.max(initial=0) - dist))
+
+
 class Nearest:
     """Constrained nearest neighbour, for one run: gates on speed, on the change rates of area and intensity, and on turning; a track ends stale_s after its last blip."""
 
@@ -248,26 +266,13 @@ class Nearest:
         for k in [k for k, v in self.tracks.items() if v[-1]["t"] + self.stale <= now]:
             yield self.tracks.pop(k)
         keys = list(self.tracks)
-        pairs: list[tuple[int, int]] = []
+        taken: dict[int, int] = {}
         if keys and points:
-            new = np.array([[p[c] for c in ("t", "x", "y", "z", "area", "int")] for p in points], float)
-            old = np.array([[self.tracks[k][-1][c] for c in ("t", "x", "y", "z", "area", "int")] for k in keys], float)
-            way = new[:, None, 1:4] - old[None, :, 1:4]
-            dist, dt = np.sqrt((way**2).sum(2)), new[:, None, 0] - old[None, :, 0]
-            gain = np.trunc(100 + dist.max() - dist)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bad = np.abs(dist / dt) > self.max_speed
-                for c in (4, 5):
-                    ratio = new[:, None, c] / old[None, :, c]
-                    bad |= (ratio / dt > self.change) | (ratio * dt < 1 / self.change)
-                for j, k in enumerate(keys):
-                    if len(self.tracks[k]) >= 2:
-                        before = self.tracks[k][-2]
-                        go = old[j, 1:4] - np.array([before[c] for c in "xyz"])
-                        cosine = way[:, j] @ go / (np.sqrt((way[:, j] ** 2).sum(1)) * np.sqrt((go**2).sum()))
-                        bad[:, j] |= np.isfinite(cosine) & (cosine < np.cos(self.turn * dt[:, j]))
-            pairs = best_pairs(np.where(bad, 0, gain))
-        taken = dict(pairs)
+            rows = lambda ps: np.array([[p[c] for c in ("t", "x", "y", "z", "area", "int")] for p in ps], float)
+            ends = rows([self.tracks[k][-1] for k in keys])
+            before = rows([self.tracks[k][-2] if len(self.tracks[k]) > 1 else dict.fromkeys(self.tracks[k][-1], np.nan) for k in keys])
+            gain = pair_gains(ends, ends[:, 1:4] - before[:, 1:4], rows(points), self.max_speed, self.change, self.turn)
+            taken = dict(best_pairs(gain))
         for i, p in enumerate(points):
             if i in taken:
                 track = self.tracks[keys[taken[i]]]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skysweep.functions.stored import new_path
 from skysweep.plans.derived import PULSES, SWEEPS, pulses, sweeps, with_
 from skysweep.sources import scans as A
+from skysweep.sources import sinks as K
 
 RUN = "source_id, run_id"
 
@@ -17,6 +19,13 @@ def _packed(s, d, bits):
     return pulses(s, d).selectExpr("scan_id", "pulse", f"{blob} as blob", "size(samples) as n", f"{bits} as bits", "true as big_endian", "false as deflated")
 
 
+def archived(s, d, *columns, **of):
+    """The pulses, written as an archive and read back."""
+    rows, path = pulses(s, d), new_path(s, "scans")
+    K.write_scans(rows, path)
+    return A.read_scans(s, path, columns=columns, schema=rows.schema, **of)
+
+
 def _unpacked(s, d):
     both = A.unpack_samples(_packed(s, d, 16), ["scan_id", "pulse", "bits"]).unionByName(A.unpack_samples(_packed(s, d, 12), ["scan_id", "pulse", "bits"]))
     return both.selectExpr("scan_id", "pulse", "bits", "size(samples) as n", "aggregate(samples, 0L, (a, x) -> a * 31 % 1000003 + x) as mark")
@@ -44,7 +53,7 @@ def _angles(s, d):
 
 
 QUERIES = {
-    "a01_read_scans": lambda s, d: pulses(s, d).selectExpr("source_id", "run_id", "scan_id", "pulse", "size(samples) as n", "aggregate(samples, 0L, (a, x) -> a + x) as total"),
+    "a01_read_scans": lambda s, d: archived(s, d, "source_id", "run_id", "scan_id", "pulse", "samples", source_id="radar0").selectExpr("source_id", "run_id", "scan_id", "pulse", "size(samples) as n", "aggregate(samples, 0L, (a, x) -> a + x) as total"),
     "a02_unpack_samples": _unpacked,
     "a03_explode_samples": lambda s, d: A.explode_samples(pulses(s, d)),
     "a04_contents": lambda s, d: A.contents(sweeps(s, d)),
@@ -69,7 +78,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "a01_read_scans": with_(PULSES) + 'select source_id, run_id, scan_id, pulse, count(*)::int n, sum("value")::bigint total from samp group by all',
+    "a01_read_scans": with_(PULSES) + 'select source_id, run_id, scan_id, pulse, count(*)::int n, sum("value")::bigint total from samp where source_id = \'radar0\' group by all',
     "a02_unpack_samples": with_(PULSES, 'l as (select scan_id, pulse, list("value" order by col) v from samp group by all)') + "select scan_id, pulse, b bits, len(v)::int n, list_reduce(list_prepend(0::bigint, v::bigint[]), lambda a, x: a * 31 % 1000003 + x) mark from l cross join (values (12), (16)) t(b)",
     "a03_explode_samples": with_(PULSES) + 'select source_id, run_id, scan_id, pulse, col, "value" from samp',
     "a04_contents": with_(SWEEPS) + f"select {RUN}, min(ts) start_ts, max(ts + duration_ms / 1000) end_ts, count(*) n_scans, avg(duration_ms) mean_duration_ms from sweeps group by all",

@@ -59,13 +59,13 @@ def blip_samples(s, d):
 
 
 def zones(s, d):
-    """Four zones, from the regions: an exclusion around the radar, sectors, one of them across north."""
-    rows = s.read.parquet(f"{d}/region.parquet").where("r_regionkey < 4")
+    """A zone for each region: an exclusion around the radar, sectors, one of them across north."""
+    rows = s.read.parquet(f"{d}/region.parquet")
     return rows.selectExpr("cast(r_regionkey as int) as zone_ord", "if(r_regionkey = 0, 'exclusion', concat('special', r_regionkey)) as zone_id", "true as enabled", "0 as segment", "60D * r_regionkey as r1", "60D * r_regionkey + 90 as r2", "cast(pmod(300 + 80 * (r_regionkey - 1), 360) as double) as a_start", "if(r_regionkey = 0, 360D, 117.8D) as a_extent", "2D as samples_min", "-1D as samples_max", "20D as area_min", "9000D as area_max", "0D as angular_min", "-1D as angular_max", "0D as radial_min", "12D as radial_max")
 
 
 ZONES = """zn as (select r_regionkey::int zone_ord, case when r_regionkey = 0 then 'exclusion' else 'special' || r_regionkey end zone_id, 60::double * r_regionkey r1,
-  60::double * r_regionkey + 90 r2, ((300 + 80 * (r_regionkey - 1)) % 360)::double a0, case when r_regionkey = 0 then 360::double else 117.8::double end ax from region where r_regionkey < 4)"""
+  60::double * r_regionkey + 90 r2, ((300 + 80 * (r_regionkey - 1)) % 360)::double a0, case when r_regionkey = 0 then 360::double else 117.8::double end ax from region)"""
 
 
 def rounded(df, *columns, digits=6):
@@ -89,7 +89,7 @@ def _interp(s, d, clamp=False):
 
 
 def _pairs(s, d):
-    a = blips(s, d).where("blip_no < 6").selectExpr("scan_id", "blip_no as i", "x as a_x", "y as a_y", "z as a_z")
+    a = blips(s, d).selectExpr("scan_id", "blip_no as i", "x as a_x", "y as a_y", "z as a_z")
     return a.join(a.selectExpr("scan_id", "i as j", "a_x as b_x", "a_y as b_y", "a_z as b_z"), "scan_id")
 
 
@@ -173,8 +173,8 @@ QUERIES = {
     "c02_lin_interp": lambda s, d: _interp(s, d, clamp=True),
     "c03_pulse_table": lambda s, d: rounded(table(s, d), "ts", "azi", "elev", "wg_azi", "wg_elev").select(*SCAN, "pulse", "ts", "azi", "elev", "wg_azi", "wg_elev"),
     "c04_xy_to_sample_pulse": lambda s, d: blips(s, d).select("scan_id", "blip_no", "x", "y").withColumns({"pulses": F.lit(64), "sample_dist": F.lit(5.0), "first_sample_dist": F.lit(10.0), "bearing_offset": F.lit(15.0), "tilt": F.lit(5.0)}).select("scan_id", "blip_no", *[v.alias(k) for k, v in C.xy_to_sample_pulse("x + 0.1D", "y + 0.2D").items()]),
-    "c05_sample_pulse_to_range_bearing": lambda s, d: rounded(points(s, d).join(scans(s, d), SCAN).select(*SCAN, "pulse", "col", *[v.alias(k) for k, v in C.sample_pulse_to_range_bearing("(col + 1)", "(pulse + 1)").items()]), "range", "bearing_deg"),
-    "c06_sample_pulse_to_spherical": lambda s, d: rounded(points(s, d).join(scans(s, d), SCAN).select(*SCAN, "pulse", "col", *[v.alias(k) for k, v in C.sample_pulse_to_spherical("(col + 1)", "(pulse + 1)").items()]), "r", "theta", "phi"),
+    "c05_sample_pulse_to_range_bearing": lambda s, d: rounded(samples(s, d).join(scans(s, d), SCAN).select(*SCAN, "pulse", "col", *[v.alias(k) for k, v in C.sample_pulse_to_range_bearing("(col + 1)", "(pulse + 1)").items()]), "range", "bearing_deg"),
+    "c06_sample_pulse_to_spherical": lambda s, d: rounded(samples(s, d).join(scans(s, d), SCAN).select(*SCAN, "pulse", "col", *[v.alias(k) for k, v in C.sample_pulse_to_spherical("(col + 1)", "(pulse + 1)").items()]), "r", "theta", "phi"),
     "c07_planar_scale": lambda s, d: rounded(scans(s, d).select(*SCAN, *[v.alias(k) for k, v in C.planar_scale().items()]), "range_per_sample", "planar_per_sample", "elevation_per_sample"),
     "c08_dist3d": lambda s, d: rounded(_pairs(s, d).select("scan_id", "i", "j", C.dist3d().alias("dist")), "dist"),
     "c09_cos_angle3d": lambda s, d: rounded(_pairs(s, d).select("scan_id", "i", "j", F.nanvl(C.cos_angle3d(), F.lit(None)).alias("cosine")), "cosine"),
@@ -232,12 +232,12 @@ ORACLES = {
     "c02_lin_interp": with_(PULSES, 's as (select scan_id, pulse::double t, max("value") filter (col = 3)::double u from samp where pulse % 4 = 1 group by all), n as (select *, lead(t) over w t2, lead(u) over w u2 from s window w as (partition by scan_id order by t)), e as (select scan_id, min(t) lo, max(t) hi from s group by 1), w as (select distinct scan_id, pulse + 0.25::double "at", least(greatest(pulse + 0.25::double, lo), hi) h from samp join e using (scan_id))') + 'select w.scan_id, w."at", round(case when t2 is null then u else u + (u2 - u) * (h - t) / (t2 - t) end, 6) + 0 u from w join n on w.scan_id = n.scan_id and ((h >= t and h < t2) or (t2 is null and h = t))',
     "c03_pulse_table": with_(PULSES + GEOM) + f"select {META}, pulse, {_R('ts', 'azi', 'elev', 'wg_azi', 'wg_elev')} from tab",
     "c04_xy_to_sample_pulse": with_(BLIPS, "p as (select scan_id, blip_no, x + 0.1::double x, y + 0.2::double y from blips)") + "select scan_id, blip_no, (1 + floor(sqrt(x * x + y * y) / (5 * cos(radians(5::double))) - 2))::int sample, (1 + floor(((pi() / 2 - atan2(y, x) + (180 / 64::double - 15) * pi() / 180 + 4 * pi()) % (2 * pi())) / (2 * pi()) * 64))::int pulse from p",
-    "c05_sample_pulse_to_range_bearing": with_(PULSES) + f'select {META}, pulse, col, round(5 * (col + 0.5::double) + 10, 6) + 0 "range", round((pulse * 360::double / pulses + 15) % 360, 6) + 0 bearing_deg from samp join scan using ({META}) where pulse % 7 = 3 and col % 9 = 4',
-    "c06_sample_pulse_to_spherical": with_(PULSES) + f"select {META}, pulse, col, round(5 * (col + 0.5::double) + 10, 6) + 0 r, round(radians(5::double), 6) theta, round((radians(45::double) + 2 * pi() * pulse / pulses) % (2 * pi()), 6) + 0 phi from samp join scan using ({META}) where pulse % 7 = 3 and col % 9 = 4",
+    "c05_sample_pulse_to_range_bearing": with_(PULSES) + f'select {META}, pulse, col, round(5 * (col + 0.5::double) + 10, 6) + 0 "range", round((pulse * 360::double / pulses + 15) % 360, 6) + 0 bearing_deg from samp join scan using ({META})',
+    "c06_sample_pulse_to_spherical": with_(PULSES) + f"select {META}, pulse, col, round(5 * (col + 0.5::double) + 10, 6) + 0 r, round(radians(5::double), 6) theta, round((radians(45::double) + 2 * pi() * pulse / pulses) % (2 * pi()), 6) + 0 phi from samp join scan using ({META})",
     "c07_planar_scale": with_(PULSES) + f"select {META}, 5::double range_per_sample, round(5 * cos(radians(5::double)), 6) planar_per_sample, round(5 * sin(radians(5::double)), 6) elevation_per_sample from scan",
-    "c08_dist3d": with_(BLIPS) + "select a.scan_id, a.blip_no i, b.blip_no j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) + 0 dist from blips a join blips b using (scan_id) where a.blip_no < 6 and b.blip_no < 6",
-    "c09_cos_angle3d": with_(BLIPS) + "select a.scan_id, a.blip_no i, b.blip_no j, round((a.x * b.x + a.y * b.y + a.z * b.z) / nullif(sqrt(a.x * a.x + a.y * a.y + a.z * a.z) * sqrt(b.x * b.x + b.y * b.y + b.z * b.z), 0), 6) + 0 cosine from blips a join blips b using (scan_id) where a.blip_no < 6 and b.blip_no < 6",
-    "c10_angular_separation": with_(BLIPS) + "select a.scan_id, a.blip_no i, b.blip_no j, round(acos(greatest(-1::double, least(1::double, sin(a.y / 2000) * sin(b.y / 2000) + cos(a.y / 2000) * cos(b.y / 2000) * cos(a.x / 400 - b.x / 400)))), 6) + 0 angle from blips a join blips b using (scan_id) where a.blip_no < b.blip_no and b.blip_no < 6",
+    "c08_dist3d": with_(BLIPS) + "select a.scan_id, a.blip_no i, b.blip_no j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) + 0 dist from blips a join blips b using (scan_id)",
+    "c09_cos_angle3d": with_(BLIPS) + "select a.scan_id, a.blip_no i, b.blip_no j, round((a.x * b.x + a.y * b.y + a.z * b.z) / nullif(sqrt(a.x * a.x + a.y * a.y + a.z * a.z) * sqrt(b.x * b.x + b.y * b.y + b.z * b.z), 0), 6) + 0 cosine from blips a join blips b using (scan_id)",
+    "c10_angular_separation": with_(BLIPS) + "select a.scan_id, a.blip_no i, b.blip_no j, round(acos(greatest(-1::double, least(1::double, sin(a.y / 2000) * sin(b.y / 2000) + cos(a.y / 2000) * cos(b.y / 2000) * cos(a.x / 400 - b.x / 400)))), 6) + 0 angle from blips a join blips b using (scan_id) where a.blip_no < b.blip_no",
     "c11_polar_to_grid": with_(PULSES, "g as (select scan_id, pulses, px, py, (px + 0.5::double - 20) * 17 x, (20 - py - 0.5::double) * 17 y from scan, (select unnest(range(40)) px) a, (select unnest(range(40)) py) b), h as (select scan_id, px, py, floor(sqrt(x * x + y * y) / (5 * cos(radians(5::double))) - 2)::int c, floor(((pi() / 2 - atan2(y, x) + (180::double / pulses - 15) * pi() / 180 + 4 * pi()) % (2 * pi())) / (2 * pi()) * pulses)::int p from g)") + 'select scan_id, px::int px, py::int py, round(avg("value"), 6) + 0 "value" from h join samp using (scan_id) where c >= 0 and c < 64 and pulse = p and col between c and c + 2 group by all',
     "c12_rect_to_spatial": with_(PATCHED, f'm as (select {_P}, sum("value"::double * col) / sum("value") x, sum("value"::double * pulse) / sum("value") y from psamp group by all), k as (select {_P}, 100 + 2.5::double * (x * cos(radians(30::double)) - y * sin(radians(30::double))) x, -50 + 2.5::double * (x * sin(radians(30::double)) + y * cos(radians(30::double))) y from m)') + f'select {_P}, round(x, 6) + 0 x, round(y, 6) + 0 y, round(sqrt(x * x + y * y), 6) + 0 "range" from k',
     "d01_noise_filter": with_(PULSES) + 'select scan_id, pulse, col, case when "value" < 900 then 0 else "value" end "value" from samp',

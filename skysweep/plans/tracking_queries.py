@@ -8,6 +8,7 @@ from skysweep.operators import tracking as G
 from skysweep.operators import trails as H
 from skysweep.plans import coupled, detect
 from skysweep.plans import detection_queries as Q
+from skysweep.plans.catalog_queries import archived
 from skysweep.plans.derived import BLIPS, PULSES, blips, pulses, scans, sweeps, with_
 from skysweep.plans.detection_queries import _P, BLIPSAMP, SCAN, STATS, rounded
 from skysweep.sources import sinks as K
@@ -65,7 +66,7 @@ QUERIES = {
     "b03_write_blip_samples": lambda s, d: good_samples(s, d).select(*SCAN, "patch_id", "pulse", "col", "value", "score"),
     "b04_read_blip_samples": _dense,
     "b05_write_blip_scores": lambda s, d: K.blip_scores(good_samples(s, d), good(s, d), scans(s, d)).selectExpr(*SCAN, "ts", "size(scores) as n", "aggregate(scores, 0L, (a, x) -> (a * 31 + x) % 1000003) as mark"),
-    "b06_write_scans": lambda s, d: pulses(s, d).groupBy("source_id", "run_id").agg(F.count("*").alias("n_pulses"), F.count_distinct("scan_id").alias("n_scans")),
+    "b06_write_scans": lambda s, d: archived(s, d, "source_id", "run_id", "scan_id").groupBy("source_id", "run_id").agg(F.count("*").alias("n_pulses"), F.count_distinct("scan_id").alias("n_scans")),
     "b07_export_blips": _exported,
     "g01_candidate_pairs": lambda s, d: rounded(G.candidate_pairs(events(s, d), 3, SPEED).select("source_id", "run_id", "u_scan", "u_blip_id", "v_scan", "v_blip_id", "dist", "dt"), "dist", "dt"),
     "g02_gain_pp": lambda s, d: rounded(G.candidate_pairs(events(s, d), 3, SPEED).withColumn("max_dist", F.lit(8000.0)).select("u_scan", "u_blip_id", "v_scan", "v_blip_id", G.gain_pp().alias("gain")), "gain", digits=9),
@@ -76,11 +77,11 @@ QUERIES = {
     "g06_track_mfc_events": lambda s, d: G.track_mfc(events(s, d), None, frames=3, max_dist=8000.0, max_speed_kmh=900.0),
     "g07_track_nn": lambda s, d: tracked(s, d, "nn"),
     "g08_nn_gates": lambda s, d: G.nn_gates(events(s, d), SPEED).select("v_scan", "u_blip_id", "v_blip_id", "too_fast", "area_changed", "int_changed", "passes"),
-    "g11_filter_short_tracks": lambda s, d: G.filter_short_tracks(chains(s, d).where("(scan_id + blip_id) % 3 > 0"), 5).select("run_id", "track_id", "seq", "blip_id"),
+    "g11_filter_short_tracks": lambda s, d: G.filter_short_tracks(chains(s, d), 5).select("run_id", "track_id", "seq", "blip_id"),
     "g12_track_summary": lambda s, d: rounded(G.track_summary(chains(s, d)), "length_m", "mean_speed_kmh"),
     "g13_tracks_in_interval": lambda s, d: G.tracks_in_interval(G.track_summary(chains(s, d)), 100.0, 200.0).select("run_id", "track_id", "t_start", "t_end"),
-    "g14_scan_track_index": lambda s, d: G.scan_track_index(chains(s, d).where("blip_id < 5"), events(s, d)).withColumn("track_ids", F.array_join("track_ids", ",")),
-    "g15_gain_log_units": lambda s, d: rounded(blips(s, d).where("int < 1").select("scan_id", "blip_no", G.gain_to_log_units("int").alias("units")).withColumn("gain", G.log_units_to_gain()), "units", "gain"),
+    "g14_scan_track_index": lambda s, d: G.scan_track_index(chains(s, d), events(s, d)).withColumn("track_ids", F.array_join("track_ids", ",")),
+    "g15_gain_log_units": lambda s, d: rounded(blips(s, d).select("scan_id", "blip_no", G.gain_to_log_units("int").alias("units")).withColumn("gain", G.log_units_to_gain()), "units", "gain"),
     "g17_truncate_track": lambda s, d: G.truncate_track(chains(s, d), cut_at(s, d)).select("run_id", "track_id", "seq", "blip_id"),
     "g18_match_adjacent": lambda s, d: G.match_adjacent(events(s, d), max_dist=8000.0, max_speed_kmh=SPEED),
     "h01_trails_last_n": lambda s, d: rounded(H.trails_last_n(good_samples(s, d), scans(s, d), 4), "faded"),
@@ -90,7 +91,7 @@ QUERIES = {
     "h05_blip_file_summary": lambda s, d: H.blip_file_summary(events(s, d)),
     "d06_detect_coupled": lambda s, d: coupled.detect_coupled(pulses(s, d), scans(s, d), COUPLED),
     "i02_detect_and_track": lambda s, d: G.filter_short_tracks(G.track_mfc(detect.detect(pulses(s, d), scans(s, d), COUPLED).where("is_blip").withColumnRenamed("patch_id", "blip_id"), scans(s, d), max_dist=800.0, max_speed_kmh=400.0, min_gain=0.3), COUPLED.track.min_blips),
-    "i03_retrack": lambda s, d: G.track_nn(events(s, d).where("blip_id < 8"), sweeps(s, d), max_speed_kmh=900.0, max_change_percent=900.0),
+    "i03_retrack": lambda s, d: G.track_nn(events(s, d), sweeps(s, d), max_speed_kmh=900.0, max_change_percent=900.0),
 }
 
 _TEXT = "strftime(make_timestamp((t * 1000000)::bigint), '%Y/%m/%d') date, strftime(make_timestamp((t * 1000000)::bigint), '%H:%M:%S') \"time\", printf('%.3f', t) \"timestamp\", printf('%.0f', x) x, printf('%.0f', y) y, printf('%.0f', z) z, ns::varchar ns, printf('%.0f', area) area, printf('%.3f', int) int, printf('%.3f', max) max, aspan::varchar aspan, rspan::varchar rspan, printf('%.0f', perim) perim"
@@ -112,12 +113,12 @@ ORACLES = {
     "g03_gain_tp": with_(_STEP + _PAIR, "m as (select cp.*, vx, vy, vz, sqrt((ux + dt * vx - wx) ** 2 + (uy + dt * vy - wy) ** 2 + (uz + dt * vz - wz) ** 2) o, dt * sqrt(vx * vx + vy * vy + vz * vz) p from cp join nv on nv.source_id = cp.source_id and nv.run_id = cp.run_id and nv.scan_id = u_scan and nv.blip_no = u_blip_id and vx is not null), g as (select *, least(1::double, 0.5::double * greatest(0::double, 1 - o / 8000) + 0.5::double * case when dist > 0 and p > 0 then 0.5::double + dt * (vx * (wx - ux) + vy * (wy - uy) + vz * (wz - uz)) / (2 * dist * p) else 0 end - case when step = 1 then 0 else 0.001::double end) g from m)") + "select u_scan, u_blip_id, v_scan, v_blip_id, round(case when g < 0.6::double then 0 else g end, 9) + 0 gain from g",
     "g04_new_state": with_(_STEP) + "select track_id, run_id, seq, round(vx, 6) + 0 vx, round(vy, 6) + 0 vy, round(vz, 6) + 0 vz from nv",
     "g05_max_pair_distance": with_(PULSES) + f"select {_RUN}, round(case when scan_id % 90 >= 60 then 330 else 660 * cos(radians((scan_id % 90)::double)) end, 6) + 0 max_dist from scan",
-    "g08_nn_gates": with_(BLIPS, "n as (select v.scan_id v_scan, u.blip_no u_blip_id, v.blip_no v_blip_id, sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2) d, v.t - u.t dt, v.area / u.area a, v.int / u.int i from blips u join blips v on u.source_id = v.source_id and u.run_id = v.run_id and v.scan_id = u.scan_id + 1), f as (select *, abs(d / dt) > 3000 / 3.6::double too_fast, a / dt > 2.5::double or a * dt < 0.4::double area_changed, i / dt > 2.5::double or i * dt < 0.4::double int_changed from n)") + "select v_scan, u_blip_id, v_blip_id, too_fast, area_changed, int_changed, not (too_fast or area_changed or int_changed) passes from f",
-    "g11_filter_short_tracks": with_(_CHAIN) + "select run_id, track_id, seq, blip_no blip_id from ch where (scan_id + blip_no) % 3 > 0 qualify count(*) over (partition by source_id, run_id, track_id) >= 5",
+    "g08_nn_gates": with_(BLIPS, "n as (select v.scan_id v_scan, u.blip_no u_blip_id, v.blip_no v_blip_id, sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2) d, v.t - u.t dt, v.area va, u.area ua, v.int vi, u.int ui from blips u join blips v on u.source_id = v.source_id and u.run_id = v.run_id and v.scan_id = u.scan_id + 1), f as (select *, case when dt = 0 then d > 0 else abs(d / dt) > 3000 / 3.6::double end too_fast, case when ua = 0 then va <> 0 when dt = 0 then true else va / ua / dt > 2.5::double or va / ua * dt < 0.4::double end area_changed, case when ui = 0 then vi <> 0 when dt = 0 then true else vi / ui / dt > 2.5::double or vi / ui * dt < 0.4::double end int_changed from n)") + "select v_scan, u_blip_id, v_blip_id, too_fast, area_changed, int_changed, not (too_fast or area_changed or int_changed) passes from f",
+    "g11_filter_short_tracks": with_(_CHAIN) + "select run_id, track_id, seq, blip_no blip_id from ch qualify count(*) over (partition by source_id, run_id, track_id) >= 5",
     "g12_track_summary": with_(_STEP, _SUM) + "select source_id, run_id, track_id, n_points, t_start, t_end, round(length_m, 6) + 0 length_m, round(case when t_end > t_start then length_m / (t_end - t_start) * 3.6::double end, 6) + 0 mean_speed_kmh from ts_",
     "g13_tracks_in_interval": with_(_STEP, _SUM) + "select run_id, track_id, t_start, t_end from ts_ where t_start <= 200 and t_end >= 100",
-    "g14_scan_track_index": with_(_CHAIN, "c as (select source_id, run_id, scan_id, count(*) n_blips from blips group by all), a as (select source_id, run_id, scan_id, array_to_string(list_sort(list(distinct track_id)), ',') track_ids from ch where blip_no < 5 group by all)") + "select c.*, (coalesce(sum(n_blips) over (partition by source_id, run_id order by scan_id rows between unbounded preceding and 1 preceding), 0) + 1)::bigint first_blip, track_ids from c left join a using (source_id, run_id, scan_id)",
-    "g15_gain_log_units": with_(BLIPS, "u as (select scan_id, blip_no, 10 * log10(int / (1 - int)) u from blips where int < 1)") + "select scan_id, blip_no, round(u, 6) + 0 units, round(pow(10::double, round(u, 6) / 10) / (1 + pow(10::double, round(u, 6) / 10)), 6) + 0 gain from u",
+    "g14_scan_track_index": with_(_CHAIN, "c as (select source_id, run_id, scan_id, count(*) n_blips from blips group by all), a as (select source_id, run_id, scan_id, array_to_string(list_sort(list(distinct track_id)), ',') track_ids from ch group by all)") + "select c.*, (coalesce(sum(n_blips) over (partition by source_id, run_id order by scan_id rows between unbounded preceding and 1 preceding), 0) + 1)::bigint first_blip, track_ids from c left join a using (source_id, run_id, scan_id)",
+    "g15_gain_log_units": with_(BLIPS, "u as (select scan_id, blip_no, case when int < 1 then 10 * log10(int / (1 - int)) else 'Infinity'::double end u from blips)") + "select scan_id, blip_no, round(u, 6) + 0 units, round(case when isinf(u) then 1 else pow(10::double, u / 10) / (1 + pow(10::double, u / 10)) end, 6) + 0 gain from u",
     "g17_truncate_track": with_(_CHAIN, "k as (select source_id, run_id, track_id, min(seq) k from ch where scan_id % 7 = 4 and blip_no % 3 = 0 group by all)") + "select run_id, track_id, seq, blip_no blip_id from ch left join k using (source_id, run_id, track_id) where k is null or seq < k",
     "h01_trails_last_n": with_(_GOOD, 'h as (select scan.source_id, scan.run_id, scan.scan_id, gs.pulse, gs.col, arg_max(gs."value", gs.scan_id) v, (scan.scan_id - max(gs.scan_id) + 1)::int age from scan join gs on gs.source_id = scan.source_id and gs.run_id = scan.run_id and gs.scan_id between scan.scan_id - 3 and scan.scan_id group by scan.source_id, scan.run_id, scan.scan_id, gs.pulse, gs.col)') + 'select source_id, run_id, scan_id, pulse, col, v "value", age, round(v * pow(0.85::double, age), 6) + 0 faded from h',
     "h02_trails_storage": with_(_GOOD) + 'select source_id, run_id, pulse, col, arg_max("value", scan_id) "value", arg_max(score, scan_id) score from gs group by all',

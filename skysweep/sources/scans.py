@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUN = ["source_id", "run_id"]
 #: Seconds after the last scan in which a sought time still belongs to its run.
@@ -19,9 +20,10 @@ def in_run(*order: str) -> Window:
     return Window.partitionBy(*RUN).orderBy(*(order or ("scan_id",)))
 
 
-def read_scans(spark: SparkSession, path: str, source_id: str | None = None, run_id: int | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A scan or pulse table, of one source or run if asked for: partitions are pruned and only the columns named are read."""
-    rows = spark.read.parquet(path)
+def read_scans(spark: SparkSession, path: str, source_id: str | None = None, run_id: int | None = None, columns: list[str] | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+    """A scan or pulse table, of one source or run if asked for: partitions are pruned and only the columns named are read. Without a schema
+    the types of source_id and run_id are guessed from the folders' names."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if source_id is not None:
         rows = rows.where(F.col("source_id") == source_id)
     if run_id is not None:
@@ -35,7 +37,7 @@ def stream_scans(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def unpack_samples(packed: DataFrame, keep: list[str]) -> DataFrame:
-    """From blobs (blob, n, bits, big_endian, deflated) to samples: n numbers of 4, 8, 12, 16, 24 or 32 bits. A null or short blob gives null."""
+    """From blobs (blob, n, bits, big_endian, deflated) to samples: n numbers without sign of 4, 8, 12, 16, 24 or 32 bits, as longs. A null or short blob gives null."""
 
     def one(blob: bytes | None, n: int, bits: int, big: bool, deflated: bool) -> np.ndarray | None:
         if blob is None:
@@ -53,9 +55,9 @@ def unpack_samples(packed: DataFrame, keep: list[str]) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = zip(*(batch.column(c).to_pylist() for c in ("blob", "n", "bits", "big_endian", "deflated")), strict=True)
-            yield pa.record_batch({c: batch.column(c) for c in keep} | {"samples": pa.array([one(*x) for x in columns], pa.list_(pa.int32()))})
+            yield pa.record_batch({c: batch.column(c) for c in keep} | {"samples": pa.array([one(*x) for x in columns], pa.list_(pa.int64()))})
 
-    schema = packed.select(*keep).withColumn("samples", F.array(F.lit(0))).schema
+    schema = packed.select(*keep).withColumn("samples", F.expr("array(0L)")).schema
     return packed.select(*dict.fromkeys([*keep, "blob", "n", "bits", "big_endian", "deflated"])).mapInArrow(unpack, schema)
 
 
@@ -178,7 +180,8 @@ def scale_frames(frames: DataFrame, rate: float, start_ts: float = 0.0) -> DataF
 
 def simplify_series(points: DataFrame, keys: list[str], error: float, slope: float | None = None) -> DataFrame:
     """A subset of the points (t, s) of each key such that linear interpolation stays within error, found greedily: a piece is as long as the cone
-    of lines through its first point that pass all its points allows. slope bounds the lines' steepness. Points are read in order, one at a time."""
+    of lines through its first point that pass all its points allows. slope bounds the lines' steepness. Points are read in order, one at a time.
+    Points with a null t or s are left out; of points at one time, those further than error from the first begin pieces of their own."""
     names = points.columns
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +200,23 @@ def simplify_series(points: DataFrame, keys: list[str], error: float, slope: flo
                     out.append(r)
                     continue
                 dt = r["t"] - base["t"]
+                if dt == 0:  # no line has two values at one time
+                    if abs(r["s"] - base["s"]) > error:
+                        base = last = r
+                        lo, hi = (-slope, slope) if slope is not None else (-np.inf, np.inf)
+                        out.append(r)
+                    continue
                 own = (r["s"] - base["s"]) / dt
                 if last is not base and not lo <= own <= hi:
                     out.append(last)
                     base = last
                     lo, hi = (-slope, slope) if slope is not None else (-np.inf, np.inf)
                     dt = r["t"] - base["t"]
+                    if dt == 0:
+                        if abs(r["s"] - base["s"]) > error:
+                            base = last = r
+                            out.append(r)
+                        continue
                 lo, hi = max(lo, (r["s"] - error - base["s"]) / dt), min(hi, (r["s"] + error - base["s"]) / dt)
                 last = r
             if out:
@@ -211,7 +225,7 @@ def simplify_series(points: DataFrame, keys: list[str], error: float, slope: flo
         if last is not None and last is not base:
             yield pa.RecordBatch.from_pylist([last], schema=schema)
 
-    return points.repartition(*keys).sortWithinPartitions(*keys, "t").select(*names).mapInArrow(fold, points.schema)
+    return points.where("t is not null and s is not null").repartition(*keys).sortWithinPartitions(*keys, "t", "s").select(*names).mapInArrow(fold, points.schema)
 
 
 def approx_error(points: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
