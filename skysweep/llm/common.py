@@ -1,45 +1,27 @@
-"""Shared parts: shared-folder tables, connected components, and vectorised word hashing for Arrow batches."""
+"""Shared parts: columns kept aside, connected components, and vectorised word hashing for Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skysweep.functions.stored import dropped
+from skysweep.functions.stored import stored as written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a new local one is set for the session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if where is None:
-        now = jsc.getCheckpointDir()
-        where = now.get() if now.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that nothing lazy refers to any more."""
-    for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str], Callable[..., DataFrame]]:
+    """docs with every column but the needed ones under a name of its own, so that none clashes with an operator's; these names in order, and a
+    function that gives a result its columns back: those of docs, then the extra ones named."""
+    own = {c: c if c in needed else f"col_{i}_" for i, c in enumerate(docs.columns)}
+
+    def back(df: DataFrame, *extra: str) -> DataFrame:
+        return df.select(*[F.col(k).alias(c) for c, k in own.items()], *extra)
+
+    return docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(k) for c, k in own.items()]), list(own.values()), back
 
 
 def components(edges: DataFrame) -> DataFrame:

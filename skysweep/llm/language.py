@@ -4,6 +4,9 @@ The pieces are those of a fixed public vocabulary (lower-cased; "▁" opens a wo
 piece, fitted by expectation-maximisation. The likelihood of a word is the sum over all its segmentations into pieces,
 by the forward algorithm; the likelihood of a text is the product over its words (runs of letters, lower-cased).
 
+The fit runs on the executors: a round's expected counts are worked out where the words are, and summed by piece; the driver sees one row a
+piece of the vocabulary and never a word.
+
 Letters outside the vocabulary get one fixed probability in every language. Words over BLOCK letters are scored in blocks
 of BLOCK letters. Texts are read whole. Null texts and texts without a letter get the language "und" and score 0; ties
 between languages go to the first in code-point order. Extra columns of the input are not looked at.
@@ -16,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skysweep.llm.common import mixed
+from skysweep.llm.common import dropped, mixed, written
 
 #: Letters in a scored block, letters in the longest piece used, probability of a letter that is no piece.
 BLOCK, LONGEST, UNKNOWN = 64, 8, 1e-4
@@ -80,30 +83,32 @@ class Pieces:
                 a[:, j + 1] += a[:, j - k] * self._weights(ids, j, k)
         return a
 
-    def learn(self, signs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, rounds: int = 4) -> None:
-        """Expectation-maximisation on words, runs of the signs, and their counts in each language."""
-        order = np.argsort(sizes, kind="stable")
-        for _ in range(rounds):
-            seen = np.zeros_like(self.chance)
-            for a in range(0, len(order), 8192):
-                rows = order[a : a + 8192]
-                words, n = padded(signs, starts[rows], sizes[rows]), sizes[rows] + 1
-                ids, width = self.ids(words), words.shape[1]
-                fwd = self.forward(ids, width)
-                back = np.zeros_like(fwd)
-                back[np.arange(len(rows)), n] = 1
-                for j in range(width - 1, -1, -1):
-                    for k in range(min(LONGEST, width - j)):
-                        back[:, j] += back[:, j + k + 1] * self._weights(ids, j + k, k)
-                scale = counts[rows] / np.maximum(fwd[np.arange(len(rows)), n], 1e-300)
-                for j in range(width):
-                    for k in range(min(LONGEST, j + 1)):
-                        use = fwd[:, j - k] * self.chance[ids[k][:, j]] * back[:, j + 1] * scale
-                        for x in range(use.shape[1]):
-                            seen[:, x] += np.bincount(ids[k][:, j], use[:, x], len(seen))
-            seen[:-1] += 0.01
-            seen[-1] = 0
-            self.chance = seen / seen.sum(0)
+    def expected(self, signs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in words, runs of the signs, that occur counts times in each language: (pieces + 1, languages)."""
+        seen, order = np.zeros_like(self.chance), np.argsort(sizes, kind="stable")
+        for a in range(0, len(order), 4096):
+            rows = order[a : a + 4096]
+            words, n = padded(signs, starts[rows], sizes[rows]), sizes[rows] + 1
+            ids, width = self.ids(words), words.shape[1]
+            fwd = self.forward(ids, width)
+            back = np.zeros_like(fwd)
+            back[np.arange(len(rows)), n] = 1
+            for j in range(width - 1, -1, -1):
+                for k in range(min(LONGEST, width - j)):
+                    back[:, j] += back[:, j + k + 1] * self._weights(ids, j + k, k)
+            scale = counts[rows] / np.maximum(fwd[np.arange(len(rows)), n], 1e-300)
+            for j in range(width):
+                for k in range(min(LONGEST, j + 1)):
+                    use = fwd[:, j - k] * self.chance[ids[k][:, j]] * back[:, j + 1] * scale
+                    for x in range(use.shape[1]):
+                        seen[:, x] += np.bincount(ids[k][:, j], use[:, x], len(seen))
+        return seen
+
+    def maximised(self, seen: np.ndarray) -> None:
+        """Probabilities from expected counts, every piece seen a little."""
+        seen = seen + 0.01
+        seen[-1] = 0
+        self.chance = seen / seen.sum(0)
 
     def likelihoods(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Log likelihood of each padded word in each language."""
@@ -169,38 +174,55 @@ def _groups(batch: pa.RecordBatch, at_most: int = 1 << 20) -> Iterator[tuple[int
         yield a, texts.slice(a).to_pylist()
 
 
-def fit(rows: DataFrame, vocabulary: str | None = None, max_rows: int = 4000, max_words: int = 120_000) -> Pieces:
+def fit(rows: DataFrame, vocabulary: str | None = None, max_rows: int = 4000, rounds: int = 4) -> Pieces:
     """Learns from rows (lang, text): of each language about max_rows rows with a letter, picked by a hash of the text (all of
-    them, and at least one, if it has fewer), and its max_words most frequent words, ties by a hash. Rows with a null are left
-    out. Both bounds hold the driver's share to a fixed size a language."""
+    them, and at least one, if it has fewer). Rows with a null are left out. All words of these rows count."""
     rows = rows.select("lang", "text").where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     rows = rows.withColumn("place", F.expr("pmod(xxhash64(text, 'fit'), 1048576)"))
     picked = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least"))
-    picked = picked.selectExpr("lang", f"greatest(least, cast(1048576 * least(1D, {max_rows}D / n) as bigint)) as last")
-    rows = rows.join(F.broadcast(picked), "lang").where("place <= last").select("lang", "text")
+    picked = picked.selectExpr("lang", f"greatest(least, cast(1048576 * least(1D, {max_rows}D / n) as bigint)) as last").collect()  # one row a language
+    languages = sorted(r.lang for r in picked)
+    model = Pieces(pieces(vocabulary), languages)
+    if not languages:
+        return model
+    last = F.create_map(*[F.lit(x) for r in picked for x in (r.lang, r.last)])
+    rows = rows.where(F.col("place") <= last[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for a, texts in _groups(batch):
                 signs, text, starts, sizes = words_of(texts)
-                n: dict[tuple[str, str], int] = {}
+                n: dict[tuple[str, bytes], int] = {}
                 for t, s, k in zip(text.tolist(), starts.tolist(), sizes.tolist()):
                     key = (langs[a + t], signs[s : s + k].tobytes())
                     n[key] = n.get(key, 0) + 1
                 yield pa.record_batch({"lang": [k[0] for k in n], "word": [k[1].decode("utf-32-le") for k in n], "n": pa.array(n.values(), pa.int64())}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
     words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by_n = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("word"), "word")
-    got = words.withColumn("place", F.row_number().over(by_n)).where(f"place <= {max_words}").drop("place").toPandas()
-    languages = sorted(got.lang.unique())
-    model = Pieces(pieces(vocabulary), languages)
-    table = got.pivot(index="word", columns="lang", values="n").fillna(0)
-    if len(table):
-        texts = list(table.index)
-        signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        sizes = np.array([len(x) for x in texts])
-        model.learn(signs, np.cumsum(sizes) - sizes, sizes, table[languages].to_numpy())
+    words = written(words.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)]))
+    names = [f"n{i}" for i in range(len(languages))]
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        seen = np.zeros_like(model.chance)
+        for batch in batches:
+            texts = batch.column("word").to_pylist()
+            signs = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            seen += model.expected(signs, np.cumsum(sizes) - sizes, sizes, np.stack([batch.column(c).to_numpy() for c in names], 1))
+        used = np.flatnonzero(seen.any(1))
+        # whole numbers: their sums don't depend on the order of tasks
+        yield pa.record_batch({"piece": pa.array(used, pa.int64()), **{c: pa.array(np.rint(seen[used, i] * 2**20).astype(np.int64)) for i, c in enumerate(names)}})
+
+    for _ in range(rounds):
+        shared = rows.sparkSession.sparkContext.broadcast(model)  # the vocabulary times the languages: about a MB
+        sums = words.mapInArrow(expect, ", ".join(["piece long", *[f"{c} long" for c in names]])).groupBy("piece").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+        seen = np.zeros_like(model.chance)
+        seen[sums.column("piece").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in names], 1) / 2**20
+        shared.unpersist()
+        model.maximised(seen)
+    dropped(words)
     return model
 
 

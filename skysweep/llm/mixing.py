@@ -9,7 +9,7 @@
    blocks. A shard with quota q and b blocks takes each block q div b times, and q mod b blocks, picked by a seeded hash, once
    more. A document's words taken are those of its part in the taken blocks, at most max_repeat times its size.
 
-Sizes are words; a null text has 0 words. Documents without words take nothing; an empty table gives an empty one. Rows with
+Sizes are words; a null text has 0 words. A row without an id is placed by its text. Documents without words take nothing; an empty table gives an empty one. Rows with
 one id and equal sizes are interchangeable; the kept columns play no part.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from skysweep.llm.common import written
 
+#: Signs (hexadecimal) of a document's mark that name its stretch of a shard's line.
+STRETCH = 2
 #: Blocks a shard, or a target, under which a source has blocks of its own.
 FEW = 100
 WORD = r"[^\\x20\\x09-\\x0D]+"
@@ -70,9 +72,9 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
     """The columns keep (doc_id, unless given) of docs (doc_id, text, source, ...) with size, source_size, target and taken.
 
     Shards hold about shard_words words; a block is such that an average shard has shard_blocks of them. Kept columns must not
-    begin with "_"."""
+    begin with "_", nor have the name of a result."""
     keep = keep or ["doc_id"]
-    mark = F.expr(f"md5(cast(concat('{seed}:', coalesce(cast(doc_id as string), '')) as binary))")
+    mark = F.expr(f"md5(cast(concat('{seed}:', coalesce(cast(doc_id as string), md5(cast(coalesce(text, '') as binary)))) as binary))")
     rows = docs.select(*keep, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), mark.alias("_mark"), word_count().alias("_size"))
     rows = rows if "text" in keep else written(rows)  # texts are rather counted twice than stored twice
     totals = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("n"))
@@ -91,7 +93,10 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
     sources = written(sources.select(number, F.col("source").alias("_s"), "source_size", "target", "shards", "block", "source_quota"))
     rows = rows.join(sources, F.expr("_source <=> _s")).withColumn("_shard", F.expr("pmod(cast(conv(substr(_mark, 1, 8), 16, 10) as bigint), shards)"))
 
-    shards = rows.groupBy("_sid", "_s", "_shard", "block", "source_quota").agg(F.sum("_size").alias("words")).where("words > 0")
+    # a shard's line is in the order of the marks; its stretches, by the first signs of the mark, are placed by their sums, so that no task has a whole shard
+    rows = rows.withColumn("_part", F.expr(f"substr(_mark, 1, {STRETCH})"))
+    parts = written(rows.groupBy("_sid", "_s", "_shard", "block", "source_quota", "_part").agg(F.sum("_size").alias("of_part")))
+    shards = parts.groupBy("_sid", "_s", "_shard", "block", "source_quota").agg(F.sum("of_part").alias("words")).where("words > 0")
     quotas = apportioned(shards, ["_sid", "source_quota"], ["_shard"], "words", "source_quota")
     quotas = quotas.withColumn("blocks", F.expr("greatest(1L, cast(round(cast(words as double) / block) as bigint))")).withColumn("quota", F.expr(f"least(quota, {max_repeat} * blocks)"))
     once_more = (
@@ -99,11 +104,13 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
         .withColumn("_rank", F.expr(f"row_number() over (partition by _sid, _shard order by md5(cast(concat('{seed}:', coalesce(_s, ''), ':', cast(_shard as string), ':', cast(_block as string)) as binary)))"))
         .groupBy("_sid", "_shard", "words", "blocks", "quota")
         .agg(F.expr("collect_list(case when _rank <= quota % blocks then _block end)").alias("more"))
-        .select(F.col("_sid").alias("_qsid"), F.col("_shard").alias("_qshard"), "words", "blocks", "quota", "more")
     )
-    line = Window.partitionBy("_sid", "_shard").orderBy("_mark", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("_end", F.sum("_size").over(line)).join(once_more, F.expr("_sid = _qsid and _shard = _qshard"), "left")
-    # block j is [j * words div blocks, (j + 1) * words div blocks)
+    # of the blocks taken once more a stretch needs those that it touches; block j is [j * words div blocks, (j + 1) * words div blocks)
+    places = parts.select("_sid", "_shard", "_part", "of_part", F.expr("sum(of_part) over (partition by _sid, _shard order by _part) - of_part").alias("base")).join(once_more, ["_sid", "_shard"], "left")
+    places = places.withColumn("more", F.expr("filter(more, j -> j >= base * blocks div words and j <= (base + of_part) * blocks div words + 1)"))
+    places = places.select(F.col("_sid").alias("_qsid"), F.col("_shard").alias("_qshard"), F.col("_part").alias("_qpart"), "base", "words", "blocks", "quota", "more")
+    line = Window.partitionBy("_sid", "_shard", "_part").orderBy("_mark", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(places, F.expr("_sid = _qsid and _shard = _qshard and _part = _qpart")).withColumn("_end", F.col("base") + F.sum("_size").over(line))
     first, last = "((_end - _size) * blocks div words)", "(_end * blocks div words + 1)"
     overlap = "greatest(0L, least(_end, (j + 1) * words div blocks) - greatest(_end - _size, j * words div blocks))"
     extra = f"aggregate(filter(sequence({first}, {last}), j -> array_contains(more, j)), 0L, (a, j) -> a + {overlap})"
@@ -113,7 +120,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
 
 ORACLE = r"""
 with d as (
-  select doc_id, source, md5('42:' || coalesce(doc_id::varchar, '')) mark,
+  select doc_id, source, md5('42:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))) mark,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size
   from documents),
 t as (select source, sum(size)::bigint source_size, count(*)::bigint n from d group by source),

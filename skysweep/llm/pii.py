@@ -6,9 +6,12 @@ secrets after a word such as "password=" or "token =", and names after a form of
 An entity is a kind and a normal form (digits without marks, lower-case addresses, single name words), so that its mentions share one surrogate in all documents, whatever
 their format: coreference is kept. A surrogate is drawn from a keyed hash of the entity, and has the entity's kind: cards keep
 issuer and check rule, addresses the country of IBANs, names gender (of the form of address) and script. Each mention keeps its own format. Collision check:
-surrogates that two entities share, or that are themselves entities of the corpus, are drawn anew until there is none, so distinct entities stay distinct.
+surrogates that two entities share, or that are themselves entities of the corpus, are drawn anew until there is none, so distinct entities stay distinct. A later draw has
+more room: names grow by a syllable a draw, and kinds of a fixed format use all of it from draw WIDER on, and from draw CROWDED on also surrogates that are entities, so that the room is
+never less than the entities need. A mention's surrogate is worked out in its own row; only entities drawn anew are looked up.
 
-Null and empty texts are unchanged, as is all text outside the entities. Rows that repeat are treated alike. Other columns are kept as they are.
+Null and empty texts are unchanged, as is all text outside the entities. Rows that repeat are treated alike. Other columns are kept as they are, whatever their names; one with
+the name of the count of mentions gives way to it.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysweep.llm.common import written
+from skysweep.llm.common import aside, dropped, written
 
 # Forms of address by gender.
 MALE = "Mr Herr Señor Sr Monsieur Господин Mister Don"
@@ -43,8 +46,8 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([.-])\d{3}\1", r"[.-]\d{3}[.-]")
 #: What a text with an entity has at least; quick to look for.
 HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
-#: Rounds of drawing anew before giving up.
-MOST_DRAWS = 50
+#: Draws from which kinds of a fixed format use all of it, and may use other entities.
+WIDER, CROWDED = 3, 30
 
 
 def _sql(text: str) -> str:
@@ -87,7 +90,7 @@ def entities(hits: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.expr(kind)).withColumn("norm", F.expr(f"case when kind is not null then {norm} end")).drop("m", "type")
 
 
-def _spelled(syllables: str, length: int) -> str:
+def _spelled(syllables: str, length: str) -> str:
     """A name word from the first signs of the hash h, a syllable each."""
     table = "array({})".format(", ".join(_sql(x) for x in syllables.split()))
     return f"initcap(array_join(transform(sequence(1, {length}), i -> element_at({table}, cast(conv(substr(h, i, 1), 16, 10) as int) + 1)), ''))"
@@ -104,37 +107,37 @@ def _drawn(key: str) -> Column:
     stream = "translate(h, '0123456789', 'ghijklmnop')"
     body = f"concat(substr(norm, 1, 1), substr({digits}, 1, length(norm) - 2))"
     card = f"concat({body}, cast((10 - aggregate(transform(reverse(split({body}, '')), (x, i) -> cast(x as int) * (2 - i % 2)), 0L, (a, x) -> a + x div 10 + x % 10) % 10) % 10 as string))"
+    room = "5 + least(draw, 50)"
     octet = "cast(cast(conv(substr(h, {}, 4), 16, 10) as int) % 256 as string)"
     local = f"concat(substr({stream}, 1, least(24, greatest(8, length(regexp_replace(substring_index(norm, '@', 1), '[^a-z]', ''))))), if(substring_index(norm, '@', 1) rlike '[0-9]$', concat('.', substr({digits}, 30, 2)), ''))"
     tld = "if(substring_index(norm, '.', -1) in ('com', 'org', 'net'), substring_index(norm, '.', -1), 'org')"
     signs = f"array_join(transform(split(substr(norm, 5), ''), (x, i) -> case when x rlike '[0-9]' then substr({digits}, i % 60 + 3, 1) when x rlike '[A-Z]' then upper(substr({stream}, i % 60 + 3, 1)) else x end), '')"
     value = f"""case
         when kind = 'email' then concat({local}, '@mail.example.', {tld})
-        when kind = 'phone' then substr(concat(cast(cast(substr({digits}, 1, 1) as int) % 8 + 2 as string), substr({digits}, 2)), 1, length(norm))
-        when kind = 'ssn' then concat('9', substr({digits}, 1, 8))
+        when kind = 'phone' then substr(concat(if(draw < {WIDER}, cast(cast(substr({digits}, 1, 1) as int) % 8 + 2 as string), substr({digits}, 1, 1)), substr({digits}, 2)), 1, length(norm))
+        when kind = 'ssn' then concat(if(draw < {WIDER}, '9', substr({digits}, 9, 1)), substr({digits}, 1, 8))
         when kind = 'card' then {card}
-        when kind = 'ip' then concat_ws('.', cast(240 + cast(conv(substr(h, 1, 4), 16, 10) as int) % 15 as string), {octet.format(5)}, {octet.format(9)}, {octet.format(13)})
+        when kind = 'ip' then concat_ws('.', if(draw < {WIDER}, cast(240 + cast(conv(substr(h, 1, 4), 16, 10) as int) % 15 as string), {octet.format(1)}), {octet.format(5)}, {octet.format(9)}, {octet.format(13)})
         when kind = 'key' then concat(substr(norm, 1, 4), upper(substr(h, 1, 16)))
         when kind = 'iban' then concat(substr(norm, 1, 2), substr({digits}, 1, 2), {signs})
-        when kind = 'secret' then substr(repeat(h, cast(length(norm) div 64 + 1 as int)), 1, length(norm))
-        when kind like '%cyrillic' then lower(concat({_spelled(_CYRILLIC, 5)}, case when kind like 'given_f%' then 'на' when kind like 'given_m%' then 'н' else 'ский' end))
-        else lower(concat({_spelled(_LATIN, 5)}, case when kind like 'given_f%' then 'na' when kind like 'given_m%' then 'n' else 'rd' end)) end"""
+        when kind = 'secret' then substr(repeat(if(draw < {WIDER}, h, lower(translate(base64(unhex(h)), '+/=', 'xyz'))), cast(length(norm) div 40 + 1 as int)), 1, length(norm))
+        when kind like '%cyrillic' then lower(concat({_spelled(_CYRILLIC, room)}, case when kind like 'given_f%' then 'на' when kind like 'given_m%' then 'н' else 'ский' end))
+        else lower(concat({_spelled(_LATIN, room)}, case when kind like 'given_f%' then 'na' when kind like 'given_m%' then 'n' else 'rd' end)) end"""
     return F.expr(f"element_at(transform(array({h}), h -> {value}), 1)")
 
 
-def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, surrogate) for the distinct entities of found (kind, norm), free of collisions."""
-    own = found.where("kind is not null").select("kind", "norm").distinct()
-    drawn = written(own.withColumn("draw", F.lit(0)).withColumn("surrogate", _drawn(key)))
-    for _ in range(MOST_DRAWS):
+def drawn_anew(found: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, draw) of the entities of found (kind, norm) whose first surrogate is another's too, or an entity, with the draw that is free of collisions."""
+    drawn = written(found.where("kind is not null").select("kind", "norm").distinct().withColumn("draw", F.lit(0)).withColumn("surrogate", _drawn(key)))
+    while True:
         shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("norm").alias("keeper")).where("n > 1").select("kind", "surrogate", "keeper")
-        real = drawn.join(drawn.selectExpr("kind", "norm as surrogate"), ["kind", "surrogate"], "left_semi").select("kind", "norm")
+        real = drawn.where(f"draw < {CROWDED}").join(drawn.selectExpr("kind", "norm as surrogate"), ["kind", "surrogate"], "left_semi").select("kind", "norm")
         again = drawn.join(shared, ["kind", "surrogate"]).where("norm <> keeper").select("kind", "norm").unionByName(real).distinct()
         again = written(again.withColumn("again", F.lit(1)))
         if again.isEmpty():
-            return drawn.select("kind", "norm", "surrogate")
-        drawn = written(drawn.join(again, ["kind", "norm"], "left").withColumn("draw", F.expr("draw + coalesce(again, 0)")).drop("again").withColumn("surrogate", _drawn(key)))
-    raise ValueError("a kind has more entities than surrogates")
+            return drawn.where("draw > 0").select("kind", "norm", "draw")
+        before, drawn = drawn, written(drawn.join(again, ["kind", "norm"], "left").withColumn("draw", F.expr("draw + coalesce(again, 0)")).drop("again").withColumn("surrogate", _drawn(key)))
+        dropped(before, again)
 
 
 def _formatted() -> Column:
@@ -150,16 +153,18 @@ def _formatted() -> Column:
         else surrogate end""")
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
-    """docs with text changed and one more column: n_entities (mentions replaced)."""
-    names = docs.columns
-    marked = docs.withColumn("hits", mentions())
-    none = marked.where("coalesce(size(hits), 0) <= 0").select(*names, F.lit(0).cast("bigint").alias("n_entities"))
-    some = written(marked.where("size(hits) > 0").withColumn("row", F.monotonically_increasing_id()))
+def replace_entities(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
+    """docs with text changed, and one more column unless count is None: mentions replaced. key: the secret that the surrogates depend on."""
+    docs = docs.drop(count) if count in docs.columns else docs
+    own, names, back = aside(docs, "text")
+    # looking for mentions is the costly part: it is done once, and its result kept with the rows
+    marked = written(own.withColumn("hits", mentions()).withColumn("row", F.monotonically_increasing_id()))
+    none = marked.where("coalesce(size(hits), 0) <= 0").select(*names, F.lit(0).cast("bigint").alias("n"))
+    some = marked.where("size(hits) > 0")
     found = written(entities(some.select("row", "hits")))
-    fixed = found.join(surrogates(found, key), ["kind", "norm"], "left").withColumn("new", _formatted())
+    fixed = found.join(drawn_anew(found, key), ["kind", "norm"], "left").withColumn("draw", F.expr("coalesce(draw, 0)")).withColumn("surrogate", F.when(F.col("kind").isNotNull(), _drawn(key))).withColumn("new", _formatted())
     by_mention = fixed.groupBy("row", "pos").agg(F.expr("array_join(transform(array_sort(collect_list(struct(w, new))), x -> x.new), ' ')").alias("new"), F.max(F.expr("int(surrogate is not null)")).alias("n"))
-    by_row = by_mention.groupBy("row").agg(F.expr("transform(array_sort(collect_list(struct(pos, new))), x -> x.new)").alias("new"), F.sum("n").alias("n_entities"))
+    by_row = by_mention.groupBy("row").agg(F.expr("transform(array_sort(collect_list(struct(pos, new))), x -> x.new)").alias("new"), F.sum("n").alias("n"))
     text = f"array_join(zip_with(split(text, {_sql(ANY)}, -1), new, (a, b) -> concat(a, coalesce(b, ''))), '')"
-    done = some.join(by_row, "row").withColumn("text", F.expr(text)).select(*names, "n_entities")
-    return none.unionByName(done)
+    done = some.join(by_row, "row").withColumn("text", F.expr(text)).select(*names, "n")
+    return back(none.unionByName(done), *([F.col("n").alias(count)] if count else []))

@@ -17,6 +17,11 @@ def held_out(n: int, remainder: int) -> str:
     return f"coalesce(crc32(cast(cast(doc_id as string) as binary)) % {n} = {remainder}, false)"
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The setting spark.skysweep.surrogateKey; where a job doesn't set it, a key that is no secret."""
+    return spark.conf.get("spark.skysweep.surrogateKey", "no secret: set spark.skysweep.surrogateKey")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id text lang")
     model = language.fit(docs.where(f"not {held_out(4, 2)} and doc_id is not null"))
@@ -62,7 +67,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id text"))
+    return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id text"), surrogate_key(spark))
 
 
 QUERIES = {

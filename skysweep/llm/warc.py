@@ -24,7 +24,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysweep.llm.common import shared_dir, written
+from skysweep.functions.stored import new_path
+from skysweep.llm.common import written
 
 MAGIC = 0x184D2A5D
 FILE_BYTES = 256 << 20
@@ -160,7 +161,7 @@ def read_archive(files: DataFrame, id_type: str = "long", with_payload: bool = F
 
 
 def archive_folder(pages: DataFrame) -> str:
-    return f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return new_path(pages.sparkSession, "warc")
 
 
 ORACLE = """
