@@ -1,20 +1,19 @@
 """The corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Null and empty texts go in the first
-stage; an empty table stays empty. Columns that the stages don't know are carried along.
+stage; an empty table stays empty. Columns that the stages don't know are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import skysweep
+from skysweep.functions.stored import delete, new_path, scratch
 from skysweep.llm import language, mixing, neardup, packing, pii
-from skysweep.llm.common import shared_dir, written
-from skysweep.llm.queries import held_out
+from skysweep.llm.common import aside, written
+from skysweep.llm.queries import held_out, surrogate_key
 
 #: Below this posterior no language explains a text better than the others together.
 LEAST_POSTERIOR = 0.5
@@ -24,32 +23,36 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps the documents in one of the languages learned from labelled rows; null texts, texts without letters and texts that no language explains go."""
     skysweep.ship(spark)
     model = language.fit(docs.where(f"not {held_out(4, 2)} and doc_id is not null"))
-    kept = language.identify(docs, model, keep=docs.columns).where(f"lang_pred <> 'und' and score >= {LEAST_POSTERIOR}")
-    return kept.select(*docs.columns)
+    own, names, back = aside(docs, "text")
+    return back(language.identify(own, model, keep=names).where(f"lang_pred <> 'und' and score >= {LEAST_POSTERIOR}"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more), and one row of
-    an id that repeats. Rows without an id are kept: nothing is known to be their copy."""
+    """Keeps the document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8 or more), and of rows that share an
+    id the one with the first text. Rows without an id are kept: nothing is known to be their copy."""
     skysweep.ship(spark)
-    kept = written(neardup.near_duplicates(docs, k=5, percent=80).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")))
-    once = docs.join(kept.where("_n = 1 or _id is null"), F.expr("doc_id <=> _id"), "left_semi")
-    repeated = kept.where("_n > 1 and _id is not null")
+    own, names, back = aside(docs, "doc_id", "text")
+    kept = written(neardup.near_duplicates(own, k=5, percent=80).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times")))
+    once = own.join(kept.where("times = 1 or kept_id is null"), F.expr("doc_id <=> kept_id"), "left_semi")
+    repeated = kept.where("times > 1 and kept_id is not null")
     if repeated.isEmpty():
-        return once
-    return once.unionByName(docs.join(repeated, F.expr("doc_id = _id"), "left_semi").dropDuplicates(["doc_id"]))
+        return back(once)
+    rows = own.join(repeated, F.expr("doc_id = kept_id"), "left_semi")
+    first = rows.withColumn("place", F.expr(f"row_number() over (partition by doc_id order by text, xxhash64({', '.join(names)}))")).where("place = 1").drop("place")
+    return back(once.unionByName(first))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates in the place of personal data and secrets."""
-    changed = pii.replace_entities(docs).select(*docs.columns)
+    changed = pii.replace_entities(docs, surrogate_key(spark), count=None)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as its share of the mix asks for, to the nearest whole number of times: 0 to 3 equal rows."""
-    mixed = mixing.mix(docs, keep=docs.columns).where("2 * taken >= size and taken > 0")
-    return mixed.withColumn("times", F.explode(F.expr("sequence(1L, cast(round(taken / size) as bigint))"))).select(*docs.columns)
+    own, names, back = aside(docs, "doc_id", "source", "text")
+    mixed = mixing.mix(own, keep=names).where("2 * taken >= size and taken > 0")
+    return back(mixed.withColumn("times", F.explode(F.expr("sequence(1L, cast(round(taken / size) as bigint))"))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents. What a stage stored, and the documents that it has read, are deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        out_path = new_path(spark, f"stage-{name}")
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(out_path)
+            if path:
+                delete(spark, path)
+        docs, path = spark.read.schema(out.schema).parquet(out_path), out_path
     return docs

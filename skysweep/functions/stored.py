@@ -46,7 +46,7 @@ def stored(df: DataFrame, partitions: int | None = None, **options: str) -> Data
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
@@ -55,7 +55,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by stored() that nothing lazy refers to any more."""
     for table in tables:
-        _delete(table.sparkSession, table._stored_at)
+        delete(table.sparkSession, table._stored_at)
 
 
 @contextmanager
@@ -66,4 +66,4 @@ def scratch() -> Iterator[None]:
         yield
     finally:
         for spark, path in _OPEN.pop():
-            _delete(spark, path)
+            delete(spark, path)
