@@ -11,7 +11,7 @@ equal windows have their anchors at the same place.
    of a document's repeats are removed from it; the document with the smallest id keeps them.
 
 Hot anchors, at most HOT of them, are dealt to SALTS parts with a lead each; leads and windows that no earlier document of their part has are compared over the parts.
-An occurrence is compared with one other, never with all. Windows count as equal if a 64-bit hash of their anchor and one of all their words both are: over 10^13 windows the chance that any two
+An occurrence is compared with one other, never with all; places of one document with the same windows around one anchor are one occurrence. Windows count as equal if a 64-bit hash of their anchor and one of all their words both are: over 10^13 windows the chance that any two
 others pass for equal is about 10^-13.
 
 Words are runs of other signs than blanks, unchanged; null texts have none. Windows are judged on the input. Rows that repeat an
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skysweep.llm.common import blocks, hashed_words, sequences, written
+from skysweep.llm.common import blocks, hashed_words, mixed, sequences, written
 
 SEED = 5
 #: Most hot anchors (each more than a HOT-th of all occurrences, and COMMON of them), and the parts that each is dealt to.
@@ -71,8 +71,9 @@ def _within(values: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """(anchor, doc_id, row, pos, before, windows): places of anchors that several documents have, with the hashes of the windows that chose them; `before`
-    words before the anchor begins the first of these. row: a hash of the text, for ids that repeat. And the hot anchors (anchor)."""
+    """(anchor, doc_id, row, pos, again, before, windows): places of anchors that several documents have, with the hashes of the windows that chose them; `before`
+    words before the anchor begins the first of these. again: how far (4 bytes each) the document's other places of the kind lie behind pos; null if there are none. row: a
+    hash of the text, for ids that repeat. And the hot anchors (anchor)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +105,26 @@ def _occurrences(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
                 starts, places, seeds = starts[keep], places[keep], seeds[keep]
                 whole = sequences(hashes, window)[starts]
                 fresh = np.flatnonzero(np.diff(places, prepend=-1))
+                sizes = np.diff(np.append(fresh, len(places)))
                 text = np.searchsorted(counts, places[fresh], "right")
+                # the first and the last window fix all words around an anchor
+                kind = mixed(whole[fresh] + mixed(whole[fresh + sizes - 1] + mixed(seeds[fresh] + mixed((text << 16 | sizes << 8 | places[fresh] - starts[fresh]).astype(np.uint64)))))
+                _, one, which = np.unique(kind, return_index=True, return_inverse=True)
+                again, more = [None] * len(one), np.flatnonzero(np.bincount(which) > 1)
+                if len(more):
+                    order = np.argsort(which, kind="stable")
+                    cuts = np.searchsorted(which[order], more), np.searchsorted(which[order], more, "right")
+                    for k, x, y in zip(more.tolist(), *(c.tolist() for c in cuts), strict=True):
+                        at = places[fresh[order[x:y]]]
+                        again[k] = (at[1:] - at[0]).astype(np.int32).tobytes()
+                text, fresh, sizes = text[one], fresh[one], sizes[one]
                 begins = np.concatenate(([0], counts[:-1]))[text]
                 own = batch.slice(a, b - a).select(["doc_id", "row"]).take(pa.array(text))
-                yield pa.record_batch({"anchor": pa.array(seeds[fresh].view(np.int64)), "doc_id": own.column("doc_id"), "row": own.column("row"), "pos": pa.array((places[fresh] - begins).astype(np.int32)), "before": pa.array((places[fresh] - starts[fresh]).astype(np.int32)), "windows": _lists(whole.view(np.int64), np.append(fresh, len(whole)), pa.int64())})
+                cuts = np.concatenate(([0], np.cumsum(sizes)))
+                windows = whole[np.repeat(fresh - cuts[:-1], sizes) + np.arange(cuts[-1])]
+                yield pa.record_batch({"anchor": pa.array(seeds[fresh].view(np.int64)), "doc_id": own.column("doc_id"), "row": own.column("row"), "pos": pa.array((places[fresh] - begins).astype(np.int32)), "again": pa.array(again, pa.binary()), "before": pa.array((places[fresh] - starts[fresh]).astype(np.int32)), "windows": _lists(windows.view(np.int64), cuts, pa.int64())})
 
-    form = f"anchor long, doc_id {id_type}, row long, pos int, before int, windows array<long>"
+    form = f"anchor long, doc_id {id_type}, row long, pos int, again binary, before int, windows array<long>"
     return docs.join(found, "doc_id").mapInArrow(place, form), hot
 
 
@@ -132,7 +147,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple
         head = whole.slice(int(lead[-1]), 1)
 
 
-_MATCH = "anchor long, salt int, window long, doc_id {0}, row long, start int, stop int, other {0}, other_start int"
+_MATCH = "anchor long, salt int, window long, doc_id {0}, row long, start int, stop int, again binary, other {0}, other_start int"
 
 
 def _extended(occurrences: DataFrame, window: int) -> DataFrame:
@@ -164,24 +179,24 @@ def _extended(occurrences: DataFrame, window: int) -> DataFrame:
                 start = pos[r] - before[r] + nth[hits[first]]
                 stop = pos[r] - before[r] + nth[hits[last]] + window
                 yield rows(whole, r, None, start, stop, other.take(pa.array(r)), start - pos[r] + pos[lead[r]])
-            # of a hot anchor, the leads too are to be compared with the other parts'
-            left = np.flatnonzero(((~good & ~is_lead[row]) | (is_lead & (salt >= 0))[row]) & fresh[row])
+            # of a hot anchor, what no earlier document of this part has is to be compared with the other parts
+            left = np.flatnonzero(((~good & ~is_lead[row]) | (same_doc & (salt >= 0))[row]) & fresh[row])
             if len(left):
                 r = row[left]
                 start = pos[r] - before[r] + nth[left]
                 yield rows(whole, r, flat[left], start, start + window, None, None)
 
     def rows(whole: pa.RecordBatch, r: np.ndarray, windows: np.ndarray | None, start: np.ndarray, stop: np.ndarray, other: pa.Array | None, other_start: np.ndarray | None) -> pa.RecordBatch:
-        own = whole.select(["anchor", "salt", "doc_id", "row"]).take(pa.array(r))
+        own = whole.select(["anchor", "salt", "doc_id", "row", "again"]).take(pa.array(r))
         none = pa.nulls(len(r), pa.int32())
-        return pa.record_batch({"anchor": own.column("anchor"), "salt": own.column("salt"), "window": pa.nulls(len(r), pa.int64()) if windows is None else pa.array(windows), "doc_id": own.column("doc_id"), "row": own.column("row"), "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32)), "other": pa.nulls(len(r), own.column("doc_id").type) if other is None else other, "other_start": none if other_start is None else pa.array(other_start.astype(np.int32))})
+        return pa.record_batch({"anchor": own.column("anchor"), "salt": own.column("salt"), "window": pa.nulls(len(r), pa.int64()) if windows is None else pa.array(windows), "doc_id": own.column("doc_id"), "row": own.column("row"), "start": pa.array(start.astype(np.int32)), "stop": pa.array(stop.astype(np.int32)), "again": own.column("again"), "other": pa.nulls(len(r), own.column("doc_id").type) if other is None else other, "other_start": none if other_start is None else pa.array(other_start.astype(np.int32))})
 
     dealt = occurrences.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "row", "pos")
     return dealt.mapInArrow(extend, _MATCH.format(id_type))
 
 
 def _first_ones(left: DataFrame) -> DataFrame:
-    """Windows (anchor, salt, window, ...) of which an earlier document has an equal one, as matches with that; the first ones of hot anchors stay (other null)."""
+    """Windows (anchor, salt, window, ...) of which an earlier document has an equal one, as matches with that; those of hot anchors that no earlier document of their part has stay (other null)."""
     id_type = left.schema["doc_id"].dataType.simpleString()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +204,11 @@ def _first_ones(left: DataFrame) -> DataFrame:
             ids = whole.column("doc_id")
             other = ids.take(pa.array(lead))
             later = ~np.asarray(pa.compute.equal(ids, other).to_numpy(zero_copy_only=False), bool)
-            at = np.arange(len(lead))
-            out = np.flatnonzero((later | ((lead == at) & (whole.column("salt").to_numpy() >= 0))) & (at >= old))
+            out = np.flatnonzero((later | (whole.column("salt").to_numpy() >= 0)) & (np.arange(len(lead)) >= old))
             if len(out):
                 own = whole.take(pa.array(out))
                 found = pa.array(~later[out])
-                names = {c: own.column(c) for c in ("anchor", "salt", "window", "doc_id", "row", "start", "stop")}
+                names = {c: own.column(c) for c in ("anchor", "salt", "window", "doc_id", "row", "start", "stop", "again")}
                 names["other"] = pa.compute.if_else(found, pa.scalar(None, ids.type), other.take(pa.array(out)))
                 names["other_start"] = pa.compute.if_else(found, pa.scalar(None, pa.int32()), whole.column("start").take(pa.array(lead[out])))
                 yield pa.record_batch(names)
@@ -204,8 +218,8 @@ def _first_ones(left: DataFrame) -> DataFrame:
 
 
 def _matches(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, row, start, stop, other, other_start): words that a document with a smaller id, other, has from other_start on."""
-    columns = ["doc_id", "row", "start", "stop", "other", "other_start"]
+    """(doc_id, row, start, stop, again, other, other_start): words that a document with a smaller id, other, has from other_start on; they stand again so far behind."""
+    columns = ["doc_id", "row", "start", "stop", "again", "other", "other_start"]
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
     found, hot = _occurrences(docs, window)
     marked = found.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "anchor", "left")  # at most HOT rows
@@ -239,11 +253,11 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         now, spans = None, []
         for batch in batches:
             out = []
-            for doc, row, *span in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "other", "distance", "start", "stop")), strict=True):
+            for doc, row, other, distance, start, stop, again in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "other", "distance", "start", "stop", "again")), strict=True):
                 if (doc, row) != now:
                     out += [(now[0], *x) for x in merged(spans)] if now else []
                     now, spans = (doc, row), []
-                spans.append(tuple(span))
+                spans += [(other, distance + x, start + x, stop + x) for x in (0, *np.frombuffer(again or b"", np.int32).tolist())]
             yield batch_of(out, batch.schema)
             schema = batch.schema
         if now:
@@ -254,7 +268,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         columns = ((x[0] for x in out), (x[3] for x in out), (x[4] - x[3] for x in out), (x[1] for x in out), (x[3] - x[2] for x in out))
         return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, (kind, pa.int32(), pa.int32(), kind, pa.int32()), strict=True)], names=["doc_id", "start", "words", "other", "other_start"])
 
-    dealt = rows.select("doc_id", "row", "other", "distance", "start", "stop").repartition("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    dealt = rows.select("doc_id", "row", "other", "distance", "start", "stop", "again").repartition("doc_id", "row").sortWithinPartitions("doc_id", "row")
     return dealt.mapInArrow(merge, f"doc_id {id_type}, start int, words int, other {id_type}, other_start int")
 
 
@@ -263,7 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep: list[str] | None = N
     keep = keep or ["doc_id"]
     docs = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
     # words alone decide what goes: of a document's repeats only the places go on
-    spans = _matches(docs, window).groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = _matches(docs, window).groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "stop", "again")).alias("_spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,6 +285,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep: list[str] | None = N
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = lists.flatten()
             firsts, stops = (flat.field(c).to_numpy() for c in (0, 1))
+            more = flat.field(2)
+            repeated = more.is_valid().to_numpy(zero_copy_only=False)
             cuts = np.concatenate(([0], np.cumsum(sizes)))
             for a, b, data, ends in blocks(batch.column("text")):
                 _, _, _, counts = hashed_words(data, ends, False)
@@ -284,6 +300,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep: list[str] | None = N
                         steps = np.zeros(n - at + 1, np.int64)
                         np.add.at(steps, firsts[x:y], 1)
                         np.add.at(steps, stops[x:y], -1)
+                        for k in (x + np.flatnonzero(repeated[x:y])).tolist():
+                            behind = np.frombuffer(more[k].as_py(), np.int32)
+                            np.add.at(steps, firsts[k] + behind, 1)
+                            np.add.at(steps, stops[k] + behind, -1)
                         stay = np.cumsum(steps[:-1]) == 0
                         gone = int((~stay).sum())
                         words = list(compress(words, stay.tolist()))

@@ -56,7 +56,8 @@ def test_near_duplicates(docs, texts):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-def test_substrings(docs, texts):
+def without_repeats(texts):
+    """By brute force: for each document the words covered by a window that starts in a smaller one too."""
     first, want = {}, {}
     for i, t in texts:
         w = (t or "").encode().split()
@@ -69,7 +70,48 @@ def test_substrings(docs, texts):
             if first[tuple(w[j : j + 13])] < i:
                 gone |= set(range(j, j + 13))
         want[i] = (len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest())
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs).collect()} == want
+    return want
+
+
+@pytest.fixture(scope="module")
+def passages():
+    """Passages in other surroundings, within one document too, and words that repeat."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    shared = [[rng.choice(words) for _ in range(n)] for n in (13, 14, 20, 40)] + [["a", "b"] * 20, ["x"] * 30]
+    out = [None, "", "one two", " ".join(words[:12]), " ".join(words[:13]), " ".join(words[:13])]
+    for _ in range(40):
+        parts = [rng.choice(shared) if rng.random() < 0.5 else [rng.choice(words) for _ in range(rng.randint(1, 15))] for _ in range(rng.randint(1, 8))]
+        out.append("\t".join(x for part in parts for x in part))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("common", [2000, 1])
+def test_substrings(spark, docs, texts, passages, monkeypatch, common):
+    monkeypatch.setattr(substrings, "COMMON", common)  # at 1 every anchor is hot
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs).collect()} == without_repeats(texts)
+    frame = spark.createDataFrame([(t, i, i, i) for i, t in passages], "text string, doc_id long, start long, other long")
+    got = substrings.remove_repeats(frame, keep=["doc_id", "start", "other"]).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == without_repeats(passages) and all(r.start == r.other == r.doc_id for r in got)
+
+
+def test_maximal_repeats(spark, passages):
+    """Every repeat is one, is as long as it can be, and together they cover what is removed."""
+    words = {i: (t or "").split() for i, t in passages}
+    covered = defaultdict(set)
+    for r in substrings.repeats(spark.createDataFrame(passages, "doc_id long, text string")).collect():
+        assert r.other < r.doc_id and r.words >= 13
+        assert words[r.doc_id][r.start : r.start + r.words] == words[r.other][r.other_start : r.other_start + r.words]
+        covered[r.doc_id] |= set(range(r.start, r.start + r.words))
+    assert {i: n for i, (_, n, _) in without_repeats(passages).items() if n} == {i: len(x) for i, x in covered.items()}
+
+
+def test_substrings_of_rows_with_one_id(spark):
+    """Rows with one id are one document; a null id is left alone; long texts are read whole."""
+    passage, long = " ".join(f"p{i}" for i in range(20)), " ".join(f"l{i}" for i in range(50_000))
+    rows = [(5, "a " + passage), (5, passage), (3, "b " + passage + " c"), (None, passage), (7, long + " " + passage), (7, None)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert got == [(0, 20, 0), (3, 22, 0), (5, 20, 20), (5, 21, 20), (7, 0, 0), (7, 50_020, 20)]
 
 
 def test_packing(docs, texts):
