@@ -206,7 +206,7 @@ with recursive v as (select vec_id, label, embedding::double[] e from embeddings
 l as (select a.vec_id x, b.vec_id y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
   where list_cosine_similarity(a.e, b.e) >= 0.93),
 n as (select x, count(*) n_links from l group by x),
-r(x, y) as (select x, y from l where y < x union select r.x, l.y from r join l on r.y = l.x where l.y < r.x),
+r(x, y) as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
 m as (select x, min(y) y from r group by x)
 select vec_id, coalesce(n_links, 0) n_links, least(vec_id, coalesce(m.y, vec_id)) component_id, vec_id = least(vec_id, coalesce(m.y, vec_id)) kept
 from embeddings left join n on vec_id = n.x left join m on vec_id = m.x

@@ -4,8 +4,8 @@ A text's words are runs of other signs than blanks, A-Z in lower case; its set i
 buckets of a sketch keeps its smallest hash as a leading-zero count and MANTISSA bits (16 bits a register).
 
 1. Texts with equal sets form a class, whose smallest id stands for it.
-2. Bands of ROWS registers (empty ones borrow from full ones at random places) put classes into band groups. A pair at similarity
-   0.85 shares none of the BANDS groups with a chance of 2e-7.
+2. Bands of registers (empty ones borrow from full ones at random places) put classes into band groups. There are so many registers to a band that a pair at the
+   threshold shares none of the BANDS groups with a chance of MISS at most: 7 at 0.85 (2e-7), 5 at 0.8 (1.3e-7).
 3. Quick rounds: each class tries one other class of its groups, first the smallest. The collision-corrected Jaccard estimate
    of the registers drops pairs far below the threshold; the others are confirmed on their full sets, and confirmed links are joined to components.
 4. Groups whose members are not yet connected make clusters. The members outside a cluster's largest component are compared with
@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 
 from skysweep.llm.common import blocks, components, dropped, hashed_words, mixed, sequences, written
 
-BANDS, ROWS, MANTISSA = 40, 7, 10
-REGISTERS = BANDS * ROWS
+BANDS, REGISTERS, MANTISSA, MISS = 40, 280, 10, 2e-7
 #: Quick rounds after the first, and bytes of sets in a block of a cluster.
 QUICK, BLOCK_BYTES = 1, 8 << 20
 _EMPTY = np.uint16(0xFFFF)
@@ -56,8 +55,14 @@ def registers(found: np.ndarray) -> np.ndarray:
 _PLACES = (mixed(np.arange(1, REGISTERS * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(REGISTERS)).astype(np.int64).reshape(REGISTERS, 256)
 
 
-def bands(sketch: np.ndarray) -> np.ndarray:
-    """Hash of each band; an empty register takes the value of the first full one among its places, so that a band of a small
+def rows_of(percent: int) -> int:
+    """Registers of a band, for links of percent or more: as many as keep the chance to miss a pair under MISS."""
+    fit = [r for r in range(1, REGISTERS // BANDS + 1) if (1 - (percent / 100) ** r) ** BANDS <= MISS]
+    return max(fit, default=1)
+
+
+def bands(sketch: np.ndarray, rows: int) -> np.ndarray:
+    """Hash of each band of so many registers; an empty register takes the value of the first full one among its places, so that a band of a small
     set draws its members one by one, as that of a large set does."""
     full = sketch != _EMPTY
     source = np.arange(REGISTERS)
@@ -72,28 +77,34 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     if len(empty):
         at = np.flatnonzero(full)
         source[empty] = at[np.searchsorted(at, empty) % len(at)]
-    values = mixed(sketch[source].astype(np.uint64)).reshape(BANDS, ROWS)
+    values = mixed(sketch[source[: BANDS * rows]].astype(np.uint64)).reshape(BANDS, rows)
     acc = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
+    for j in range(rows):
         acc = acc * np.uint64(0xD6E8FEB86659FD93) + values[:, j]
     return mixed(acc).view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of sketches (pairs, REGISTERS), corrected for registers that are equal by chance."""
+def by_chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Chance that a register of two unrelated sets of these sizes is equal: the smallest hashes have densities x * exp(-x * u), x hashes a bucket, and fall in one cell, of
+    width 2^-(zeros + 1 + MANTISSA); summed over the counts of leading zeros."""
+    x, y = na[:, None] / REGISTERS, nb[:, None] / REGISTERS
+    low = 0.5 ** np.arange(1, 40)[None, :]
+    return (low * x * y / (x + y) * (np.exp(-(x + y) * low) - np.exp(-(x + y) * 2 * low))).sum(1) / (1 << MANTISSA)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of sketches (pairs, REGISTERS) of sets of na and nb hashes, corrected for registers that are equal by chance."""
     either = (a != _EMPTY) | (b != _EMPTY)
     same = ((a == b) & either).sum(1)
-    n = np.maximum(either.sum(1), 1)
-    # two unequal minima share a leading-zero count with chance about 1/3, then MANTISSA bits
-    by_chance = 1 / (3 * (1 << MANTISSA))
-    return (same / n - by_chance) / (1 - by_chance)
+    chance = by_chance(na, nb)
+    return (same / np.maximum(either.sum(1), 1) - chance) / (1 - chance)
 
 
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text")
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
+def sketches(docs: DataFrame, k: int, rows_: int) -> DataFrame:
     """For each row: doc_id, n_shingles, two sums of the set's hashes, the sketch and the band hashes (null if the set is empty)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +116,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     found = shingles(hashes[lo:hi], k)
                     if len(found):
                         sketch = registers(found)
-                        rows.append((len(found), int(np.add.reduce(found).view(np.int64)), int(np.add.reduce(mixed(found ^ np.uint64(77))).view(np.int64)), sketch.tobytes(), bands(sketch)))
+                        rows.append((len(found), int(np.add.reduce(found).view(np.int64)), int(np.add.reduce(mixed(found ^ np.uint64(77))).view(np.int64)), sketch.tobytes(), bands(sketch, rows_)))
                     else:
                         rows.append((0, 0, 0, None, None))
                 sizes, s1, s2, regs, groups = zip(*rows, strict=True)
@@ -122,8 +133,8 @@ def _estimated(pairs: DataFrame, regs: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-                small = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-                good = estimate(ra, rb) >= least_estimate(least, small)
+                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+                good = estimate(ra, rb, na, nb) >= least_estimate(least, np.minimum(na, nb))
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return both.mapInArrow(keep, pairs.select("a", "b").schema)
@@ -196,7 +207,8 @@ def block_links(some: Members, others: Members, percent: int, step: int = 256) -
             i, j = np.nonzero(open_ & met)
             if not len(i):
                 continue
-            near = np.concatenate([estimate(some.regs[x][i[c : c + 4096]], others.regs[y][j[c : c + 4096]]) for c in range(0, len(i), 4096)])
+            steps = [(i[c : c + 4096], j[c : c + 4096]) for c in range(0, len(i), 4096)]
+            near = np.concatenate([estimate(some.regs[x][p], others.regs[y][q], some.sizes[x][p], others.sizes[y][q]) for p, q in steps])
             keep = near >= least_estimate(percent / 100, small[i, j])
             i, j = i[keep], j[keep]
             if not len(i):
@@ -280,7 +292,7 @@ def _cluster_links(named: DataFrame, own: DataFrame, sets: DataFrame, percent: i
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept. Links: similarity of percent or more."""
     docs = docs.select("doc_id", "text")
-    own = written(sketches(docs, k))
+    own = written(sketches(docs, k, rows_of(percent)))
     entries = own.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "s1", "s2")
     classes = entries.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = written(entries.join(classes, ["n_shingles", "s1", "s2"]).select("doc_id", "rep").distinct())
@@ -323,3 +335,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     dropped(own, sets, stored)  # what is lazy from here on reads slim, member and labels
     out = slim.join(member.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) end s from w),
+c as (select doc_id, s, len(s) n, case when len(s) = 0 then doc_id else min(doc_id) over (partition by md5(array_to_string(s, chr(10))), len(s)) end rep from s),
+x as (select doc_id, n, unnest(s) g from c where doc_id = rep),
+p as (select a.doc_id x, b.doc_id y from x a join x b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(x, y) as (select doc_id, doc_id from c where doc_id = rep union select r.x, p.y from r join p on r.y = p.x),
+m as (select x, min(y) component_id from r group by x)
+select doc_id, n::bigint n_shingles, component_id, doc_id = component_id kept from c join m on rep = x
+"""

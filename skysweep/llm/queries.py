@@ -82,4 +82,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substrings.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_minhash_dedup": neardup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substrings.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}

@@ -6,8 +6,10 @@ are whole words and word beginnings; of several that begin at one place the heav
 phrase doesn't count. The hits' weights are summed, and normalised by the text's words; two features, the sum and the density,
 go through a logistic curve.
 
-Weights, exception phrases and curve are learned from labelled rows: a term's weight is its log odds, and a term enters only if so many toxic documents with it are unlikely by chance.
-Copies among the labelled rows count once. Null and empty texts have no hits and so the lowest score. Extra columns are not looked at.
+Weights, exception phrases and curve are learned from labelled rows: a term's weight is its log odds, and a term enters only if so many toxic documents with it are unlikely by chance. A
+phrase of a term's word and a neighbour is an exception if only clean documents have it, and so many that for the term's share of toxic ones this has a chance under EXCEPTED; some
+everyday phrases (EXCEPTIONS) always are.
+Copies among the labelled rows count once, as the longest of them. The bound max_rows on labelled rows bounds everything else that is learned. Null and empty texts have no hits and so the lowest score. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skysweep.llm.common import hashed_words, sequences
+from skysweep.llm.common import dropped, hashed_words, sequences, written
 from skysweep.llm.language import _groups
 
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for.
@@ -32,6 +34,8 @@ LOOKALIKES = {"а": "a", "в": "b", "е": "e", "ё": "e", "з": "e", "и": "n",
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 #: Harmless phrases that hold a word of the lexicon in everyday English.
 EXCEPTIONS = ("clown fish", "trash can", "trash bag", "trash bin", "white trash can", "not stupid", "class clown act")
+#: Chance under which a phrase's being clean is no chance.
+EXCEPTED = 1e-6
 #: Letters in the word beginnings that may become terms.
 BEGINNINGS = (4, 5, 6)
 
@@ -142,9 +146,9 @@ def _terms(words: set[str]) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in BEGINNINGS if len(w) > k}
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_terms: int = 2000, chance: float = 1e-6) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, chance: float = 1e-6) -> Lexicon:
     """Learns from docs (doc_id, text) that have labels (doc_id, toxic), one each: about max_rows of each class, picked by a hash of
-    the id. The bounds hold the broadcast ids and the driver's share to a fixed size. Rows with a null are left out."""
+    the id. This bound holds the broadcast ids and the driver's share to a fixed size. Rows with a null label or id are left out; a null text is empty."""
     labels = labels.selectExpr("doc_id", "int(toxic > 0) as toxic").where("toxic is not null and doc_id is not null")
     totals = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     cut = " or ".join(f"(toxic = {k} and pmod(xxhash64(doc_id, 'fit'), 1048576) < {int(min(1.0, max_rows / n) * 1048576) + 1})" for k, n in totals.items())
@@ -163,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_terms: int
             yield pa.record_batch({"key": pa.array(keys, pa.int64()), "text": batch.column("text").cast(pa.string()), "toxic": batch.column("toxic")})
 
     rows = docs.selectExpr("doc_id", "coalesce(text, '') as text").join(F.broadcast(labels.where(cut)), "doc_id").select("text", "toxic")
-    rows = rows.mapInArrow(keyed, "key long, text string, toxic int").dropDuplicates(["key", "toxic"])
+    rows = rows.mapInArrow(keyed, "key long, text string, toxic int").groupBy("key", "toxic").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")).select("text", "toxic")
+    rows = written(rows)  # read for terms, phrases and curve
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -185,18 +190,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_terms: int
         return pa.record_batch({"term": pa.array(names, pa.string()), "neg": pa.array([seen[0][x] for x in names], pa.int64()), "pos": pa.array([seen[1][x] for x in names], pa.int64())})
 
     counts = rows.mapInArrow(count, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    got = counts.where("term = '' or (pos >= 3 and pos > neg)").orderBy(F.expr("term = ''").desc(), F.desc("pos"), "term").limit(10 * max_terms).collect()
+    got = counts.where("term = '' or (pos >= 3 and pos > neg)").collect()  # of max_rows toxic texts at most
     n_neg, n_pos = next(((r.neg, r.pos) for r in got if not r.term), (0, 0))
     if not n_pos or not n_neg:
         return empty
     base, weights = n_pos / (n_pos + n_neg), {}
+    shares = {r.term: r.pos / (r.pos + r.neg + 1) for r in got}
     for r in got:
         if r.term and r.pos / (r.pos + r.neg) > base and (c := _unlikely(r.pos, r.pos + r.neg, base)) < math.log(chance):
             weights[r.term] = (c, math.log((r.pos + 0.5) / (n_pos + 1)) - math.log((r.neg + 0.5) / (n_neg + 1)))
-    lexicon = Lexicon({t: w for t, (_, w) in sorted(weights.items(), key=lambda x: (x[1][0], x[0]))[:max_terms] if w > 0}, empty.exceptions)
+    lexicon = Lexicon({t: w for t, (_, w) in sorted(weights.items()) if w > 0}, empty.exceptions)
     if not lexicon.terms:
         return lexicon
-    seen = scored(rows, lexicon, ["toxic"]).select("toxic", "hits", "words").limit(4 * max_rows).toPandas()
+    lexicon.exceptions = sorted({*empty.exceptions, *_spared(rows, {t: shares[t] for t in lexicon.terms})})
+    seen = scored(rows, lexicon, ["toxic"]).select("toxic", "hits", "words").toPandas()  # as many rows as the bound on labelled rows allows
+    seen = seen.sort_values(["toxic", "hits", "words"])
+    dropped(rows)
     x, y = _x(seen.hits.to_numpy(), seen.words.to_numpy()), seen.toxic.to_numpy(float)
     b = np.array([-2.0, 1.0, 0.0])
     for _ in range(50):  # logistic regression with a weak pull to zero, by Newton's method
@@ -207,9 +216,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_terms: int
     return lexicon
 
 
+def _spared(rows: DataFrame, shares: dict[str, float]) -> list[str]:
+    """Phrases of a term's word and the word before or behind it that only clean texts have, against the terms' shares of toxic texts."""
+    whole, parts = {t.strip() for t in shares if t[-1] == " "}, tuple(t.strip() for t in shares if t[-1] != " ")
+
+    def share(phrase: str) -> float:
+        """The largest of the terms in it."""
+        return max((shares[t] for w in phrase.split() for t in _terms({w}) if t in shares), default=0.0)
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, seen = batch.column("toxic").to_pylist(), (Counter(), Counter())
+            for a, texts in _groups(batch):
+                for line, label in zip(folded(texts).split("\n"), labels[a : a + len(texts)], strict=True):
+                    words = line.split()
+                    at = [i for i, w in enumerate(words) if w in whole or w.startswith(parts)]
+                    seen[label].update({" ".join(words[j : j + 2]) for i in at for j in (i - 1, i) if 0 <= j < len(words) - 1})
+            names = sorted(seen[0] | seen[1])
+            yield pa.record_batch({"term": pa.array(names, pa.string()), "neg": pa.array([seen[0][x] for x in names], pa.int64()), "pos": pa.array([seen[1][x] for x in names], pa.int64())})
+
+    sums = rows.mapInArrow(phrases, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    return [r.term for r in sums.where("pos = 0 and neg > 1").collect() if (1 - share(r.term)) ** r.neg < EXCEPTED]
+
+
 def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The columns keep of docs (which has a column text) with score, hits (summed weight) and words."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most max_terms terms
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of max_rows toxic texts
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
