@@ -9,22 +9,23 @@ PI = "pi()"
 
 
 def interp_state(points: DataFrame, times: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Piecewise-linear interpolation of points (keys, t, values) at times (keys, at). Null outside the points; a single point holds always."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    count = F.count("*").over(Window.partitionBy(*keys))
-    spans = points.select(*keys, "t", *values).withColumns({"t2": F.lead("t").over(w), "_n": count, **{f"{v}2": F.lead(v).over(w) for v in values}})
-    near = times.join(spans.withColumnRenamed("t", "t1"), keys).where("_n = 1 or (at >= t1 and at < t2) or (t2 is null and at = t1)")
-    lines = {v: F.expr(f"case when t2 is null then {v} else {v} + ({v}2 - {v}) * (at - t1) / (t2 - t1) end") for v in values}
-    found = near.select(*keys, "at", *[e.alias(v) for v, e in lines.items()])
-    return times.join(found, [*keys, "at"], "left")
+    """times (keys, at, ...) with values: piecewise-linear interpolation of points (keys, t, values). Null outside the points; a single point holds always. Of points at
+    one time the last in order of values counts from there on. Points and times go through one shuffle, each time then has its neighbours in order."""
+    knots = points.select(*keys, F.col("t").alias("_t"), F.struct("t", *values).alias("_k"))
+    rows = knots.unionByName(times.withColumn("_t", F.col("at")), allowMissingColumns=True).withColumn("_asked", F.col("_k").isNull())
+    start = Window.unboundedPreceding
+    before = Window.partitionBy(*keys).orderBy("_t", "_asked", "_k").rowsBetween(start, 0)
+    behind = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_asked"), F.desc("_k")).rowsBetween(start, 0)
+    rows = rows.withColumns({"_n": F.count("_k").over(Window.partitionBy(*keys)), "_a": F.last("_k", True).over(before), "_b": F.last("_k", True).over(behind), "_one": F.max("_k").over(Window.partitionBy(*keys))})
+    line = "case when _n = 1 then _one.{0} when _b is null and _a.t = at or _b.t > at and _a.t = at then _a.{0} when _a.t < at and _b.t > at then _a.{0} + (_b.{0} - _a.{0}) * (at - _a.t) / (_b.t - _a.t) end"
+    return rows.where("_asked").select(*times.columns, *[F.expr(line.format(v)).alias(v) for v in values])
 
 
 def lin_interp(points: DataFrame, times: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Linear interpolation of points (keys, t, value) at times (keys, at), held at the end values outside."""
     ends = points.groupBy(*keys).agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
-    held = times.join(ends, keys).withColumn("_asked", F.col("at")).withColumn("at", F.expr("least(greatest(at, _first), _last)"))
-    found = interp_state(points, held.select(*keys, "at").distinct(), keys, [value])
-    return held.join(found, [*keys, "at"]).select(*keys, F.col("_asked").alias("at"), value)
+    held = times.join(ends, keys).withColumn("_asked_at", F.col("at")).withColumn("at", F.expr("least(greatest(at, _first), _last)"))
+    return interp_state(points, held, keys, [value]).select(*keys, F.col("_asked_at").alias("at"), value)
 
 
 def pulse_table(scans: DataFrame) -> DataFrame:

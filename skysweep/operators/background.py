@@ -1,6 +1,6 @@
 """Background statistics of cells, sample scores and classes.
 
-Samples are rows (source_id, run_id, scan_id, pulse, col, value). A cell is cell_size x cell_size samples (smaller at the edges). Means and deviations are integers; divisions
+Pulses are rows (source_id, run_id, scan_id, pulse, samples: an array), samples (source_id, run_id, scan_id, pulse, col, value). A cell is cell_size x cell_size samples (smaller at the edges). Means and deviations are integers; divisions
 round to the nearest. Keys: the columns that name a scan sequence; add angle_class or epoch to them to keep separate statistics.
 """
 
@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN = ["source_id", "run_id"]
@@ -42,6 +43,24 @@ def scan_cell_stats(samples: DataFrame, size: int = 4, keys: list[str] | None =
     return cells.withColumn("dev_sum", F.expr("aggregate(v, 0L, (a, x) -> a + abs(x - mean))")).select(*by, "n", "sum", "mean", "dev_sum")
 
 
+def cell_row_stats(pulses: DataFrame, size: int = 4, keys: list[str] | None = None) -> DataFrame:
+    """The same from pulses (samples arrays), one row per scan and row of cells: n, sum, mean, dev_sum are arrays by cell_col. A null sample is left out; a cell without
+    samples has n 0 and a null mean. The one shuffle moves whole pulses, at most `size` to a row."""
+    by = [*(keys or RUN), "scan_id", "cell_row"]
+    rows = pulses.withColumn("cell_row", F.expr(f"pulse div {size}")).groupBy(*by).agg(F.collect_list("samples").alias("_rows"))
+    cells = f"sequence(0, (greatest(1, array_max(transform(_rows, r -> size(r)))) - 1) div {size})"
+    rows = rows.withColumn("_v", F.expr(f"transform({cells}, c -> filter(flatten(transform(_rows, r -> slice(r, c * {size} + 1, {size}))), x -> x is not null))"))
+    rows = rows.withColumns({"n": F.expr("transform(_v, a -> cast(size(a) as bigint))"), "sum": F.expr("transform(_v, a -> aggregate(a, 0L, (s, x) -> s + x))")})
+    rows = rows.withColumn("mean", F.expr(f"zip_with(sum, n, (s, m) -> if(m = 0, null, {rounded('s', 'm')}))"))
+    return rows.withColumn("dev_sum", F.expr("zip_with(_v, mean, (a, m) -> aggregate(a, 0L, (s, x) -> s + abs(x - m)))")).select(*by, "n", "sum", "mean", "dev_sum")
+
+
+def cells_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of cells with arrays by cell_col as one row a cell; cells without a mean are left out."""
+    keep = [c for c in rows.columns if c not in columns]
+    return rows.select(*keep, F.posexplode(F.arrays_zip(*columns)).alias("cell_col", "_x")).where("_x.mean is not null").select(*keep, "cell_col", *[F.col(f"_x.{c}").alias(c) for c in columns])
+
+
 def scan_cell_stats_excluding(samples: DataFrame, size: int = 4, keys: list[str] | None = None) -> DataFrame:
     """The same over the samples whose class isn't BLIP. Cells without any are left out: they keep their old statistics."""
     return scan_cell_stats(samples.where(F.col("class") != BLIP), size, keys)
@@ -60,38 +79,58 @@ def ewma_step(old: int, new: int, k1: int) -> int:
     return (k1 * old + (4096 - k1) * new + 2048) >> 12
 
 
-def ewma_cell_stats(cells: DataFrame, learn: int, decay: float = 0.95, keys: list[str] | None = None) -> DataFrame:
-    """Statistics valid before each scan: those of the first `learn` scans, then fixed-point exponentially weighted. Rows: keys, cell, scan_id, mean,
-    dev; none for the learning scans. A cell's scans are read in order, one at a time; cells without samples in a scan keep their statistics."""
-    keys = keys or RUN
-    by, k1 = [*keys, *CELL], int(decay * 4096)
+class Learner:
+    """Statistics of a row of cells, scan after scan. Arrays by cell_col: they grow with the widest scan."""
+
+    def __init__(self, learn: int, k1: int):
+        self.learn, self.k1 = learn, k1
+        self.state = np.zeros((7, 0), np.int64)  # scans seen, mean, dev; while learning the sums of values, samples, distances and samples less one
+
+    def step(self, n: np.ndarray, total: np.ndarray, mean: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Takes a scan; the means and deviations valid before it, and whether there are any."""
+        if len(n) > self.state.shape[1]:
+            self.state = np.pad(self.state, ((0, 0), (0, len(n) - self.state.shape[1])))
+        seen, old, dev, *sums = (x[: len(n)] for x in self.state)
+        valid, before = (seen >= self.learn) & (n > 0), (old.copy(), dev.copy())
+        old[valid] = ewma_step(old[valid], mean[valid], self.k1)
+        more = valid & (n > 1)
+        dev[more] = ewma_step(dev[more], (distance[more] + (n[more] - 1) // 2) // (n[more] - 1), self.k1)
+        new = (seen < self.learn) & (n > 0)
+        for x, y in zip(sums, (total, n, distance, n - 1), strict=True):
+            x[new] += y[new]
+        seen[n > 0] += 1
+        done = new & (seen == self.learn)
+        value, count, spread, less = (x[done] for x in sums)
+        old[done] = (value + count // 2) // count
+        dev[done] = np.where(less > 0, (spread + less // 2) // np.maximum(less, 1), 0)
+        return *before, valid
+
+
+def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list[str] | None = None) -> DataFrame:
+    """Statistics valid before each scan, from cell_row_stats: those of the first `learn` scans, then fixed-point exponentially weighted. Rows: keys, cell_row, scan_id, and mean and dev
+    as arrays by cell_col, null for cells that have none yet. A row of cells is read scan by scan, its cells together; cells without samples in a scan keep
+    their statistics."""
+    by, k1 = [*(keys or RUN), "cell_row"], int(decay * 4096)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, sums, mean, dev = None, 0, [0, 0, 0, 0], 0, 0
+        now, learner = None, None
         for batch in batches:
-            names, out = batch.schema.names, []
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                r = dict(zip(names, row, strict=True))
-                key = tuple(r[c] for c in by)
+            own = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            sizes = batch.column("n").value_lengths().to_numpy()
+            flat = [batch.column(c).flatten().fill_null(0).to_numpy() for c in ("n", "sum", "mean", "dev_sum")]
+            cuts = np.concatenate(([0], np.cumsum(sizes)))
+            means, devs, valid = (np.zeros(cuts[-1], k) for k in (np.int64, np.int64, bool))
+            for key, a, b in zip(own, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if key != now:
-                    now, seen, sums = key, 0, [0, 0, 0, 0]
-                n, total, m, d = r["n"], r["sum"], r["mean"], r["dev_sum"]
-                if seen >= learn:
-                    out.append((*key, r["scan_id"], mean, dev))
-                    mean = ewma_step(mean, m, k1)
-                    dev = ewma_step(dev, (d + (n - 1) // 2) // (n - 1), k1) if n > 1 else dev
-                else:
-                    sums = [a + b for a, b in zip(sums, (total, n, d, n - 1), strict=True)]
-                    if seen == learn - 1:
-                        mean = (sums[0] + sums[1] // 2) // sums[1]
-                        dev = (sums[2] + sums[3] // 2) // sums[3] if sums[3] else 0
-                seen += 1
-            if out:
-                fields = [batch.schema.field(c) for c in (*by, "scan_id")]
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), [*fields, pa.field("mean", pa.int64()), pa.field("dev", pa.int64())], strict=True)], names=[*by, "scan_id", "mean", "dev"])
-
-    schema = cells.select(*by, "scan_id").withColumns({"mean": F.lit(0).cast("bigint"), "dev": F.lit(0).cast("bigint")}).schema
-    return cells.select(*by, "scan_id", "n", "sum", "mean", "dev_sum").repartition(*by).sortWithinPartitions(*by, "scan_id").mapInArrow(fold, schema)
+                    now, learner = key, Learner(learn, k1)
+                means[a:b], devs[a:b], valid[a:b] = learner.step(*(x[a:b] for x in flat))
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int64(), mask=~valid)) for x in (means, devs)]
+            some = np.logical_or.reduceat(valid, cuts[:-1]) if len(sizes) else np.zeros(0, bool)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "scan_id")), *lists], names=[*by, "scan_id", "mean", "dev"])
+            yield out.filter(pa.array(some))
+
+    schema = rows.select(*by, "scan_id").withColumns({c: F.expr("array(0L)") for c in ("mean", "dev")}).schema
+    return rows.select(*by, "scan_id", "n", "sum", "mean", "dev_sum").repartition(*by).sortWithinPartitions(*by, "scan_id").mapInArrow(fold, schema)
 
 
 def learning_epochs(scans: DataFrame, flag: str = "restart") -> DataFrame:
@@ -99,18 +138,28 @@ def learning_epochs(scans: DataFrame, flag: str = "restart") -> DataFrame:
     return scans.withColumn("epoch", F.sum(F.col(flag).cast("bigint")).over(Window.partitionBy(*RUN).orderBy("scan_id").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def score() -> Column:
-    """Fixed-point score of value against mean and dev: truncated, saturated; without deviation by sign."""
-    return F.expr(
-        f"cast(case when dev = 0 then case when value > mean then {HIGHEST} when value < mean then {LOWEST} else 0 end "
-        f"else greatest({LOWEST}L, least({HIGHEST}L, ((value - mean) * {UNIT}L) div dev)) end as int)"
+def score(value: str = "value", mean: str = "mean", dev: str = "dev") -> str:
+    """Fixed-point score of value against mean and dev: truncated, saturated; without deviation by sign; null without statistics."""
+    return (
+        f"cast(case when {dev} = 0 then case when {value} > {mean} then {HIGHEST} when {value} < {mean} then {LOWEST} else 0 end "
+        f"else greatest({LOWEST}L, least({HIGHEST}L, (({value} - {mean}) * {UNIT}L) div {dev})) end as int)"
     )
 
 
-def score_samples(samples: DataFrame, stats: DataFrame, size: int = 4, keys: list[str] | None = None) -> DataFrame:
-    """samples with score, by the statistics (keys, [scan_id,] cell, mean, dev) valid for them; samples of cells without statistics are left out."""
-    by = [*(keys or RUN), *(["scan_id"] if "scan_id" in stats.columns else []), *CELL]
-    return in_cells(samples, size).join(stats, by).withColumn("score", score()).drop("mean", "dev", *CELL)
+def score_samples(pulses: DataFrame, stats: DataFrame, size: int = 4, keys: list[str] | None = None) -> DataFrame:
+    """pulses with scores, one for each sample, by the statistics of ewma_cell_stats; null where there are none, and pulses without any are left out. Samples are
+    not shuffled one by one: a pulse meets the statistics of its row of cells."""
+    by = [*(keys or RUN), "scan_id", "cell_row"]
+    near = pulses.withColumn("cell_row", F.expr(f"pulse div {size}")).join(stats.select(*by, F.col("mean").alias("_mean"), F.col("dev").alias("_dev")), by)
+    scores = f"transform(samples, (x, i) -> if(get(_mean, i div {size}) is null, null, {score('x', f'get(_mean, i div {size})', f'get(_dev, i div {size})')}))"
+    return near.withColumn("scores", F.expr(scores)).drop("_mean", "_dev", "cell_row")
+
+
+def explode_scored(pulses: DataFrame) -> DataFrame:
+    """One row per sample that has a score: ..., pulse, col, value, score."""
+    keep = [c for c in pulses.columns if c not in ("samples", "scores")]
+    rows = pulses.select(*keep, F.posexplode(F.arrays_zip("samples", "scores")).alias("col", "_x"))
+    return rows.select(*keep, "col", F.col("_x.samples").alias("value"), F.col("_x.scores").alias("score")).where("score is not null")
 
 
 def classify_samples(scored: DataFrame, hot: float = 2.5, low: float = -128.0) -> DataFrame:
@@ -131,7 +180,7 @@ def paint_blips(classified: DataFrame, blip_samples: DataFrame) -> DataFrame:
 
 
 def cell_lookup(points: DataFrame, scored: DataFrame, stats: DataFrame, size: int = 4) -> DataFrame:
-    """Points (source_id, run_id, scan_id, pulse, col) with value, score, and their cell's mean and dev."""
+    """Points (source_id, run_id, scan_id, pulse, col) with value, score, and their cell's mean and dev, from ewma_cell_stats."""
     keys = [*RUN, "scan_id", "pulse", "col"]
-    found = in_cells(points.select(*keys).join(scored.select(*keys, "value", "score"), keys), size)
-    return found.join(stats, [*RUN, *(["scan_id"] if "scan_id" in stats.columns else []), *CELL], "left")
+    found = in_cells(points.select(*keys).join(scored.select(*keys, "value", "score"), keys), size).join(stats.withColumnsRenamed({"mean": "_mean", "dev": "_dev"}), [*RUN, "scan_id", "cell_row"], "left")
+    return found.withColumns({c: F.expr(f"get(_{c}, cast(cell_col as int))") for c in ("mean", "dev")}).drop("_mean", "_dev")

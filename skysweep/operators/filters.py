@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,31 +59,36 @@ def _angle_inside(a: str) -> str:
     return f"(({a} >= a_start and {a} <= a_start + a_extent) or (a_start + a_extent > 360 and {a} <= a_start + a_extent - 360))"
 
 
+def _segments(zones: DataFrame, *columns: str) -> Column:
+    """The segments of a zone table as one array: zones are drawn by hand, so it is small; a scalar subquery brings it to the rows without a join."""
+    return zones.agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
+
+
 def zone_of_xy(points: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
-    """points (keys, x, y) with zone_ord: the first enabled zone that holds the point, else null. zones is a small table, one row a segment."""
-    polar = points.select(*keys, F.expr("sqrt(x * x + y * y)").alias("_r"), F.expr("pmod(90 - degrees(atan2(y, x)), 360D)").alias("_a"))
-    inside = F.expr(f"enabled and r1 <> r2 and _r >= least(r1, r2) and _r <= greatest(r1, r2) and {_angle_inside('_a')}")
-    found = polar.join(zones.select("zone_ord", "enabled", "r1", "r2", "a_start", "a_extent"), inside).groupBy(*keys).agg(F.min("zone_ord").alias("zone_ord"))
-    return points.join(found, keys, "left")
+    """points (..., x, y) with zone_ord: the first enabled zone that holds the point, else null. zones has one row a segment."""
+    found = points.withColumns({"_r": F.expr("sqrt(x * x + y * y)"), "_a": F.expr("pmod(90 - degrees(atan2(y, x)), 360D)"), "_zones": _segments(zones.where("enabled and r1 <> r2"), "zone_ord", "r1", "r2", "a_start", "a_extent")})
+    inside = _angle_inside("_a").replace("a_", "z.a_")
+    return found.withColumn("zone_ord", F.expr(f"get(filter(_zones, z -> _r between least(z.r1, z.r2) and greatest(z.r1, z.r2) and {inside}), 0).zone_ord")).drop("_r", "_a", "_zones")
+
+
+_SHAPE = ["pulses", "samples_per_pulse", "sample_dist", "first_sample_dist", "bearing_offset"]
 
 
 def compile_zones(zones: DataFrame, scans: DataFrame) -> DataFrame:
     """Segments in terms of each scan geometry: samples s1 to s2, pulses p1 to p2 (0-based); a range across the last pulse has both pulses negated, less one."""
-    shape = scans.select("pulses", "samples_per_pulse", "sample_dist", "first_sample_dist", "bearing_offset").distinct()
-    rows = zones.join(shape, F.lit(True))
+    rows = scans.select(*_SHAPE).distinct().withColumn("_z", F.explode(_segments(zones, *zones.columns))).select(*_SHAPE, "_z.*")
     rows = rows.withColumns({"s1": F.expr("cast(greatest(0, floor((least(r1, r2) - first_sample_dist) / sample_dist)) as int)"), "s2": F.expr("cast(least(samples_per_pulse - 1, floor((greatest(r1, r2) - first_sample_dist) / sample_dist)) as int)"), "_b": F.expr("cast(floor(pmod(a_start - bearing_offset, 360D) / 360 * pulses) as int)"), "_n": F.expr("cast(least(pulses, ceil(a_extent / 360 * pulses)) as int)")})
     rows = rows.withColumn("_e", F.expr("_b + _n - 1"))
     return rows.withColumns({"p1": F.expr("if(_e >= pulses, -_b - 1, _b)"), "p2": F.expr("if(_e >= pulses, -(_e - pulses) - 1, _e)")}).drop("_b", "_n", "_e")
 
 
 def zone_of_sample(samples: DataFrame, compiled: DataFrame, scans: DataFrame, keys: list[str]) -> DataFrame:
-    """samples (keys, source_id, run_id, scan_id, pulse, col) with zone_ord: the first enabled zone that holds the sample, else null."""
-    shape = ["pulses", "samples_per_pulse", "sample_dist", "first_sample_dist", "bearing_offset"]
-    rows = samples.select(*dict.fromkeys([*keys, *SCAN, "pulse", "col"])).join(scans.select(*SCAN, *shape), SCAN)
-    within = "((p1 >= 0 and pulse between p1 and p2) or (p1 < 0 and (pulse >= -p1 - 1 or pulse <= -p2 - 1)))"
-    zones = compiled.where("enabled").select("zone_ord", "s1", "s2", "p1", "p2", *shape)
-    found = rows.join(zones, shape).where(f"col between s1 and s2 and {within}").groupBy(*keys).agg(F.min("zone_ord").alias("zone_ord"))
-    return samples.join(found, keys, "left")
+    """samples (..., source_id, run_id, scan_id, pulse, col) with zone_ord: the first enabled zone that holds the sample, else null. The zones go to the scans, one array
+    each, and the samples meet their scan once."""
+    lists = compiled.where("enabled").groupBy(*_SHAPE).agg(F.array_sort(F.collect_list(F.struct("zone_ord", "s1", "s2", "p1", "p2"))).alias("_zones"))
+    with_zones = scans.select(*SCAN, *_SHAPE).join(lists, _SHAPE, "left").select(*SCAN, "_zones")
+    within = "((z.p1 >= 0 and pulse between z.p1 and z.p2) or (z.p1 < 0 and (pulse >= -z.p1 - 1 or pulse <= -z.p2 - 1)))"
+    return samples.join(with_zones, SCAN, "left").withColumn("zone_ord", F.expr(f"get(filter(_zones, z -> col between z.s1 and z.s2 and {within}), 0).zone_ord")).drop("_zones")
 
 
 def exclude_zone_class(classified: DataFrame, compiled: DataFrame, scans: DataFrame, excluded: int = 4) -> DataFrame:

@@ -12,9 +12,11 @@ RUN = ["source_id", "run_id"]
 
 def trails_last_n(blip_samples: DataFrame, scans: DataFrame, n: int = 20, fadeout: float = 0.85) -> DataFrame:
     """For each scan the slots (pulse, col) hit in the last n scans, itself included: the newest hit's value, faded by fadeout to the power of its age (1 for the scan itself)."""
-    hits = blip_samples.withColumn("_age", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(*RUN, F.expr("scan_id + _age").alias("scan_id"), "pulse", "col", "value", F.expr("cast(_age + 1 as int)").alias("age"))
-    near = hits.join(scans.select(*RUN, "scan_id"), [*RUN, "scan_id"])
-    return near.groupBy(*RUN, "scan_id", "pulse", "col").agg(F.min_by("value", "age").alias("value"), F.min("age").alias("age")).withColumn("faded", F.expr(f"value * pow({fadeout!r}D, age)"))
+    # a hit is the newest until the next one of its slot, so that each row of the result comes from one hit
+    until = F.lead("scan_id").over(Window.partitionBy(*RUN, "pulse", "col").orderBy("scan_id"))
+    hits = blip_samples.withColumn("_from", F.col("scan_id")).withColumn("_to", F.least(F.expr(f"scan_id + {n - 1}"), until - 1)).where("_to >= _from")
+    near = hits.withColumn("scan_id", F.explode(F.sequence("_from", "_to"))).join(scans.select(*RUN, "scan_id"), [*RUN, "scan_id"])
+    return near.select(*RUN, "scan_id", "pulse", "col", "value", F.expr("cast(scan_id - _from + 1 as int)").alias("age")).withColumn("faded", F.expr(f"value * pow({fadeout!r}D, age)"))
 
 
 def trails_storage(blip_samples: DataFrame) -> DataFrame:
@@ -42,5 +44,9 @@ def blip_file_summary(blips: DataFrame) -> DataFrame:
 
 
 def running_number(blips: DataFrame, *order: str) -> DataFrame:
-    """blips with blip_no: their number in the run, from 1."""
-    return blips.withColumn("blip_no", F.row_number().over(Window.partitionBy(*RUN).orderBy(*order)))
+    """blips with blip_no: their number in the run, from 1, by scan and then in this order. They are numbered in their scan, after the blips of the scans before."""
+    scan = [*RUN, "scan_id"]
+    counts = blips.groupBy(*scan).agg(F.count("*").alias("_n"))
+    before = counts.select(*scan, (F.sum("_n").over(Window.partitionBy(*RUN).orderBy("scan_id")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*scan).orderBy(*order))
+    return blips.join(before, scan).withColumn("blip_no", (F.col("_before") + own).cast("int")).drop("_before")

@@ -78,10 +78,15 @@ class Params:
 
 def scored_samples(pulses: DataFrame, params: FindParams, keys: list[str] | None = None) -> DataFrame:
     """Samples with scores by the statistics valid before their scan."""
-    samples = explode_samples(B.noise_filter(pulses, params.noise_cutoff) if params.noise_cutoff else pulses)
-    cells = B.scan_cell_stats(samples, params.cell_size, keys)
-    stats = stored(B.ewma_cell_stats(cells, params.learn_scans, params.decay, keys))  # the only ordered step: one row per cell and scan
-    return B.score_samples(samples, stats, params.cell_size, keys)
+    return B.explode_scored(scored_pulses(pulses, params, keys))
+
+
+def scored_pulses(pulses: DataFrame, params: FindParams, keys: list[str] | None = None) -> DataFrame:
+    """Pulses with scores by the statistics valid before their scan."""
+    pulses = B.noise_filter(pulses, params.noise_cutoff) if params.noise_cutoff else pulses
+    rows = B.cell_row_stats(pulses, params.cell_size, keys)
+    stats = stored(B.ewma_cell_stats(rows, params.learn_scans, params.decay, keys))  # the only ordered step: one row per row of cells and scan
+    return B.score_samples(pulses, stats, params.cell_size, keys)
 
 
 def runs_of(classified: DataFrame, scans: DataFrame, params: FindParams) -> DataFrame:

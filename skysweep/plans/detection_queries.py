@@ -22,6 +22,11 @@ def samples(s, d):
     return explode_samples(pulses(s, d))
 
 
+def cells(s, d, key=None, rows=None):
+    stats = B.cell_row_stats(pulses(s, d) if rows is None else rows, keys=[*B.RUN, *([key] if key else [])])
+    return B.cells_of(stats, "n", "sum", "mean", "dev_sum")
+
+
 def scored(s, d):
     return I.scored_samples(pulses(s, d), PARAMS.find)
 
@@ -182,12 +187,12 @@ QUERIES = {
     "c11_polar_to_grid": lambda s, d: rounded(C.polar_to_grid(samples(s, d), scans(s, d), 40, 17.0, spread=2), "value"),
     "c12_rect_to_spatial": lambda s, d: rounded(C.rect_to_spatial(S.patch_stats_rect(patch_values(s, d), scans(s, d)).withColumns({"scale": F.lit(2.5), "rotation": F.lit(30.0), "origin_x": F.lit(100.0), "origin_y": F.lit(-50.0)})).select(*S.PATCH, "x", "y", "range"), "x", "y", "range"),
     "d01_noise_filter": lambda s, d: explode_samples(B.noise_filter(pulses(s, d), 900)).select("scan_id", "pulse", "col", "value"),
-    "d02_scan_cell_stats": lambda s, d: B.scan_cell_stats(samples(s, d)),
+    "d02_scan_cell_stats": lambda s, d: cells(s, d).withColumn("cell_col", F.col("cell_col").cast("int")),
     "d02_scan_cell_stats_sparse": lambda s, d: B.scan_cell_stats(parcels(s, d), 16, ["scan_id"]).groupBy("cell_row", "cell_col").agg(F.count("*").alias("cells"), F.sum("sum").alias("sum"), F.sum("mean").alias("mean"), F.sum("dev_sum").alias("dev_sum")),
     "d03_scan_cell_stats_excluding": lambda s, d: B.scan_cell_stats_excluding(B.paint_blips(classified(s, d), blip_samples(s, d))),
-    "d04_learn_cell_stats": lambda s, d: B.learn_cell_stats(B.scan_cell_stats(samples(s, d)), LEARN),
-    "d05_ewma_cell_stats": lambda s, d: B.ewma_cell_stats(B.scan_cell_stats(samples(s, d)), LEARN),
-    "d07_per_angle_stats": lambda s, d: B.learn_cell_stats(B.scan_cell_stats(samples(s, d).withColumn("angle_class", F.expr("cast(scan_id % 2 as int)")), keys=["source_id", "run_id", "angle_class"]), 2, ["source_id", "run_id", "angle_class"]),
+    "d04_learn_cell_stats": lambda s, d: B.learn_cell_stats(cells(s, d), LEARN),
+    "d05_ewma_cell_stats": lambda s, d: B.cells_of(B.ewma_cell_stats(B.cell_row_stats(pulses(s, d)), LEARN), "mean", "dev"),
+    "d07_per_angle_stats": lambda s, d: B.learn_cell_stats(cells(s, d, "angle_class", pulses(s, d).withColumn("angle_class", F.expr("cast(scan_id % 2 as int)"))), 2, ["source_id", "run_id", "angle_class"]),
     "d08_learning_epochs": lambda s, d: B.learning_epochs(scans(s, d).withColumn("restart", F.expr("scan_id % 3 = 2"))).select(*SCAN, "epoch"),
     "d09_score_samples": lambda s, d: scored(s, d).select(*SCAN, "pulse", "col", "value", "score"),
     "d10_classify_samples": lambda s, d: classified(s, d).selectExpr(*SCAN, "pulse", "col", "int(class) as class"),
@@ -195,7 +200,7 @@ QUERIES = {
     "d12_exclude_zone_class": lambda s, d: Z.exclude_zone_class(classified(s, d), Z.compile_zones(zones(s, d), scans(s, d)), scans(s, d)).selectExpr(*SCAN, "pulse", "col", "int(class) as class"),
     "d13_exclude_zone_zero": lambda s, d: Z.exclude_zone_zero(samples(s, d), Z.compile_zones(zones(s, d), scans(s, d)), scans(s, d)).select(*SCAN, "pulse", "col", "value"),
     "d14_paint_blips": lambda s, d: B.paint_blips(classified(s, d), blip_samples(s, d)).selectExpr(*SCAN, "pulse", "col", "int(class) as class"),
-    "d15_cell_lookup": lambda s, d: B.cell_lookup(points(s, d), scored(s, d), B.ewma_cell_stats(B.scan_cell_stats(samples(s, d)), LEARN)),
+    "d15_cell_lookup": lambda s, d: B.cell_lookup(points(s, d), scored(s, d), B.ewma_cell_stats(B.cell_row_stats(pulses(s, d)), LEARN)),
     "e01_hot_runs": runs,
     "e02_run_adjacency": adjacency,
     "e03_find_patches": lambda s, d: E.find_patches(runs(s, d), adjacency(s, d)).select(*SCAN, "run_no", "patch_id"),

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skysweep.functions.geometry import interp_state
+
 RUN = ["source_id", "run_id"]
 #: Seconds after the last scan in which a sought time still belongs to its run.
 SEEK_TAIL = 5.0
@@ -117,8 +119,9 @@ def attach_comments(scans: DataFrame, comments: DataFrame) -> DataFrame:
     both = scans.select("source_id", "scan_id", F.col("ts").alias("at"), F.lit(None).cast("string").alias("comment")).unionByName(
         comments.select("source_id", F.lit(None).cast("bigint").alias("scan_id"), F.col("entered_ts").alias("at"), "comment")
     )
-    following = Window.partitionBy("source_id").orderBy("at", F.col("scan_id").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    goes_to = both.withColumn("to", F.first("scan_id", ignorenulls=True).over(following)).where("scan_id is null and to is not null")
+    # from the end backwards, a scan before the comments of its time: the last scan so far is the next one
+    backwards = Window.partitionBy("source_id").orderBy(F.desc("at"), F.col("scan_id").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    goes_to = both.withColumn("to", F.last("scan_id", ignorenulls=True).over(backwards)).where("scan_id is null and to is not null")
     last = goes_to.groupBy("source_id", F.col("to").alias("scan_id")).agg(F.max_by("comment", "at").alias("_comment"))
     return scans.join(last, ["source_id", "scan_id"], "left").withColumn("user_comment", F.coalesce("_comment", "user_comment")).select(*scans.columns)
 
@@ -230,8 +233,5 @@ def simplify_series(points: DataFrame, keys: list[str], error: float, slope: flo
 
 def approx_error(points: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: the largest distance of points (t, s) from the line through the kept ones around them."""
-    ends = Window.partitionBy(*keys).orderBy("t")
-    spans = kept.select(*keys, "t", "s").withColumn("t2", F.lead("t").over(ends)).withColumn("s2", F.lead("s").over(ends)).withColumnsRenamed({"t": "t1", "s": "s1"})
-    near = points.join(spans, keys).where("t >= t1 and (t < t2 or (t2 is null and t = t1))")
-    at = F.expr("case when t2 is null or t2 = t1 then s1 else s1 + (s2 - s1) * (t - t1) / (t2 - t1) end")
-    return near.groupBy(*keys).agg(F.max(F.abs(F.col("s") - at)).alias("max_error"))
+    asked = points.select(*keys, F.col("t").alias("at"), F.col("s").alias("own"))
+    return interp_state(kept.select(*keys, "t", "s"), asked, keys, ["s"]).groupBy(*keys).agg(F.max(F.abs(F.col("own") - F.col("s"))).alias("max_error"))

@@ -22,12 +22,12 @@ def _formats(columns: str) -> list:
 
 def format_blips(blips: DataFrame) -> DataFrame:
     """The 14 text columns of blips, numbered through each run in (scan, patch) order."""
-    return running_number(blips, "scan_id", "patch_id").select("source_id", "run_id", *_formats(BLIP_COLUMNS))
+    return running_number(blips, "patch_id").select("source_id", "run_id", *_formats(BLIP_COLUMNS))
 
 
 def format_tracks(track_points: DataFrame, blips: DataFrame) -> DataFrame:
     """The 17 text columns of track points: blips are joined by (source, run, scan, blip_id = patch_id) and numbered through the run."""
-    numbered = running_number(blips, "scan_id", "patch_id").withColumnRenamed("patch_id", "blip_id")
+    numbered = running_number(blips, "patch_id").withColumnRenamed("patch_id", "blip_id")
     return track_points.select(*SCAN, "track_id", "blip_id").join(numbered, [*SCAN, "blip_id"]).select("source_id", "run_id", *_formats(TRACK_COLUMNS))
 
 
