@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUN = ["source_id", "run_id"]
 CELL = ["cell_row", "cell_col"]
@@ -129,7 +130,7 @@ def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "scan_id")), *lists], names=[*by, "scan_id", "mean", "dev"])
             yield out.filter(pa.array(some))
 
-    schema = rows.select(*by, "scan_id").withColumns({c: F.expr("array(0L)") for c in ("mean", "dev")}).schema
+    schema = T.StructType([*rows.select(*by, "scan_id").schema, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("mean", "dev"))])
     return rows.select(*by, "scan_id", "n", "sum", "mean", "dev_sum").repartition(*by).sortWithinPartitions(*by, "scan_id").mapInArrow(fold, schema)
 
 

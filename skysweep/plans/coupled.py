@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skysweep.functions.geometry import pulse_table
-from skysweep.functions.stored import stored
 from skysweep.operators.background import HIGHEST, LOWEST, UNIT, ewma_step
-from skysweep.sources.scans import explode_samples
 
 SCAN = ["source_id", "run_id", "scan_id"]
 
@@ -161,13 +159,3 @@ def coupled_runs(pulses: DataFrame, scans: DataFrame, params: Any) -> DataFrame:
 
     schema = rows.select("source_id", "run_id", "scan_id", *[F.lit(0).alias(c) for c in ("pulse", "col", "length", "run_no", "patch_id")], F.lit(True).alias("is_blip")).schema
     return rows.repartition(*keys).sortWithinPartitions(*keys, "scan_id", "pulse").mapInArrow(fold, schema)
-
-
-def detect_coupled(pulses: DataFrame, scans: DataFrame, params: Any) -> DataFrame:
-    """Patches with statistics and is_blip, as plans.detect.detect."""
-    from skysweep.plans.detect import measured
-
-    runs = stored(coupled_runs(pulses, scans, params))  # read again for samples, adjacency and perimeter
-    return measured(runs.drop("is_blip"), explode_samples(pulses), scans, params.blip)
-
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from skysweep.functions.geometry import pulse_table
 from skysweep.functions.stored import stored
@@ -12,6 +13,7 @@ from skysweep.operators import background as B
 from skysweep.operators import filters as Z
 from skysweep.operators import patches as E
 from skysweep.operators import stats as S
+from skysweep.operators import tracking as G
 from skysweep.sources.scans import explode_samples
 
 
@@ -44,30 +46,65 @@ class BlipParams:
 
 @dataclass(frozen=True)
 class TrackParams:
-    """Tracking: frames looked back on, weights of the gain, gates, and the least number of blips of a track."""
+    """Tracking: model (mfc or nn), speed limit, the least number of blips of a track, and the gates of nn. max_dist: the distance of no gain; None for the field of view."""
 
     model: str = "mfc"
-    frames: int = 2
-    alpha: float = 0.5
-    epsilon: float = 1e-3
-    min_gain: float = 0.9090909090909
     max_speed_kmh: float = 100.0
     min_blips: int = 4
+    max_dist: float | None = None
     stale_s: float = 10.0
     max_change_percent: float = 150.0
     max_turn_rate: float = 20.0
 
 
+@dataclass(frozen=True)
+class MfcParams:
+    """The multi-frame tracker: frames looked back on, weight of direction against nearness, penalty of a gap, least gain."""
+
+    frames: int = 2
+    alpha: float = 0.5
+    epsilon: float = 1e-3
+    min_gain: float = 0.9090909090909
+
+
+@dataclass(frozen=True)
+class AntennaParams:
+    """Scan fields that the antenna sets (name to value) where a scan has none; those in override are set in any case."""
+
+    settings: dict[str, float] = field(default_factory=dict)
+    override: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class DeclutterParams:
+    """Dropping of blips on clutter, if there is a clutter map: cutoff, in mean hits of a scan."""
+
+    enabled: bool = True
+    cutoff: float = 0.003
+
+
+@dataclass(frozen=True)
+class ZoneParams:
+    """Zone filters, if there is a zone table: predicates by zone_ord beside its ranges."""
+
+    enabled: bool = True
+    expressions: dict[int, str] = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Params:
     find: FindParams = field(default_factory=FindParams)
     blip: BlipParams = field(default_factory=BlipParams)
     track: TrackParams = field(default_factory=TrackParams)
+    mfc: MfcParams = field(default_factory=MfcParams)
+    antenna: AntennaParams = field(default_factory=AntennaParams)
+    declutter: DeclutterParams = field(default_factory=DeclutterParams)
+    zones: ZoneParams = field(default_factory=ZoneParams)
 
     @classmethod
     def of(cls, groups: dict[str, dict]) -> Params:
-        """From {"find": {...}, "blip": {...}, "track": {...}}; unknown groups and names are rejected."""
-        kinds = {"find": FindParams, "blip": BlipParams, "track": TrackParams}
+        """From {"find": {...}, "blip": {...}, ...}; unknown groups and names are rejected."""
+        kinds = {f.name: f.default_factory for f in fields(cls)}
         for group, values in groups.items():
             if group not in kinds:
                 raise ValueError(f"unknown parameter group: {group}")
@@ -113,13 +150,54 @@ def refilter(patches: DataFrame, params: BlipParams) -> DataFrame:
     return Z.filter_expr(patches, params.expression) if params.expression else patches
 
 
-def detect(pulses: DataFrame, scans: DataFrame, params: Params | None = None) -> DataFrame:
-    """Patches with is_blip. With exclude_blips, statistics leave blips out, which ties each scan to those before it: see coupled.detect_coupled."""
-    params = params or Params()
+def detected(pulses: DataFrame, scans: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    """Patches with is_blip, and their runs. With exclude_blips, statistics leave blips out, which ties each scan to those before it (plans.coupled)."""
     if params.find.exclude_blips:
-        from skysweep.plans.coupled import detect_coupled
+        from skysweep.plans.coupled import coupled_runs
 
-        return detect_coupled(pulses, scans, params)
+        runs = stored(coupled_runs(pulses, scans, params).drop("is_blip"))  # read again for samples, adjacency and perimeter
+        return measured(runs, explode_samples(pulses), scans, params.blip), runs
     scored = scored_samples(pulses, params.find)
-    classified = B.classify_samples(scored, params.find.hot_score, params.find.low_score)
-    return measured(runs_of(classified, scans, params.find), scored, scans, params.blip)
+    runs = runs_of(B.classify_samples(scored, params.find.hot_score, params.find.low_score), scans, params.find)
+    return measured(runs, scored, scans, params.blip), runs
+
+
+def detect(pulses: DataFrame, scans: DataFrame, params: Params | None = None) -> DataFrame:
+    """Patches with is_blip."""
+    return detected(pulses, scans, params or Params())[0]
+
+
+def with_antenna(scans: DataFrame, params: AntennaParams) -> DataFrame:
+    """Scans with the antenna's settings, the same for all sources (sources.scans.apply_antenna takes a table of antennas)."""
+    for name, value in params.settings.items():
+        own = F.lit(float(value))
+        scans = scans.withColumn(name, own if name in params.override or name not in scans.columns else F.coalesce(F.col(name), own))
+    return scans
+
+
+def track_blips(blips: DataFrame, scans: DataFrame, params: Params) -> DataFrame:
+    """Points of the tracks of blips (blip_id, t, x, y, z, area, int), without the short ones."""
+    track, mfc = params.track, params.mfc
+    if track.model == "nn":
+        points = G.track_nn(blips, scans, max_speed_kmh=track.max_speed_kmh, max_change_percent=track.max_change_percent, max_turn_rate=track.max_turn_rate, stale_s=track.stale_s)
+    elif track.model == "mfc":
+        reach = track.max_dist or scans.agg(F.max(G.max_pair_distance())).first()[0] or 1.0
+        points = G.track_mfc(blips, scans, frames=mfc.frames, alpha=mfc.alpha, epsilon=mfc.epsilon, min_gain=mfc.min_gain, max_speed_kmh=track.max_speed_kmh, max_dist=reach)
+    else:
+        raise ValueError(f"unknown tracker: {track.model}")
+    return G.filter_short_tracks(points, track.min_blips)
+
+
+def detect_and_track(pulses: DataFrame, scans: DataFrame, params: Params | None = None, zones: DataFrame | None = None, clutter: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All sources and runs with one set of parameters: patches with is_blip, and the points of their tracks.
+
+    zones: as in operators.filters; clutter: a map by learn_clutter (scans then have angle_class). Sources and runs are worked on side by side."""
+    params = params or Params()
+    scans = with_antenna(scans, params.antenna)
+    patches, runs = detected(pulses, scans, params)
+    if zones is not None and params.zones.enabled:
+        patches = Z.filter_zones(patches, zones, params.zones.expressions).drop("zone_ord")
+    if clutter is not None and params.declutter.enabled:
+        patches = Z.filter_clutter(patches, E.patch_samples(runs), scans, clutter, params.declutter.cutoff)
+    patches = stored(patches)
+    return patches, track_blips(patches.where("is_blip").withColumnRenamed("patch_id", "blip_id"), scans, params)

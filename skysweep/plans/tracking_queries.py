@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skysweep.operators import tracking as G
 from skysweep.operators import trails as H
-from skysweep.plans import coupled, detect
+from skysweep.plans import detect
 from skysweep.plans import detection_queries as Q
 from skysweep.plans.catalog_queries import archived
 from skysweep.plans.derived import BLIPS, PULSES, blips, pulses, scans, sweeps, with_
@@ -14,7 +14,7 @@ from skysweep.plans.detection_queries import _P, BLIPSAMP, SCAN, STATS, rounded
 from skysweep.sources import sinks as K
 
 SPEED = 3000.0
-COUPLED = detect.Params.of({"find": {"learn_scans": 3}, "blip": {"samples": (10, 5000), "area": (10.0, 100000.0)}, "track": {"min_blips": 2}})
+COUPLED = detect.Params.of({"find": {"learn_scans": 3}, "blip": {"samples": (10, 5000), "area": (10.0, 100000.0)}, "track": {"min_blips": 2, "max_speed_kmh": 400.0}, "mfc": {"min_gain": 0.3}, "zones": {"expressions": {2: "max > 0.4"}}})
 
 
 def events(s, d):
@@ -89,8 +89,8 @@ QUERIES = {
     "h03_blip_cross_section": lambda s, d: rounded(H.blip_cross_section(good_samples(s, d), Q.table(s, d)), "angle", digits=5),
     "h04_blips_in_time": lambda s, d: H.blips_in_time(events(s, d), 100.0, 200.0).select("scan_id", "blip_id", "t"),
     "h05_blip_file_summary": lambda s, d: H.blip_file_summary(events(s, d)),
-    "d06_detect_coupled": lambda s, d: coupled.detect_coupled(pulses(s, d), scans(s, d), COUPLED),
-    "i02_detect_and_track": lambda s, d: G.filter_short_tracks(G.track_mfc(detect.detect(pulses(s, d), scans(s, d), COUPLED).where("is_blip").withColumnRenamed("patch_id", "blip_id"), scans(s, d), max_dist=800.0, max_speed_kmh=400.0, min_gain=0.3), COUPLED.track.min_blips),
+    "d06_detect_coupled": lambda s, d: detect.detect(pulses(s, d), scans(s, d), COUPLED),
+    "i02_detect_and_track": lambda s, d: detect.detect_and_track(pulses(s, d), scans(s, d), COUPLED, Q.zones(s, d).where("zone_id <> 'exclusion'"))[1],
     "i03_retrack": lambda s, d: G.track_nn(events(s, d), sweeps(s, d), max_speed_kmh=900.0, max_change_percent=900.0),
 }
 

@@ -59,7 +59,7 @@ def unpack_samples(packed: DataFrame, keep: list[str]) -> DataFrame:
             columns = zip(*(batch.column(c).to_pylist() for c in ("blob", "n", "bits", "big_endian", "deflated")), strict=True)
             yield pa.record_batch({c: batch.column(c) for c in keep} | {"samples": pa.array([one(*x) for x in columns], pa.list_(pa.int64()))})
 
-    schema = packed.select(*keep).withColumn("samples", F.expr("array(0L)")).schema
+    schema = T.StructType([*packed.select(*keep).schema, T.StructField("samples", T.ArrayType(T.LongType()))])
     return packed.select(*dict.fromkeys([*keep, "blob", "n", "bits", "big_endian", "deflated"])).mapInArrow(unpack, schema)
 
 

@@ -20,9 +20,12 @@ def _formats(columns: str) -> list:
     return [F.expr(text.get(c, f"cast({c} as string)")).alias(c) for c in columns.split(",")]
 
 
-def format_blips(blips: DataFrame) -> DataFrame:
-    """The 14 text columns of blips, numbered through each run in (scan, patch) order."""
-    return running_number(blips, "patch_id").select("source_id", "run_id", *_formats(BLIP_COLUMNS))
+def format_blips(blips: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The 14 text columns of blips, numbered through each run in (scan, patch) order, after the n_before blips that before (source_id, run_id, n_before) names."""
+    rows = running_number(blips, "patch_id")
+    if before is not None:
+        rows = rows.join(before, ["source_id", "run_id"], "left").withColumn("blip_no", F.expr("blip_no + coalesce(n_before, 0)"))
+    return rows.select("source_id", "run_id", *_formats(BLIP_COLUMNS))
 
 
 def format_tracks(track_points: DataFrame, blips: DataFrame) -> DataFrame:
@@ -31,8 +34,21 @@ def format_tracks(track_points: DataFrame, blips: DataFrame) -> DataFrame:
     return track_points.select(*SCAN, "track_id", "blip_id").join(numbered, [*SCAN, "blip_id"]).select("source_id", "run_id", *_formats(TRACK_COLUMNS))
 
 
+def _written_before(blips: DataFrame, path: str) -> DataFrame | None:
+    """Blips of each run that the text files hold; none if there are no files."""
+    spark = blips.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(at):
+        return None
+    kinds = ", ".join(f"{c} {blips.schema[c].dataType.simpleString()}" for c in ("source_id", "run_id"))
+    columns = ", ".join(f"`{c}` string" for c in BLIP_COLUMNS.split(","))
+    rows = spark.read.schema(f"{columns}, {kinds}").csv(path, header=True)
+    return rows.groupBy("source_id", "run_id").agg(F.count("*").alias("n_before"))
+
+
 def write_blips_csv(blips: DataFrame, path: str) -> None:
-    format_blips(blips).write.mode("append").partitionBy("source_id", "run_id").csv(path, header=True)
+    """Appends blips to text files by source and run; numbers go on from those there."""
+    format_blips(blips, _written_before(blips, path)).write.mode("append").partitionBy("source_id", "run_id").csv(path, header=True)
 
 
 def write_tracks_csv(track_points: DataFrame, blips: DataFrame, path: str) -> None:

@@ -1,8 +1,8 @@
 """Detection and tracking on a live stream of scans, with keyed state per (source, run).
 
 Input: one row per scan (source_id, run_id, scan_id, values: the pulses' samples one after another, pulses, cosine of the elevation, sample_dist, first_sample_dist).
-A micro-batch's scans are taken in order; a scan at or behind the last one of its run is late and is dropped (it shows in the late count of
-the state). The end of a run is a row with null values: it ends all tracks. State: statistics, the last scans' blips and the open tracks.
+A micro-batch's scans are taken in order; a scan at or behind the last one of its run is late: it takes no part and is reported. The end of a run is a row with null values, or a
+time without scans: it ends all tracks and removes the run's state. State: statistics, the last scans' blips and the open tracks.
 """
 
 from __future__ import annotations
@@ -43,30 +43,47 @@ def scan_blips(detector: Detector, row: Any) -> list[dict]:
     return out
 
 
-def stream_detect_and_track(scans: DataFrame, params: Any) -> DataFrame:
-    """Points of the tracks that end, as a stream; works on a batch DataFrame too. Columns as those of tracking.track_mfc."""
-    find, blip, track = params.find, params.blip, params.track
+def stream_detect_and_track(scans: DataFrame, params: Any, idle_ms: int | None = None) -> DataFrame:
+    """Points of the tracks that end, as a stream; works on a batch DataFrame too. Columns as those of tracking.track_mfc. Tracks of fewer than min_blips are left out. A late scan
+    shows as a row of its scan_id without a track. With idle_ms, a run without scans for so long is over (for a trigger that goes on: a stream
+    of what is available would wait for it)."""
+    find, blip, track, mfc = params.find, params.blip, params.track, params.mfc
+    names = [f.split()[0] for f in POINTS.split(", ")]
 
     def model() -> Any:
         if track.model == "nn":
             return Nearest(track.max_speed_kmh, track.max_change_percent, track.max_turn_rate, track.stale_s)
-        return MultiFrame(track.frames, track.alpha, track.epsilon, track.min_gain, track.max_speed_kmh)
+        return MultiFrame(mfc.frames, mfc.alpha, mfc.epsilon, mfc.min_gain, track.max_speed_kmh, track.max_dist or 5000.0)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else {"detector": Detector(find, blip), "model": model(), "last": None, "late": 0, "number": {}}
-        rows = pd.concat(list(batches)).sort_values("scan_id")
+        held = pickle.loads(state.get[0]) if state.exists else None
         out: list[tuple] = []
-        for row in rows.itertuples(index=False):
-            if row.values_ is None:
-                out += point_rows(key, held["model"].end(), held["number"])
-                continue
-            if held["last"] is not None and row.scan_id <= held["last"]:
-                held["late"] += 1
-                continue
-            held["last"] = row.scan_id
-            out += point_rows(key, held["model"].step(scan_blips(held["detector"], row)), held["number"])
-        state.update((pickle.dumps(held),))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in POINTS.split(", ")])
+
+        def ended(tracks: Iterator[list[dict]]) -> None:
+            out.extend(point_rows(key, (t for t in tracks if len(t) >= track.min_blips), held["number"]))
+
+        if state.hasTimedOut:
+            ended(held["model"].end())
+            state.remove()
+            yield pd.DataFrame(out, columns=names)
+            return
+        for row in pd.concat(list(batches)).sort_values("scan_id").itertuples(index=False):
+            held = held or {"detector": Detector(find, blip), "model": model(), "last": None, "number": {}}
+            if row.values_ is None:  # the run's end: nothing of it stays
+                ended(held["model"].end())
+                held = None
+            elif held["last"] is not None and row.scan_id <= held["last"]:
+                out.append((*key, None, None, row.scan_id, *[None] * 5))
+            else:
+                held["last"] = row.scan_id
+                ended(held["model"].step(scan_blips(held["detector"], row)))
+        if held:
+            state.update((pickle.dumps(held),))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("track_id", "seq", "scan_id", "blip_id")})
 
     rows = scans.withColumnRenamed("values", "values_")
-    return rows.groupBy("source_id", "run_id").applyInPandasWithState(update, POINTS, "held binary", "append", "NoTimeout")
+    return rows.groupBy("source_id", "run_id").applyInPandasWithState(update, POINTS, "held binary", "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")

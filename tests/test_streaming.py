@@ -23,10 +23,29 @@ def scans(n=9, pulses=32, samples=32):
 def test_a_target_becomes_one_track(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.createDataFrame(list(scans()), FORM).coalesce(1).write.parquet(f"{folder}/in")
-    params = Params.of({"find": {"learn_scans": 3}, "blip": {"samples": (8, -1), "area": (0.0, -1.0)}, "track": {"max_speed_kmh": 400.0, "min_gain": 0.0}})
+    params = Params.of({"find": {"learn_scans": 3}, "blip": {"samples": (8, -1), "area": (0.0, -1.0)}, "track": {"max_speed_kmh": 400.0}, "mfc": {"min_gain": 0.0}})
     stream = stream_detect_and_track(spark.readStream.schema(FORM).parquet(f"{folder}/in"), params)
     query = stream.writeStream.format("memory").queryName("live_tracks").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.sql("select * from live_tracks order by track_id, seq").collect()
     assert [r.scan_id for r in rows] == [3, 4, 5, 6, 7, 8] and {r.track_id for r in rows} == {1}
     assert all(r.vx is not None for r in rows[1:])
+
+
+def test_late_scans_short_tracks_and_the_end_of_a_run(spark):
+    """Batch by batch: a late scan is reported and takes no part; short tracks are left out; a run that has ended begins anew."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = list(scans())
+    params = Params.of({"find": {"learn_scans": 3}, "blip": {"samples": (8, -1), "area": (0.0, -1.0)}, "track": {"max_speed_kmh": 400.0, "min_blips": 5}, "mfc": {"min_gain": 0.0}})
+
+    def run(some, name):
+        spark.createDataFrame(some, FORM).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = stream_detect_and_track(spark.readStream.schema(FORM).parquet(f"{folder}/in"), params)
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted((r.track_id or 0, r.seq or 0, r.scan_id) for r in spark.read.parquet(f"{folder}/out").collect())
+
+    assert run(rows[:6], "a") == []
+    assert run([rows[4], *rows[6:9]], "b") == [(0, 0, 4)]
+    assert run([rows[9]], "c") == [(0, 0, 4), *[(1, i, 3 + i) for i in range(6)]]
+    assert run([rows[0], *rows[3:5]], "d")[0] == (0, 0, 4)  # a new beginning: nothing is late
