@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from skysweep.llm.common import blocks, hashed_words, written
 
 #: Sequences in a window; words whose ids a worker remembers; documents in a part of a queue; most queues.
-WINDOW, REMEMBERED, PART, QUEUES = 32, 2_000_000, 20_000, 256
+WINDOW, REMEMBERED, PART, QUEUES = 32, 2_000_000, 4_000, 256
 _KNOWN: dict[tuple[str, int], Words] = {}
 
 
