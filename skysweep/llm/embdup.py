@@ -8,7 +8,7 @@ and with it a bound on the estimate's error.
    are as many tables as give a pair at the threshold a chance under MISS to share none.
 3. In each bucket all classes are compared with the smallest one. Those within half the threshold's angle join its ball: by the
    triangle inequality all vectors of a ball are linked, and need no comparison.
-4. Balls that share a bucket are compared. Estimates whose upper confidence bound lies below what a link needs end a pair; the others are computed exactly, and the triangle
+4. Balls that share a bucket are compared; those of a bucket of more than SMALL in blocks, by estimates alone at first. Estimates whose upper confidence bound lies below what a link needs end a pair; the others are computed exactly, and the triangle
    inequality settles most of them for all their vectors. What stays open is computed exactly for each vector.
 
 Every link counts, in both directions, without writing out the pairs of a group. Null labels and vectors that are null, zero, or hold
@@ -33,8 +33,8 @@ MISS, CODE = 1e-6, 256
 STEP = 4096
 #: Standard deviations in an estimate's confidence bound.
 DEVIATIONS = 6.0
-#: Balls of a bucket that a round compares with all others.
-LEADERS = 32
+#: Balls of a bucket up to which its pairs are written out, and balls in a block of a larger bucket.
+SMALL, BLOCK = 32, 2048
 #: Angles closer than this to a decision are settled by exact cosines.
 SLACK = 1e-6
 
@@ -107,6 +107,51 @@ def _unsettled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, "va", "cb", "fb").mapInArrow(keep, pairs.schema)
 
 
+def _in_blocks(left: DataFrame, balls: DataFrame, classes: DataFrame, theta: float) -> DataFrame:
+    """Pairs (a, b) of balls (key, ball, c) that share a bucket, c balls in all, and whose estimate may reach what a link needs. A bucket's balls are dealt to blocks of about BLOCK;
+    a task compares one pair of blocks at a time."""
+    dealt = left.selectExpr("key", "ball", f"c div {BLOCK} + 1 as wide").withColumn("x", F.expr("pmod(xxhash64(ball), wide)"))
+    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0L, wide - 1)"))).selectExpr("key", "least(x, y) as lo", "greatest(x, y) as hi", "int(x > y) as kind", "ball")
+    known = balls.select("ball", "r").join(classes.selectExpr("cid as ball", "rotated", "code", "factor"), "ball")
+    group = ["key", "lo", "hi"]
+    rows = dealt.join(known, "ball").select(*group, "kind", "ball", "r", "rotated", "code", "factor").repartition(*group).sortWithinPartitions(*group, "kind")
+
+    def near(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ids, r, factor, kind = (table.column(c).to_numpy() for c in ("ball", "r", "factor", "kind"))
+        rotated = np.frombuffer(b"".join(table.column("rotated").to_pylist()), np.float32).reshape(-1, CODE)
+        bits = np.unpackbits(np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, CODE // 8), axis=1)
+        signs = bits.astype(np.float32) * 2 - 1
+        error = DEVIATIONS * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(CODE - 1)
+        alone = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+        some, others = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(kind == 0), np.flatnonzero(kind == 1))
+        for i in range(0, len(some), 512):
+            p = some[i : i + 512]
+            value = rotated[p] @ signs[others].T / math.sqrt(CODE) / factor[others]
+            need = np.cos(np.minimum(math.pi, theta + r[p][:, None] + r[others][None, :] + SLACK))
+            x, y = np.nonzero((value + error[others] >= need) & ((ids[p][:, None] < ids[others][None, :]) | (not alone)))
+            a, b = ids[p[x]], ids[others[y]]
+            if len(a):
+                yield pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in group])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                this = tuple(keys[:, a].tolist())
+                if this != now:
+                    yield from near(held) if held else ()
+                    now, held = this, []
+                held.append(batch.slice(a, b - a))
+        yield from near(held) if held else ()
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
 def table_sizes(classes: int, threshold: float = 0.93, miss: float = MISS) -> tuple[int, int]:
     """Bits of a key and tables, for so many classes in the largest label."""
     bits = min(40, max(12, math.ceil(math.log2(max(2, classes))) + 3))
@@ -154,21 +199,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, miss: float = MISS
     members = written(members)
     balls = written(members.groupBy("ball").agg(F.sum("n").alias("n"), F.max("angle").alias("r"), F.min("least").alias("least")))
 
-    # pairs of balls that share a bucket: the 32 smallest of each bucket with all, then the next ones
+    # pairs of balls that share a bucket: all of a small bucket, of a large one those that an estimate leaves open
     left = written(met.join(members.select("cid", "ball"), "cid").select("key", "ball").distinct())
-    pairs = None
-    while True:
-        open_ = left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        left = written(left.join(open_, "key"))
-        if left.isEmpty():
-            break
-        lead = left.withColumn("place", F.expr("row_number() over (partition by key order by ball)")).where(f"place <= {LEADERS}").selectExpr("key", "ball as a")
-        found = left.join(lead, "key").where("ball > a").selectExpr("a", "ball as b").distinct()
-        pairs = written(found if pairs is None else pairs.unionByName(found).distinct())
-        left = left.join(lead.selectExpr("key", "a as ball"), ["key", "ball"], "left_anti")
-    spark = rows.sparkSession
-    if pairs is None:
-        pairs = spark.createDataFrame([], "a long, b long")
+    left = written(left.join(left.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"))
+    small = left.where(f"c <= {SMALL}")
+    found = small.selectExpr("key", "ball as a").join(small.selectExpr("key", "ball as b"), "key").where("a < b").select("a", "b")
+    pairs = written(found.unionByName(_in_blocks(left.where(f"c > {SMALL}"), balls, classes, theta)).distinct())
     sized = pairs.join(balls.selectExpr("ball as a", "n as na", "r as ra"), "a").join(balls.selectExpr("ball as b", "n as nb", "r as rb"), "b")
     sized = sized.withColumn("need", F.expr(f"cos(least(pi(), {theta!r}D + ra + rb + {SLACK}D))"))
     phi = F.expr("acos(greatest(-1D, least(1D, cosine)))")

@@ -188,10 +188,14 @@ def test_pii_long_secrets(spark):
     assert got[1][0].split()[2] == got[3][0].split()[1] and got[4] == (rows[3][1], 0)
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize(("small", "block"), [(32, 2048), (1, 2048), (1, 2)])
+def test_embeddings(spark, monkeypatch, small, block):
+    """Pairs of small buckets written out, or all buckets compared in blocks."""
+    monkeypatch.setattr(embdup, "SMALL", small)
+    monkeypatch.setattr(embdup, "BLOCK", block)
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
-    vectors = np.concatenate((base, base[:15] + 0.15 * rng.standard_normal((15, 16)), base[:3]))
+    vectors = np.concatenate((base, base[:15] + 0.15 * rng.standard_normal((15, 16)), base[10:30] + 0.3 * rng.standard_normal((20, 16)), base[:3]))
     rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(vectors)] + [(100, None, 1), (101, [0.0] * 16, 1), (102, [float("nan")] * 16, 0), (103, vectors[0].tolist(), None)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
