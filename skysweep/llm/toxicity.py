@@ -9,7 +9,8 @@ go through a logistic curve.
 Weights, exception phrases and curve are learned from labelled rows: a term's weight is its log odds, and a term enters only if so many toxic documents with it are unlikely by chance. A
 phrase of a term's word and a neighbour is an exception if only clean documents have it, and so many that for the term's share of toxic ones this has a chance under EXCEPTED; some
 everyday phrases (EXCEPTIONS) always are.
-Copies among the labelled rows count once, as the longest of them. The bound max_rows on labelled rows bounds everything else that is learned. Null and empty texts have no hits and so the lowest score. Extra columns are not looked at.
+Copies among the labelled rows count once, as the longest of them. The bound max_rows on labelled rows bounds everything else that is learned. It thins the classes by different
+parts: where terms are chosen and in the curve's intercept this is undone, so that scores keep the classes' true shares however large the tables are. Null and empty texts have no hits and so the lowest score. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -151,10 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, chance: float
     the id. This bound holds the broadcast ids and the driver's share to a fixed size. Rows with a null label or id are left out; a null text is empty."""
     labels = labels.selectExpr("doc_id", "int(toxic > 0) as toxic").where("toxic is not null and doc_id is not null")
     totals = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    cut = " or ".join(f"(toxic = {k} and pmod(xxhash64(doc_id, 'fit'), 1048576) < {int(min(1.0, max_rows / n) * 1048576) + 1})" for k, n in totals.items())
+    buckets = {k: int(min(1.0, max_rows / n) * 1048576) + 1 for k, n in totals.items()}
+    cut = " or ".join(f"(toxic = {k} and pmod(xxhash64(doc_id, 'fit'), 1048576) < {b})" for k, b in buckets.items())
     empty = Lexicon({}, [folded_phrase(x) for x in EXCEPTIONS])
     if len(totals) < 2:
         return empty
+    thinned = min(buckets[0], 1048576) / min(buckets[1], 1048576)  # a clean row's chance to be in the sample against a toxic one's
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, chance: float
         return pa.record_batch({"term": pa.array(names, pa.string()), "neg": pa.array([seen[0][x] for x in names], pa.int64()), "pos": pa.array([seen[1][x] for x in names], pa.int64())})
 
     counts = rows.mapInArrow(count, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    got = counts.where("term = '' or (pos >= 3 and pos > neg)").collect()  # of max_rows toxic texts at most
+    got = counts.where(f"term = '' or (pos >= 3 and pos * {thinned!r}D > neg)").collect()  # of max_rows toxic texts at most
     n_neg, n_pos = next(((r.neg, r.pos) for r in got if not r.term), (0, 0))
     if not n_pos or not n_neg:
         return empty
@@ -212,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, chance: float
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - p) - 0.1 * b)
         b = b + np.clip(step, -2, 2)
-    lexicon.curve = tuple(b)
+    lexicon.curve = (b[0] + math.log(thinned), *b[1:])
     return lexicon
 
 

@@ -125,6 +125,19 @@ def test_toxicity_learns_terms_and_exceptions(spark):
     assert toxicity.scored(docs.where("false"), empty, ["doc_id"]).count() == 0
 
 
+def test_thinned_classes_keep_their_share(spark):
+    rng = random.Random(8)
+    text = lambda *more: " ".join(["".join(rng.choices("bcdfgh", k=7)) for _ in range(12)] + [*more])
+    rows = [(i, text("vilewort"), 1) for i in range(200)] + [(1000 + i, text("vilewort") if i % 40 == 0 else text(), 0) for i in range(3000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    probe = spark.createDataFrame([(1, text("vilewort")), (2, text())], "doc_id long, text string")
+    whole, thin = ({r.doc_id: r.score for r in toxicity.scored(probe, toxicity.fit(docs, labels, max_rows=n), ["doc_id"]).collect()} for n in (10**6, 300))
+    # 200 of 275 documents with the word are toxic, whatever part of the clean ones is in the sample
+    assert 0.6 < whole[1] < 0.85 and abs(whole[1] - thin[1]) < 0.15
+    assert whole[2] < 0.1 and thin[2] < 0.1
+
+
 # --- PII ---
 
 
