@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import embdup, language, mixing, neardup, packing, pii, substrings, topk, toxicity, warc
+from skysweep.llm import dialogue, embdup, language, mixing, neardup, packing, pii, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -70,6 +70,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id text"), surrogate_key(spark))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The faults that op12 puts into conversations, by a hash of conv_id and turn. Nulls count as one blank, in the hash too."""
+    rows = conversations.selectExpr("conv_id", "turn", "coalesce(role, ' ') as role", "coalesce(text, ' ') as text", "crc32(cast(concat(coalesce(cast(conv_id as string), ' '), ':', coalesce(cast(turn as string), ' ')) as binary)) % 20 as h")
+    hurt = rows.where("h <> 0").selectExpr("conv_id", "turn", "if(h = 4, 'user', role) as role", "case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '') else text end as text", "explode(sequence(1, if(h = 3, 2, 1))) as copy")
+    return hurt.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations", "conv_id turn role text")
+    found = dialogue.summarised(dialogue.repaired(damaged(given))).withColumnRenamed("conv_id", "_own")
+    every = given.select("conv_id").distinct().join(found, F.expr("conv_id <=> _own"), "left").drop("_own")  # conversations that lost all rows too
+    return every.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).selectExpr("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "coalesce(audit, '') as audit", "coalesce(repaired_sha256, sha2('', 256)) as repaired_sha256")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -81,5 +95,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op3_minhash_dedup": neardup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substrings.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op12_conversation_repair": dialogue.ORACLE, "op3_minhash_dedup": neardup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substrings.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}
