@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import dialogue, embdup, language, mixing, neardup, packing, pii, substrings, topk, toxicity, warc
+from skysweep.llm import dialogue, embdup, language, mixing, neardup, negatives, packing, pii, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).selectExpr("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "coalesce(audit, '') as audit", "coalesce(repaired_sha256, sha2('', 256)) as repaired_sha256")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id embedding label").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return negatives.hard_negatives(negatives.integers(rows), "vec_id % 50 = 0")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -96,5 +101,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op12_conversation_repair": dialogue.ORACLE, "op3_minhash_dedup": neardup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substrings.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op13_hard_negatives": negatives.ORACLE, "op12_conversation_repair": dialogue.ORACLE, "op3_minhash_dedup": neardup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substrings.ORACLE, "op7_embedding_dedup": embdup.ORACLE, "op8_warc": warc.ORACLE}

@@ -7,7 +7,7 @@ each dimension not read. The best vectors so far are scored exactly; reading sto
 vectors lie below the k-th best of these, and the rest are scored exactly. Blocks' results are merged.
 
 Every query meets every block: the queries are a stated part of the rows. Rows with one id count once, the greatest vector; null ids, null
-vectors and vectors with null or non-finite components take no part. Shorter vectors are filled up with zeros. Equal scores go to the smaller id.
+vectors and vectors with null or non-finite components take no part. Shorter vectors are filled up with zeros. Equal scores go to the smaller id. Vectors whose products could leave 64 bits are refused by a ValueError. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 #: Lower ends of the impact levels, as parts of the largest impact.
@@ -82,10 +82,18 @@ def integers(rows: DataFrame, scale: int = 256) -> DataFrame:
     return rows.where(f"vec_id is not null and {FINITE}").selectExpr("vec_id", f"{v} as v").groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
+def fitting(rows: DataFrame) -> Row:
+    """n, the rows of (vec_id, v), and d, the longest vector; a ValueError if an inner product may not fit into 64 bits."""
+    shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.expr("max(greatest(abs(cast(array_max(v) as double)), abs(cast(array_min(v) as double))))").alias("most")).first()
+    if shape.n and (shape.most or 0.0) ** 2 * (shape.d or 0) >= 2.0**63:
+        raise ValueError(f"components up to {shape.most:.0f} in {shape.d} dimensions: scores would leave 64 bits")
+    return shape
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, least_block: int = 4096, most_block: int = 65536) -> DataFrame:
     """For each of queries (vec_id, v) its k best of rows (vec_id, v) with another id: query_id, rank, vec_id, score. About 1/64 of the rows
     make a block, between the two bounds."""
-    shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    shape = fitting(rows)
     blocks = max(1, -(-shape.n // min(most_block, max(least_block, shape.n // 64))))
     width = shape.d or 0
     dealt = rows.selectExpr("vec_id", "v", f"pmod(xxhash64(vec_id), {blocks}) as block", "0 as kind").unionByName(
