@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysweep.llm import dialogue, embdup, language, mixing, neardup, negatives, packing, pii, substrings, topk, toxicity, warc
+from skysweep.llm import dialogue, embdup, language, mixing, neardup, negatives, packing, pii, quality, substrings, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id text"), surrogate_key(spark))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id text n_chars")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id quality").where(f"not {held_out(3, 1)}"), metadata=("n_chars",))
+    return quality.scored(docs, machine, ["doc_id"]).selectExpr("doc_id", f"{held_out(3, 1)} as held_out", "score", "int(score >= 0.5) as predicted")
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """The faults that op12 puts into conversations, by a hash of conv_id and turn. Nulls count as one blank, in the hash too."""
     rows = conversations.selectExpr("conv_id", "turn", "coalesce(role, ' ') as role", "coalesce(text, ' ') as text", "crc32(cast(concat(coalesce(cast(conv_id as string), ' '), ':', coalesce(cast(turn as string), ' ')) as binary)) % 20 as h")
@@ -100,6 +106,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_quality": op11_quality,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
