@@ -37,17 +37,37 @@ def pulse_table(scans: DataFrame) -> DataFrame:
     return beam(rows.withColumn("ts", F.expr("scan_ts + pulse * duration_ms / 1000D / pulses"))).drop("scan_ts")
 
 
+#: Turns of beam and waveguide by the angle _o, and the directions that they give.
+_TURNED = {f"_b{c}": f"cos(_t) * (cos(_o) * _u{c} + sin(_o) * _v{c}) + sin(_t) * _r{c}" for c in "xyz"}
+_AZI, _ELEV = "pmod(450 - degrees(atan2(_by, _bx)), 360D)", "degrees(asin(greatest(-1D, least(1D, _bz))))"
+_ANGLE = PI + " * (bearing_offset / 180D + 2D * {} * orientation / pulses)"
+
+
+def _axes(rows: DataFrame) -> DataFrame:
+    """The axis _r and two directions _u, _v across it, from axis_azimuth and axis_elevation; _t from tilt."""
+    rows = rows.withColumns({"_a": F.radians("axis_azimuth"), "_e": F.radians("axis_elevation"), "_t": F.radians("tilt")})
+    rows = rows.withColumns({"_rx": F.expr("sin(_a) * cos(_e)"), "_ry": F.expr("cos(_a) * cos(_e)"), "_rz": F.expr("sin(_e)"), "_ux": F.expr("cos(_a) * sin(_a) * (sin(_e) - 1)"), "_uy": F.expr("sin(_a) * sin(_a) + sin(_e) * cos(_a) * cos(_a)"), "_uz": F.expr("-cos(_a) * cos(_e)")})
+    return rows.withColumns({"_vx": F.expr("1 + sin(_e) - _uy"), "_vy": F.col("_ux"), "_vz": F.expr("-sin(_a) * cos(_e)")})
+
+
 def beam(rows: DataFrame) -> DataFrame:
     """Adds azi, elev, wg_azi, wg_elev to rows with pulse, pulses, orientation, bearing_offset, axis_azimuth, axis_elevation, tilt."""
-    rows = rows.withColumns({"_a": F.radians("axis_azimuth"), "_e": F.radians("axis_elevation"), "_t": F.radians("tilt"), "_o": F.expr(f"{PI} * (bearing_offset / 180D + 2D * pulse * orientation / pulses)")})
-    rows = rows.withColumns({"_rx": F.expr("sin(_a) * cos(_e)"), "_ry": F.expr("cos(_a) * cos(_e)"), "_rz": F.expr("sin(_e)"), "_ux": F.expr("cos(_a) * sin(_a) * (sin(_e) - 1)"), "_uy": F.expr("sin(_a) * sin(_a) + sin(_e) * cos(_a) * cos(_a)"), "_uz": F.expr("-cos(_a) * cos(_e)")})
-    rows = rows.withColumns({"_vx": F.expr("1 + sin(_e) - _uy"), "_vy": F.col("_ux"), "_vz": F.expr("-sin(_a) * cos(_e)")})
-    rows = rows.withColumns({f"_b{c}": F.expr(f"cos(_t) * (cos(_o) * _u{c} + sin(_o) * _v{c}) + sin(_t) * _r{c}") for c in "xyz"})
+    rows = _axes(rows).withColumn("_o", F.expr(_ANGLE.format("pulse"))).withColumns({k: F.expr(v) for k, v in _TURNED.items()})
     rows = rows.withColumns({"_wx": F.expr("_by * _rz - _bz * _ry"), "_wy": F.expr("_bz * _rx - _bx * _rz"), "_wz": F.expr("_bx * _ry - _by * _rx")})
-    out = {"azi": "pmod(450 - degrees(atan2(_by, _bx)), 360D)", "elev": "degrees(asin(greatest(-1D, least(1D, _bz))))", "wg_azi": "pmod(450 - degrees(atan2(_wy, _wx)), 360D)", "wg_elev": "degrees(asin(greatest(-1D, least(1D, try_divide(_wz, sqrt(_wx * _wx + _wy * _wy + _wz * _wz))))))"}
+    out = {"azi": _AZI, "elev": _ELEV, "wg_azi": "pmod(450 - degrees(atan2(_wy, _wx)), 360D)", "wg_elev": "degrees(asin(greatest(-1D, least(1D, try_divide(_wz, sqrt(_wx * _wx + _wy * _wy + _wz * _wz))))))"}
     return rows.withColumns({k: F.expr(v) for k, v in out.items()}).drop(*[c for c in rows.columns if c.startswith("_")])
 
 
+def beam_arrays(scans: DataFrame) -> DataFrame:
+    """Adds azi and elev to scans as arrays by pulse: for streams, where a scan stays one row."""
+    rows = _axes(scans)
+    turned = "struct({})".format(", ".join(f"{v.replace('_o', '_w')} as {k}" for k, v in _TURNED.items()))
+    rows = rows.withColumn("_beams", F.expr(f"transform(transform(sequence(0, pulses - 1), i -> {_ANGLE.format('i')}), _w -> {turned})"))
+    inside = lambda x: x.replace("_b", "_q._b")
+    rows = rows.withColumns({"azi": F.expr(f"transform(_beams, _q -> {inside(_AZI)})"), "elev": F.expr(f"transform(_beams, _q -> {inside(_ELEV)})")})
+    return rows.drop(*[c for c in rows.columns if c.startswith("_") and c not in scans.columns])
+
+
 def xy_to_sample_pulse(x: str, y: str) -> dict[str, Column]:
     """1-based sample and pulse of a point, for scans with sample_dist, first_sample_dist, pulses, bearing_offset and tilt."""
     x, y = f"({x})", f"({y})"

@@ -81,18 +81,26 @@ def ewma_step(old: int, new: int, k1: int) -> int:
 
 
 class Learner:
-    """Statistics of a row of cells, scan after scan. Arrays by cell_col: they grow with the widest scan."""
+    """Statistics of a grid of cells, scan after scan. The grid grows with the largest scan; a cell that comes late learns from its own first scans, one that is
+    absent keeps its statistics."""
 
     def __init__(self, learn: int, k1: int):
         self.learn, self.k1 = learn, k1
-        self.state = np.zeros((7, 0), np.int64)  # scans seen, mean, dev; while learning the sums of values, samples, distances and samples less one
+        self.state = np.zeros((7, 0, 0), np.int64)  # scans seen, mean, dev; while learning the sums of values, samples, distances and samples less one
+
+    def before(self, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Means and deviations of the first rows and cols of cells, and whether there are any yet."""
+        had = self.state.shape
+        if rows > had[1] or cols > had[2]:
+            self.state = np.pad(self.state, ((0, 0), (0, max(0, rows - had[1])), (0, max(0, cols - had[2]))))
+        seen, mean, dev = self.state[:3, :rows, :cols]
+        return mean.copy(), dev.copy(), seen >= self.learn
 
     def step(self, n: np.ndarray, total: np.ndarray, mean: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Takes a scan; the means and deviations valid before it, and whether there are any."""
-        if len(n) > self.state.shape[1]:
-            self.state = np.pad(self.state, ((0, 0), (0, len(n) - self.state.shape[1])))
-        seen, old, dev, *sums = (x[: len(n)] for x in self.state)
-        valid, before = (seen >= self.learn) & (n > 0), (old.copy(), dev.copy())
+        """Takes a scan's cells (rows by cols); the means and deviations valid before it, and whether there are any."""
+        *before, valid = self.before(*n.shape)
+        seen, old, dev, *sums = self.state[:, : n.shape[0], : n.shape[1]]
+        valid = valid & (n > 0)
         old[valid] = ewma_step(old[valid], mean[valid], self.k1)
         more = valid & (n > 1)
         dev[more] = ewma_step(dev[more], (distance[more] + (n[more] - 1) // 2) // (n[more] - 1), self.k1)
@@ -124,7 +132,7 @@ def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list
             for key, a, b in zip(own, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if key != now:
                     now, learner = key, Learner(learn, k1)
-                means[a:b], devs[a:b], valid[a:b] = learner.step(*(x[a:b] for x in flat))
+                means[a:b], devs[a:b], valid[a:b] = (x[0] for x in learner.step(*(x[None, a:b] for x in flat)))
             lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int64(), mask=~valid)) for x in (means, devs)]
             some = np.logical_or.reduceat(valid, cuts[:-1]) if len(sizes) else np.zeros(0, bool)
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "scan_id")), *lists], names=[*by, "scan_id", "mean", "dev"])
@@ -134,6 +142,19 @@ def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list
     return rows.select(*by, "scan_id", "n", "sum", "mean", "dev_sum").repartition(*by).sortWithinPartitions(*by, "scan_id").mapInArrow(fold, schema)
 
 
+def sequences(scans: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Each scan with the keys of the sequence that it learns in, and the names of these keys: source_id, run_id, angle_class if scans has it, epoch (restarts so far, if scans has restart) and shape_no: a change of
+    pulses or samples_per_pulse begins a new sequence of the run (and angle class)."""
+    own = [*RUN, *(["angle_class"] if "angle_class" in scans.columns else [])]
+    rows = learning_epochs(scans) if "restart" in scans.columns else scans
+    shape = F.struct("pulses", "samples_per_pulse")
+    after = Window.partitionBy(*own).orderBy("scan_id")
+    rows = rows.withColumn("_new", (shape != F.lag(shape).over(after)).cast("bigint"))
+    rows = rows.withColumn("shape_no", F.coalesce(F.sum("_new").over(after.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    keys = [*own, *(["epoch"] if "restart" in scans.columns else []), "shape_no"]
+    return rows.select(*keys, "scan_id"), keys
+
+
 def learning_epochs(scans: DataFrame, flag: str = "restart") -> DataFrame:
     """Adds epoch: it rises at each scan of a run that restarts the learning."""
     return scans.withColumn("epoch", F.sum(F.col(flag).cast("bigint")).over(Window.partitionBy(*RUN).orderBy("scan_id").rowsBetween(Window.unboundedPreceding, 0)))
@@ -147,13 +168,53 @@ def score(value: str = "value", mean: str = "mean", dev: str = "dev") -> str:
     )
 
 
-def score_samples(pulses: DataFrame, stats: DataFrame, size: int = 4, keys: list[str] | None = None) -> DataFrame:
-    """pulses with scores, one for each sample, by the statistics of ewma_cell_stats; null where there are none, and pulses without any are left out. Samples are
-    not shuffled one by one: a pulse meets the statistics of its row of cells."""
-    by = [*(keys or RUN), "scan_id", "cell_row"]
-    near = pulses.withColumn("cell_row", F.expr(f"pulse div {size}")).join(stats.select(*by, F.col("mean").alias("_mean"), F.col("dev").alias("_dev")), by)
-    scores = f"transform(samples, (x, i) -> if(get(_mean, i div {size}) is null, null, {score('x', f'get(_mean, i div {size})', f'get(_dev, i div {size})')}))"
-    return near.withColumn("scores", F.expr(scores)).drop("_mean", "_dev", "cell_row")
+def scores_of(values: np.ndarray, mean: np.ndarray, dev: np.ndarray) -> np.ndarray:
+    """The same for arrays of whole numbers."""
+    off = (values - mean) * UNIT
+    spread = np.where(dev == 0, np.sign(off) * (HIGHEST + 1), np.sign(off) * (np.abs(off) // np.maximum(dev, 1)))
+    return np.clip(spread, LOWEST, HIGHEST)
+
+
+def flat_scores(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pulses with samples and the statistics _mean, _dev of their row of cells: the samples of all pulses one after another, their scores, whether
+    they have one, and where each pulse begins and ends."""
+    lists = batch.column("samples")
+    cuts = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    flat = lists.flatten()
+    there = flat.is_valid().to_numpy(zero_copy_only=False)
+    values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    means, devs = (batch.column(c) for c in ("_mean", "_dev"))
+    cells = means.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(cells)), np.diff(cuts))
+    cell = (np.arange(len(values)) - cuts[row]) // size
+    inside = cell < cells[row]
+    at = np.where(inside, (np.cumsum(cells) - cells)[row] + cell, 0)
+    known, mean, dev = means.flatten(), *(x.flatten().fill_null(0).to_numpy(zero_copy_only=False) for x in (means, devs))
+    if not len(mean):
+        return values, values, np.zeros(len(values), bool), cuts
+    valid = there & inside & known.is_valid().to_numpy(zero_copy_only=False)[at]
+    return values, scores_of(values, mean[at], dev[at]), valid, cuts
+
+
+def with_cell_stats(pulses: DataFrame, stats: DataFrame, size: int = 4) -> DataFrame:
+    """pulses with _mean and _dev, the arrays of ewma_cell_stats for their row of cells; pulses without any are left out. Whole pulses meet their statistics, no single samples."""
+    by = [*RUN, "scan_id", "cell_row"]
+    return pulses.withColumn("cell_row", F.expr(f"pulse div {size}")).join(stats.select(*by, F.col("mean").alias("_mean"), F.col("dev").alias("_dev")), by).drop("cell_row")
+
+
+def score_samples(pulses: DataFrame, stats: DataFrame, size: int = 4) -> DataFrame:
+    """pulses with scores, one for each sample, by the statistics of ewma_cell_stats; null where there are none, and pulses without any are left out."""
+
+    names = pulses.columns
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, scores, valid, cuts = flat_scores(batch, size)
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(scores.astype(np.int32), mask=~valid))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "scores"])
+
+    schema = T.StructType([*pulses.schema, T.StructField("scores", T.ArrayType(T.IntegerType()))])
+    return with_cell_stats(pulses, stats, size).mapInArrow(add, schema)
 
 
 def explode_scored(pulses: DataFrame) -> DataFrame:

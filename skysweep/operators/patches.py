@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skysweep.functions.stored import dropped, stored
-from skysweep.operators.background import HOT
+from skysweep.operators.background import HOT, UNIT, flat_scores
 
 SCAN = ["source_id", "run_id", "scan_id"]
 
@@ -28,6 +30,35 @@ def hot_runs(classified: DataFrame, scans: DataFrame | None = None) -> DataFrame
     return runs.withColumn("run_no", F.row_number().over(Window.partitionBy(*SCAN).orderBy("pulse", "col")) - 1)
 
 
+def scored_runs(pulses: DataFrame, scans: DataFrame, size: int, hot: float, low: float) -> DataFrame:
+    """The same from pulses that have the statistics of their cells (background.with_cell_stats), with values, the samples of each run: scores and classes stay in
+    arrays, and only hot runs become rows."""
+    lead = scans.select(*SCAN, F.expr("cast(greatest(0, floor(-first_sample_dist / sample_dist)) as int)").alias("_skip"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, scores, valid, cuts = flat_scores(batch, size)
+            row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            col = np.arange(len(values)) - cuts[row]
+            is_hot = valid & ((scores >= int(hot * UNIT)) | (scores <= int(low * UNIT))) & (col >= batch.column("_skip").to_numpy(zero_copy_only=False)[row])
+            at = np.flatnonzero(is_hot)
+            first = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(row[at]) > 0))) if len(at) else np.zeros(0, bool)
+            starts = at[first]
+            bounds = np.append(np.flatnonzero(first), len(at)).astype(np.int32)
+            out = {c: batch.column(c).take(pa.array(row[starts])) for c in (*SCAN, "pulse")}
+            out |= {"col": pa.array(col[starts], pa.int32()), "length": pa.array(np.diff(bounds), pa.int32()), "values": pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[at], pa.int32()))}
+            yield pa.record_batch(out)
+
+    schema = T.StructType([pulses.schema[c] for c in (*SCAN, "pulse")]).add("col", "integer").add("length", "integer").add("values", T.ArrayType(T.IntegerType()))
+    runs = pulses.join(lead, SCAN).select(*SCAN, "pulse", "samples", "_mean", "_dev", "_skip").mapInArrow(found, schema)
+    return runs.withColumn("run_no", F.row_number().over(Window.partitionBy(*SCAN).orderBy("pulse", "col")) - 1)
+
+
+def run_values(runs: DataFrame) -> DataFrame:
+    """One row per sample of runs that have values: patch_id, pulse, col, value."""
+    return runs.select(*SCAN, "patch_id", "pulse", F.col("col").alias("_c"), F.posexplode("values").alias("_i", "value")).select(*SCAN, "patch_id", "pulse", F.expr("_c + _i").alias("col"), "value")
+
+
 def run_adjacency(runs: DataFrame, scans: DataFrame, diagonal: bool = False) -> DataFrame:
     """Pairs of touching runs of neighbouring pulses: a (in one pulse), b (in the next), and the overlap in samples. The last and the first pulse are neighbours unless the scan is
     rectangular (is_rectangular, false if absent)."""

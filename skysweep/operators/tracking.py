@@ -224,6 +224,18 @@ class MultiFrame:
     def _free(p: dict) -> bool:
         return p["track"] is None and p["next"] is None and p["prev"] is None
 
+    def settled(self, track: list[dict]) -> int:
+        """How many points of a track, from its beginning, no later scan can change."""
+        held = {id(p) for frame in self.window for p in frame}
+        return next((i for i, p in enumerate(track) if id(p) in held), len(track))
+
+    def remembered(self) -> list[list[dict]]:
+        """The points that the next steps look at, by scan."""
+        return self.window
+
+    def restore(self, frames: list[list[dict]]) -> None:
+        self.window = frames
+
     def end(self) -> Iterator[list[dict]]:
         """The run is over: all tracks end."""
         yield from self.tracks.values()
@@ -262,9 +274,7 @@ class Nearest:
         self.started = 0
 
     def step(self, points: list[dict], now: float | None = None) -> Iterator[list[dict]]:
-        now = now if now is not None else min((p["t"] for p in points), default=-np.inf)
-        for k in [k for k, v in self.tracks.items() if v[-1]["t"] + self.stale <= now]:
-            yield self.tracks.pop(k)
+        yield from self.expire(now if now is not None else min((p["t"] for p in points), default=-np.inf))
         keys = list(self.tracks)
         taken: dict[int, int] = {}
         if keys and points:
@@ -282,6 +292,21 @@ class Nearest:
                 self.started += 1
                 self.tracks[self.started] = [p | {"track": self.started, "gain": None, "v": None}]
 
+    def expire(self, now: float) -> Iterator[list[dict]]:
+        """Ends the tracks whose last blip is stale_s or more before now."""
+        for k in [k for k, v in self.tracks.items() if v[-1]["t"] + self.stale <= now]:
+            yield self.tracks.pop(k)
+
+    def settled(self, track: list[dict]) -> int:
+        """How many points of a track, from its beginning, the next steps don't look at."""
+        return max(0, len(track) - 2)
+
+    def remembered(self) -> list[list[dict]]:
+        return [[p for track in self.tracks.values() for p in track]]
+
+    def restore(self, frames: list[list[dict]]) -> None:
+        """The tracks hold all that is needed."""
+
     def end(self) -> Iterator[list[dict]]:
         yield from self.tracks.values()
         self.tracks = {}

@@ -14,7 +14,6 @@ from skysweep.operators import filters as Z
 from skysweep.operators import patches as E
 from skysweep.operators import stats as S
 from skysweep.operators import tracking as G
-from skysweep.sources.scans import explode_samples
 
 
 @dataclass(frozen=True)
@@ -113,32 +112,39 @@ class Params:
         return cls(**{k: kinds[k](**v) for k, v in groups.items()})
 
 
-def scored_samples(pulses: DataFrame, params: FindParams, keys: list[str] | None = None) -> DataFrame:
+def scored_samples(pulses: DataFrame, params: FindParams, scans: DataFrame | None = None) -> DataFrame:
     """Samples with scores by the statistics valid before their scan."""
-    return B.explode_scored(scored_pulses(pulses, params, keys))
+    return B.explode_scored(B.score_samples(_denoised(pulses, params), cell_stats(pulses, params, scans), params.cell_size))
 
 
-def scored_pulses(pulses: DataFrame, params: FindParams, keys: list[str] | None = None) -> DataFrame:
-    """Pulses with scores by the statistics valid before their scan."""
-    pulses = B.noise_filter(pulses, params.noise_cutoff) if params.noise_cutoff else pulses
-    rows = B.cell_row_stats(pulses, params.cell_size, keys)
-    stats = stored(B.ewma_cell_stats(rows, params.learn_scans, params.decay, keys))  # the only ordered step: one row per row of cells and scan
-    return B.score_samples(pulses, stats, params.cell_size, keys)
+def _denoised(pulses: DataFrame, params: FindParams) -> DataFrame:
+    return B.noise_filter(pulses, params.noise_cutoff) if params.noise_cutoff else pulses
 
 
-def runs_of(classified: DataFrame, scans: DataFrame, params: FindParams) -> DataFrame:
-    """Runs with patch_id, of patches of more than one sample."""
-    runs = stored(E.hot_runs(classified, scans))  # read again for adjacency, samples and perimeter; a small part of the samples
+def cell_stats(pulses: DataFrame, params: FindParams, scans: DataFrame | None = None) -> DataFrame:
+    """Statistics of cells valid before each scan: source_id, run_id, scan_id, cell_row, mean, dev. With scans, each sequence (restart, angle class, shape) learns for itself."""
+    rows = B.cell_row_stats(_denoised(pulses, params), params.cell_size)
+    keys = B.RUN
+    if scans is not None:
+        in_order, keys = B.sequences(scans)
+        rows = rows.join(in_order, E.SCAN)  # rows of cells, not samples
+    stats = B.ewma_cell_stats(rows, params.learn_scans, params.decay, keys)
+    return stored(stats.select(*E.SCAN, "cell_row", "mean", "dev"))  # the only ordered step: one row per row of cells and scan
+
+
+def runs_of(pulses: DataFrame, scans: DataFrame, params: FindParams) -> DataFrame:
+    """Runs with patch_id and values, of patches of more than one sample. Samples stay in arrays: only hot runs become rows."""
+    near = B.with_cell_stats(_denoised(pulses, params), cell_stats(pulses, params, scans), params.cell_size)
+    runs = stored(E.scored_runs(near, scans, params.cell_size, params.hot_score, params.low_score))  # read again for adjacency, samples and perimeter; a small part of the samples
     return stored(E.drop_singletons(E.find_patches(runs, E.run_adjacency(runs, scans, params.diagonal))))
 
 
-def measured(runs: DataFrame, scored: DataFrame, scans: DataFrame, params: BlipParams) -> DataFrame:
-    """Statistics of the patches of runs, with is_blip by the filters."""
+def measured(runs: DataFrame, scans: DataFrame, area_weighting: bool = False) -> DataFrame:
+    """Statistics of the patches of runs (with values)."""
     geometry = pulse_table(scans).select(*E.SCAN, "pulse", "azi", "elev")
-    samples = E.patch_samples(runs).join(scored.select(*E.SCAN, "pulse", "col", "value"), [*E.SCAN, "pulse", "col"])
-    stats = S.patch_stats(samples, geometry, scans, params.area_weighting)
+    stats = S.patch_stats(E.run_values(runs), geometry, scans, area_weighting)
     edges = S.perimeter(runs, E.run_adjacency(runs, scans), geometry, scans)  # touching runs are always of one patch
-    return refilter(stats.join(edges, S.PATCH), params)
+    return stats.join(edges, S.PATCH)
 
 
 def refilter(patches: DataFrame, params: BlipParams) -> DataFrame:
@@ -150,21 +156,27 @@ def refilter(patches: DataFrame, params: BlipParams) -> DataFrame:
     return Z.filter_expr(patches, params.expression) if params.expression else patches
 
 
-def detected(pulses: DataFrame, scans: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
-    """Patches with is_blip, and their runs. With exclude_blips, statistics leave blips out, which ties each scan to those before it (plans.coupled)."""
+def detected(pulses: DataFrame, scans: DataFrame, params: Params, zones: DataFrame | None = None, clutter: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Patches with is_blip, and their runs. With exclude_blips, statistics leave blips out, which ties each scan to those before it (plans.coupled); the filters are then those of
+    the fold, in both modes the whole chain: ranges, expression, zones, clutter."""
     if params.find.exclude_blips:
         from skysweep.plans.coupled import coupled_runs
 
-        runs = stored(coupled_runs(pulses, scans, params).drop("is_blip"))  # read again for samples, adjacency and perimeter
-        return measured(runs, explode_samples(pulses), scans, params.blip), runs
-    scored = scored_samples(pulses, params.find)
-    runs = runs_of(B.classify_samples(scored, params.find.hot_score, params.find.low_score), scans, params.find)
-    return measured(runs, scored, scans, params.blip), runs
+        runs = stored(coupled_runs(pulses, scans, params, zones, clutter))  # read again for samples, adjacency and perimeter
+        flags = runs.groupBy(*S.PATCH).agg(F.first("is_blip").alias("is_blip"))
+        return measured(runs, scans, params.blip.area_weighting).join(flags, S.PATCH), runs
+    runs = runs_of(pulses, scans, params.find)
+    patches = refilter(measured(runs, scans, params.blip.area_weighting), params.blip)
+    if zones is not None and params.zones.enabled:
+        patches = Z.filter_zones(patches, zones, params.zones.expressions).drop("zone_ord")
+    if clutter is not None and params.declutter.enabled:
+        patches = Z.filter_clutter(patches, E.patch_samples(runs), scans, clutter, params.declutter.cutoff)
+    return patches, runs
 
 
-def detect(pulses: DataFrame, scans: DataFrame, params: Params | None = None) -> DataFrame:
+def detect(pulses: DataFrame, scans: DataFrame, params: Params | None = None, zones: DataFrame | None = None, clutter: DataFrame | None = None) -> DataFrame:
     """Patches with is_blip."""
-    return detected(pulses, scans, params or Params())[0]
+    return detected(pulses, scans, params or Params(), zones, clutter)[0]
 
 
 def with_antenna(scans: DataFrame, params: AntennaParams) -> DataFrame:
@@ -194,10 +206,6 @@ def detect_and_track(pulses: DataFrame, scans: DataFrame, params: Params | None
     zones: as in operators.filters; clutter: a map by learn_clutter (scans then have angle_class). Sources and runs are worked on side by side."""
     params = params or Params()
     scans = with_antenna(scans, params.antenna)
-    patches, runs = detected(pulses, scans, params)
-    if zones is not None and params.zones.enabled:
-        patches = Z.filter_zones(patches, zones, params.zones.expressions).drop("zone_ord")
-    if clutter is not None and params.declutter.enabled:
-        patches = Z.filter_clutter(patches, E.patch_samples(runs), scans, clutter, params.declutter.cutoff)
+    patches, _ = detected(pulses, scans, params, zones, clutter)
     patches = stored(patches)
     return patches, track_blips(patches.where("is_blip").withColumnRenamed("patch_id", "blip_id"), scans, params)

@@ -44,11 +44,11 @@ def adjacency(s, d):
 
 
 def patched(s, d):
-    return I.runs_of(classified(s, d), scans(s, d), PARAMS.find)
+    return I.runs_of(pulses(s, d), scans(s, d), PARAMS.find)
 
 
 def patch_values(s, d):
-    return E.patch_samples(patched(s, d)).join(samples(s, d), [*SCAN, "pulse", "col"])
+    return E.run_values(patched(s, d))
 
 
 def table(s, d):

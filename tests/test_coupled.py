@@ -2,8 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from skysweep.operators import background as B
 from skysweep.operators.background import cell_row_stats, cells_of, ewma_cell_stats
+from skysweep.operators.onescan import Filters
+from skysweep.operators.patches import hot_runs, scored_runs
+from skysweep.plans.coupled import Detector
 from skysweep.plans.detect import Params, detect
 
 SHAPE, SCANS, SIZE, LEARN = (24, 20), 9, 4, 3
@@ -26,8 +31,8 @@ def tables(spark, data):
     return pulses, scans
 
 
-def by_hand(data, least, k1=3891):
-    """Scan by scan: (scan, samples of each patch), and the blips among them: patches of `least` samples or more."""
+def by_hand(data, good, k1=3891):
+    """Scan by scan: (scan, samples of each patch), and the blips among them: patches whose samples, with their scan, are good."""
     cells = [(r, c) for r in range(0, SHAPE[0], SIZE) for c in range(0, SHAPE[1], SIZE)]
     mean, dev, sums, out = {}, {}, {x: [0, 0, 0, 0] for x in cells}, []
     for i, scan in enumerate(data):
@@ -50,9 +55,9 @@ def by_hand(data, least, k1=3891):
                             hot.remove(x)
                             todo.append(x)
                 if len(patch) > 1:
-                    good = len(patch) >= least
-                    out.append((i, len(patch), sum(int(scan[x]) for x in patch), good))
-                    for x in patch if good else ():
+                    is_blip = good(patch, scan)
+                    out.append((i, len(patch), sum(int(scan[x]) for x in patch), is_blip))
+                    for x in patch if is_blip else ():
                         blip[x] = True
         for r, c in cells:
             use = [int(v) for v, b in zip(scan[r : r + SIZE, c : c + SIZE].ravel(), blip[r : r + SIZE, c : c + SIZE].ravel()) if not b]
@@ -71,16 +76,18 @@ def by_hand(data, least, k1=3891):
     return sorted(out)
 
 
-def found(spark, data, exclude, least):
-    params = Params.of({"find": {"learn_scans": LEARN, "exclude_blips": exclude}, "blip": {"samples": (least, -1), "area": (0.0, -1.0), "angular": (0, -1), "radial": (0, -1)}})
-    rows = detect(*tables(spark, data), params).collect()
+def found(spark, data, exclude, least, zones=None, clutter=None, groups=None):
+    groups = dict(groups or {})
+    params = Params.of({"find": {"learn_scans": LEARN, "exclude_blips": exclude}, "blip": {"samples": (least, -1), "area": (0.0, -1.0), "angular": (0, -1), "radial": (0, -1)} | groups.pop("blip", {})} | groups)
+    pulses, scans = tables(spark, data)
+    rows = detect(pulses, scans.withColumn("angle_class", F.lit(0)) if clutter is not None else scans, params, zones, clutter).collect()
     return sorted((r.scan_id, r.ns, round(r.int * r.ns * 4095), r.is_blip) for r in rows), {(r.scan_id, r.patch_id): r for r in rows}
 
 
 @pytest.mark.parametrize("least", [2, 6, 10**6])
 def test_feedback_against_a_plain_loop(spark, least):
     data = made()
-    assert found(spark, data, True, least)[0] == by_hand(data, least)
+    assert found(spark, data, True, least)[0] == by_hand(data, lambda patch, scan: len(patch) >= least)
 
 
 def test_without_blips_the_fold_is_the_plan(spark):
@@ -98,3 +105,98 @@ def test_statistics_of_scans_of_changing_width(spark):
     pulses = spark.createDataFrame(rows, "source_id string, run_id long, scan_id long, pulse int, samples array<int>")
     got = {(r.scan_id, r.cell_col): (r["mean"], r.dev) for r in cells_of(ewma_cell_stats(cell_row_stats(pulses), 2), "mean", "dev").collect()}
     assert set(got) == {(i, 0) for i in range(2, 7)} | {(i, 1) for i in (3, 5, 6)} and got[2, 0] == (102, 1)
+
+
+def centre(patch, scan):
+    """Radius and angle of a patch's centroid: 5 m a sample, 15 degrees a pulse, clockwise from north."""
+    weight = sum(int(scan[p]) for p in patch)
+    x, y = (sum(5 * (c + 0.5) * f(np.radians(15 * r)) * int(scan[r, c]) for r, c in patch) / weight for f in (np.sin, np.cos))
+    return np.hypot(x, y), np.degrees(np.arctan2(x, y)) % 360
+
+
+def zone_table(spark):
+    limits = "samples_min double, samples_max double, area_min double, area_max double, angular_min double, angular_max double, radial_min double, radial_max double"
+    rows = [(0, "exclusion", True, 0, 0.0, 200.0, 60.0, 80.0, *[0.0, -1.0] * 4), (1, "field", True, 0, 0.0, 60.0, 140.0, 360.0 - 100, *[6.0, -1.0, 0.0, -1.0, 0.0, -1.0, 0.0, 4.0])]
+    return spark.createDataFrame(rows, f"zone_ord int, zone_id string, enabled boolean, segment int, r1 double, r2 double, a_start double, a_extent double, {limits}")
+
+
+@pytest.mark.parametrize("chain", [("expression",), ("zones",), ("clutter",), ("expression", "zones", "clutter")])
+def test_the_whole_chain_of_filters_decides_what_the_statistics_leave_out(spark, chain):
+    data = made(11)
+    hits = {(r, c): 7 for r in range(24) for c in range(8, 11)}
+    clutter = spark.createDataFrame([("r", 0, *SHAPE, r, c, h, 10) for (r, c), h in hits.items()], "source_id string, angle_class int, pulses int, samples_per_pulse int, pulse int, col int, hits long, n_scans long")
+
+    def good(patch, scan):
+        out = len(patch) >= 3
+        if "expression" in chain:
+            out = out and (max(scan[p] for p in patch) / 4095 > 0.17 or len(patch) % 2 == 0)
+        if "zones" in chain:
+            radius, angle = centre(patch, scan)
+            if 60 <= angle <= 140 and radius <= 200:
+                out = False
+            elif radius <= 60 and (angle >= 140 or angle <= 40):
+                out = len(patch) >= 6 and len({c for _, c in patch}) and max(c for _, c in patch) - min(c for _, c in patch) < 4 and len(patch) < 12
+        if "clutter" in chain:
+            out = out and sum(hits.get(p, 0) for p in patch) / len(patch) < 0.5 * 10
+        return bool(out)
+
+    groups = {"blip": {"expression": "max > 0.17 or ns % 2 = 0"}} if "expression" in chain else {}
+    if "zones" in chain:
+        groups["zones"] = {"expressions": {1: "ns < 12"}}
+    groups["declutter"] = {"cutoff": 0.5}
+    got = found(spark, data, True, 3, zone_table(spark) if "zones" in chain else None, clutter if "clutter" in chain else None, groups)[0]
+    want = by_hand(data, good)
+    assert got == want
+    assert want != by_hand(data, lambda patch, scan: len(patch) >= 3) and {r[3] for r in want} == {True, False}
+
+
+def reshaped(spark, restart):
+    """A run of 22 scans that gets wider at scan 5, narrower at 11, shorter in pulses at 17, and may restart at scan 14; two angle classes in turn."""
+    rng, pulses, scans = np.random.default_rng(4), [], []
+    for i in range(22):
+        width, height = (16 if 5 <= i < 11 else 8), (8 if i < 17 else 6)
+        scan = rng.integers(90, 130, (height, width))
+        scan[(i % 4) : (i % 4) + 2, 3:6] += 900
+        pulses += [("r", 0, i, p, row.tolist()) for p, row in enumerate(scan)]
+        scans.append(("r", 0, i, height, width, 12, 5.0, 0.0, 0.0, 0.0, 1, 0.0, 90.0, 0.0, 0.0, 2.5 * i, 2500.0, i % 2, i == 14))
+    p, s = spark.createDataFrame(pulses, "source_id string, run_id long, scan_id long, pulse int, samples array<int>"), spark.createDataFrame(scans, "source_id string, run_id long, scan_id long, pulses int, samples_per_pulse int, bits_per_sample int, sample_dist double, first_sample_dist double, bearing double, bearing_offset double, orientation int, axis_azimuth double, axis_elevation double, tilt double, elevation double, ts double, duration_ms double, angle_class int, restart boolean")
+    return p, s if restart else s.drop("restart", "angle_class")
+
+
+@pytest.mark.parametrize("restart", [False, True])
+def test_runs_that_change_shape_and_restart(spark, restart):
+    """Both modes cut a run into the same sequences: each learns for itself, so the first scans of each have no patches."""
+    learn = 2
+    groups = {"blip": {"samples": (10**6, -1)}}
+    pulses, scans = reshaped(spark, restart)
+    fold, plan = ({(r.scan_id, r.patch_id, r.ns, round(r.x, 6)) for r in detect(pulses, scans, Params.of({"find": {"learn_scans": learn, "exclude_blips": x}, **groups})).collect()} for x in (True, False))
+    assert fold == plan
+    begins = [0, 5, 11, 17] + ([14] if restart else [])
+    quiet = {i + k for i in begins for k in range(learn * (2 if restart else 1))}
+    assert {r[0] for r in plan} == set(range(22)) - quiet
+
+
+def test_a_wider_scan_of_one_sequence(spark):
+    """The cells keep their statistics when the grid gets wider, and samples without statistics have no score."""
+    params = Params.of({"find": {"learn_scans": 3}})
+    detector = Detector(params.find, params.blip, Filters())
+    meta = {"pulses": 8, "ts": 0.0, "duration_ms": 1.0, "bits_per_sample": 12, "sample_dist": 5.0, "first_sample_dist": 0.0, "bearing": 0.0, "bearing_offset": 0.0, "elevation": 0.0, "is_rectangular": False}
+    scan = np.tile(np.arange(100, 104), (8, 2))
+    for width in (8, 8, 8, 16, 16, 16, 16):
+        values = np.tile(scan[:, :4], (1, width // 4))
+        runs, _, good = detector.step(values, np.ones(values.shape, bool), np.zeros(8), np.zeros(8), meta)
+        assert not len(runs) and not len(good)
+    values[2, 9:12] = 900
+    runs, _, good = detector.step(values, np.ones(values.shape, bool), np.zeros(8), np.zeros(8), meta)
+    assert runs[:, :3].tolist() == [[2, 9, 3]] and good.tolist() == [True]
+
+
+def test_only_hot_runs_become_rows(spark):
+    """Without feedback, nothing explodes the samples of a scan: the plan's generators sit on runs."""
+    pulses, scans = tables(spark, made())
+    stats = B.ewma_cell_stats(cell_row_stats(pulses), LEARN)
+    runs = scored_runs(B.with_cell_stats(pulses, stats), scans, 4, 2.5, -128.0)
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    one = B.classify_samples(B.explode_scored(B.score_samples(pulses, stats)))
+    assert {tuple(r) for r in runs.drop("values").collect()} == {tuple(r) for r in hot_runs(one, scans).select(*runs.drop("values").columns).collect()}
