@@ -143,16 +143,17 @@ def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list
 
 
 def sequences(scans: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Each scan with the keys of the sequence that it learns in, and the names of these keys: source_id, run_id, angle_class if scans has it, epoch (restarts so far, if scans has restart) and shape_no: a change of
-    pulses or samples_per_pulse begins a new sequence of the run (and angle class)."""
-    own = [*RUN, *(["angle_class"] if "angle_class" in scans.columns else [])]
-    rows = learning_epochs(scans) if "restart" in scans.columns else scans
+    """Each scan with the keys of the sequence that it learns in, and the names of these keys: source_id, run_id, angle_class if scans has it, and epoch (the run's restarts so far) if scans has restart.
+    Scans of other shapes don't cut a sequence: cells are known by row and column."""
+    keys = [*RUN, *(["angle_class"] if "angle_class" in scans.columns else []), *(["epoch"] if "restart" in scans.columns else [])]
+    return (learning_epochs(scans) if "restart" in scans.columns else scans).select(*keys, "scan_id"), keys
+
+
+def restart_at_new_shapes(scans: DataFrame) -> DataFrame:
+    """scans with restart, also where a scan has other pulses or samples_per_pulse than the run's scan before: for radars whose cells then lie elsewhere."""
     shape = F.struct("pulses", "samples_per_pulse")
-    after = Window.partitionBy(*own).orderBy("scan_id")
-    rows = rows.withColumn("_new", (shape != F.lag(shape).over(after)).cast("bigint"))
-    rows = rows.withColumn("shape_no", F.coalesce(F.sum("_new").over(after.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    keys = [*own, *(["epoch"] if "restart" in scans.columns else []), "shape_no"]
-    return rows.select(*keys, "scan_id"), keys
+    changed = F.coalesce(shape != F.lag(shape).over(Window.partitionBy(*RUN).orderBy("scan_id")), F.lit(False))
+    return scans.withColumn("restart", changed | F.coalesce("restart", F.lit(False)) if "restart" in scans.columns else changed)
 
 
 def learning_epochs(scans: DataFrame, flag: str = "restart") -> DataFrame:

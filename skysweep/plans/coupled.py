@@ -1,6 +1,6 @@
 """Detection with feedback: statistics leave blips out, so a scan's blips depend on all scans before it.
 
-A fold per sequence of scans (source, run, angle class, epoch, shape: operators.background.sequences) reads pulses in order, holds one scan and the statistics of its cells, and gives the
+A fold per sequence of scans (source, run, angle class, epoch: operators.background.sequences) reads pulses in order, holds one scan and the statistics of its cells, and gives the
 runs of each scan's patches. The whole chain of filters decides what is left out of the statistics: ranges, expression, zones and clutter map, in this order.
 """
 

@@ -122,7 +122,7 @@ def _denoised(pulses: DataFrame, params: FindParams) -> DataFrame:
 
 
 def cell_stats(pulses: DataFrame, params: FindParams, scans: DataFrame | None = None) -> DataFrame:
-    """Statistics of cells valid before each scan: source_id, run_id, scan_id, cell_row, mean, dev. With scans, each sequence (restart, angle class, shape) learns for itself."""
+    """Statistics of cells valid before each scan: source_id, run_id, scan_id, cell_row, mean, dev. With scans, each sequence (restart, angle class) learns for itself."""
     rows = B.cell_row_stats(_denoised(pulses, params), params.cell_size)
     keys = B.RUN
     if scans is not None:

@@ -4,7 +4,7 @@ Input: one row per scan: source_id, run_id, scan_id, the scan's metadata (as in
 scans are taken in order; a scan at or behind the last one of its run is late: it takes no part and is reported. The end of a run is a row with null values: it ends all
 tracks and removes the run's state.
 
-State: the run's progress (a value), the statistics by row of cells and the shape by angle class (maps), the points that the tracker still looks at (a list; those of the last scans only), the points of
+State: the run's progress (a value), the statistics by angle class and row of cells (a map), the points that the tracker still looks at (a list; those of the last scans only), the points of
 tracks that are still too short to be shown (a list), and the number of points that each open track has settled (a map). A point that the tracker can no longer change is given out at once when its
 track is long enough, so that the state doesn't grow with the length of tracks. Detection, filters and trackers are those of the batch jobs, one scan at a time.
 
@@ -99,7 +99,6 @@ class Live(StatefulProcessor):
     def init(self, handle: Any) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", "last long, started long, reach double, ts double, frames array<bigint>")
-        self.shapes = handle.getMapState("shapes", "angle_class int", "pulses int, width int")
         self.cells = handle.getMapState("cells", "angle_class int, cell_row int", _CELLS)
         self.window = handle.getListState("window", _POINT)
         self.pending = handle.getListState("pending", _PENDING)
@@ -153,18 +152,11 @@ class Live(StatefulProcessor):
         self.run.update((int(last), int(tracker.model.started), float(reach), float(ts), [0] * len(frames)))
 
     def _detector(self, row: Any, known: dict[int, Detector]) -> Detector:
-        """The detector of the scan's angle class; a restart or another shape begins anew."""
-        own, shape = int(row.angle_class), (int(row.pulses), int(row.samples_per_pulse))
+        """The detector of the scan's angle class; a restart begins anew in all classes."""
+        own = int(row.angle_class)
         if row.restart:
-            for k, _ in list(self.cells.iterator()) if self.cells.exists() else []:
-                self.cells.removeKey(k)
+            self.cells.clear()
             known.clear()
-        elif self.shapes.containsKey((own,)) and tuple(self.shapes.getValue((own,))) != shape:
-            for k, _ in list(self.cells.iterator()) if self.cells.exists() else []:
-                if k[0] == own:
-                    self.cells.removeKey(k)
-            known.pop(own, None)
-        self.shapes.updateValue((own,), shape)
         if own not in known:
             known[own] = detector = Detector(self.params.find, self.params.blip, self.filters)
             rows = {k[1]: v for k, v in self.cells.iterator() if k[0] == own} if self.cells.exists() else {}
@@ -235,7 +227,7 @@ class Live(StatefulProcessor):
         yield self._rows(key, out)
 
     def _forget(self) -> None:
-        for state in (self.run, self.shapes, self.cells, self.window, self.pending, self.open):
+        for state in (self.run, self.cells, self.window, self.pending, self.open):
             state.clear()
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old if isinstance(old, int) else old[0])

@@ -160,19 +160,21 @@ def reshaped(spark, restart):
         pulses += [("r", 0, i, p, row.tolist()) for p, row in enumerate(scan)]
         scans.append(("r", 0, i, height, width, 12, 5.0, 0.0, 0.0, 0.0, 1, 0.0, 90.0, 0.0, 0.0, 2.5 * i, 2500.0, i % 2, i == 14))
     p, s = spark.createDataFrame(pulses, "source_id string, run_id long, scan_id long, pulse int, samples array<int>"), spark.createDataFrame(scans, "source_id string, run_id long, scan_id long, pulses int, samples_per_pulse int, bits_per_sample int, sample_dist double, first_sample_dist double, bearing double, bearing_offset double, orientation int, axis_azimuth double, axis_elevation double, tilt double, elevation double, ts double, duration_ms double, angle_class int, restart boolean")
+    if restart == "shape":
+        return p, B.restart_at_new_shapes(s.drop("restart", "angle_class"))
     return p, s if restart else s.drop("restart", "angle_class")
 
 
-@pytest.mark.parametrize("restart", [False, True])
+@pytest.mark.parametrize("restart", [False, True, "shape"])
 def test_runs_that_change_shape_and_restart(spark, restart):
-    """Both modes cut a run into the same sequences: each learns for itself, so the first scans of each have no patches."""
+    """Both modes cut a run into the same sequences: each learns for itself, so the first scans of each have no patches. Another shape alone cuts nothing."""
     learn = 2
     groups = {"blip": {"samples": (10**6, -1)}}
     pulses, scans = reshaped(spark, restart)
     fold, plan = ({(r.scan_id, r.patch_id, r.ns, round(r.x, 6)) for r in detect(pulses, scans, Params.of({"find": {"learn_scans": learn, "exclude_blips": x}, **groups})).collect()} for x in (True, False))
     assert fold == plan
-    begins = [0, 5, 11, 17] + ([14] if restart else [])
-    quiet = {i + k for i in begins for k in range(learn * (2 if restart else 1))}
+    begins = {False: [0], True: [0, 14], "shape": [0, 5, 11, 17]}[restart]
+    quiet = {i + k for i in begins for k in range(learn * (2 if restart is True else 1))}
     assert {r[0] for r in plan} == set(range(22)) - quiet
 
 
