@@ -10,8 +10,8 @@ where k windows' ids are served in all. Any task can so work out the windows of
 a walk through all windows.
 
 The windows make one line of ids, which is cut into sequences of `length` ids. The last sequence is cut into powers of two, which need no padding.
-Null texts are empty: their document is the end id. Rows that repeat an id are documents of their own; equal rows are interchangeable. Sources beyond the QUEUES - 1 with the most
-ids share the last queue. Other columns are not looked at.
+Null texts are empty: their document is the end id. Rows that repeat an id are documents of their own; equal rows are interchangeable. Every source has
+a queue of its own, however many there are: driver and tasks hold two numbers a source, and the time of a window grows with the sources. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from skysweep.llm.common import blocks, hashed_words, written
 
-#: Sequences in a window; words whose ids a worker remembers; documents in a part of a queue; most queues.
-WINDOW, REMEMBERED, PART, QUEUES = 32, 2_000_000, 4_000, 256
+#: Sequences in a window; words whose ids a worker remembers; documents in a part of a queue.
+WINDOW, REMEMBERED, PART = 32, 2_000_000, 4_000
 _KNOWN: dict[tuple[str, int], Words] = {}
 
 
@@ -250,26 +250,18 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, end_
     tokens = tokenized(docs, tokenizer, end_id).withColumns({"key": F.monotonically_increasing_id(), "mark": F.expr("xxhash64(doc_id, 'queue', crc32(ids))")})
     tokens = written(tokens, compression="zstd")
     totals = tokens.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
-    # the largest queues have a number each, the sources after them share the last one: never more than QUEUES rows
-    large = totals.orderBy(F.desc("n"), F.col("source").isNull(), "source").limit(QUEUES - 1).collect()
-    large.sort(key=lambda r: (r.source is None, r.source or ""))
-    rest = tokens.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
-    queues = [(r.source, i, r.n, r.docs) for i, r in enumerate(large)]
-    left = (rest.n or 0) - sum(r.n for r in large)
-    left_docs = rest.docs - sum(r.docs for r in large)
-    sizes = [r.n for r in large] + [left] * (left > 0)
+    queues = sorted(totals.collect(), key=lambda r: (r.source is None, r.source or ""))  # a row a source
+    sizes = [r.n for r in queues]
     total = sum(sizes)
-    chosen = None
-    if weights is not None:
-        named = [weights.get(r.source, 0.0) for r in large]
-        chosen = named + [max(0.0, sum(weights.values()) - sum(named))] * (left > 0) if any(named) else None
+    named = [(weights or {}).get(r.source, 0.0) for r in queues]
+    chosen = named if any(named) else None
     rounds = proportional(sizes, WINDOW * length, chosen)
 
     # places first, of slim rows: a queue's parts, by the first digits of the hash, are put in order by their sums, then each part on its own
     spark = docs.sparkSession
-    names = spark.createDataFrame(queues, "name string, number int, n_ long, of_queue long").drop("n_")
-    slim = tokens.select("key", "source", "n", "mark").join(F.broadcast(names), F.expr("source <=> name"), "left")
-    slim = slim.select("key", "n", "mark", F.expr(f"coalesce(number, {len(large)})").alias("queue"), F.expr(f"pmod(shiftrightunsigned(mark, 20), greatest(1L, cast(ceil(coalesce(of_queue, {max(1, left_docs)}L) / {PART}D) as bigint)))").alias("part"))
+    names = spark.createDataFrame([(r.source, i, r.docs) for i, r in enumerate(queues)], "name string, queue int, of_queue long")
+    slim = tokens.select("key", "source", "n", "mark").join(names, F.expr("source <=> name"))
+    slim = slim.select("key", "n", "mark", "queue", F.expr(f"pmod(shiftrightunsigned(mark, 20), greatest(1L, cast(ceil(of_queue / {PART}D) as bigint)))").alias("part"))
     sums = slim.groupBy("queue", "part").agg(F.sum("n").alias("of_part"))
     bases = sums.withColumn("base", F.expr("sum(of_part) over (partition by queue order by part) - of_part")).drop("of_part")
     placed = slim.join(bases, ["queue", "part"]).select("key", "queue", F.expr("base + sum(n) over (partition by queue, part order by mark, key rows unbounded preceding) - n").alias("place"))

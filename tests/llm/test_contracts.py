@@ -210,9 +210,7 @@ def test_a_spent_queue_hands_over_its_quantum():
             packing.proportional([1, 2], 64, bad)
 
 
-@pytest.mark.parametrize("queues", [256, 2])
-def test_packing_with_weights(spark, monkeypatch, queues):
-    monkeypatch.setattr(packing, "QUEUES", queues)
+def test_packing_with_weights(spark):
     rows = [(i % 50, f"s{i % 4}" if i % 5 else None, "word " * (i % 30)) for i in range(300)] + [(None, "s1", "same text")] * 20 + [(7, "s2", None), (8, "s3", "long " * 20_000)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id int, source string, text string, queue int, place int")
     for weights in (None, {"s1": 3.0, "s2": 1.0}, {"absent": 1.0}):
@@ -226,6 +224,31 @@ def test_packing_with_weights(spark, monkeypatch, queues):
             assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]]
 
 
+def test_a_thousand_sources_and_their_weights(spark):
+    """Every source has a queue of its own: those with weights come first, in their proportion, whatever their size."""
+    rows = [(i, f"s{i % 1000:03}", "word " * 40) for i in range(4000)] + [(5000 + i, "s000", "word " * 300) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    last = {}
+    for r in packing.pack(docs, length=4, weights={"s998": 1.0, "s999": 1.0, "none": 5.0}).collect():
+        last.setdefault(r.source, []).append(r.window)
+    assert len(last) == 1000 and max(last["s998"] + last["s999"]) <= 4 and min(map(min, (v for k, v in last.items() if k not in ("s998", "s999")))) >= 2
+
+
+def test_the_mix_that_is_passed_on_comes_near_the_targets(spark):
+    """Whole documents, some very long: of each source with enough short ones within 2 % of what the mix takes."""
+    rng = random.Random(8)
+    sizes = [rng.choice([3, 20, 60, 200, 900]) for _ in range(1200)] + [6000, 9000, 20_000]
+    rows = [(i, f"src{i % 3}", f"w{i} " * n) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text_ string, text string").selectExpr("doc_id", "text_ as source", "text", "0 as bucket", "'x' as size")
+    out = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.word_count()).alias("n")).collect()}
+    want = {r.source: (r.target, r.taken) for r in mixing.mix(docs, keep=["doc_id", "source", "text"]).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    for source, (target, taken) in want.items():
+        assert abs(got[source] - taken) <= 0.01 * taken and abs(got[source] - target) <= 0.02 * target
+    assert max(r["count"] for r in out.groupBy("doc_id").count().collect()) <= 3
+
+
 # --- all ---
 
 NAMES = "score row hits new words target block quota size lang_pred letters_score n_entities kind norm draw surrogate source_size taken bands key queue place n rep component cid n_ times kept kept_id".split()
