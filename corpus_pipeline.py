@@ -48,11 +48,22 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
 
 
+#: Words of a source whose documents are rounded together, about.
+ROUNDED = 32_768
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its share of the mix asks for, to the nearest whole number of times: 0 to 3 equal rows."""
+    """Takes whole documents, 0 to 3 equal rows of each, so that a source's words come near what the mix takes from it.
+
+    The words taken of a document are rounded to whole times, the largest documents first, and what is lost or won is carried to the next one. This is done for some documents of a source at
+    a time (by a hash, about ROUNDED words): what is left over is half of the smallest of them at most. Documents without words are not taken."""
     own, names, back = aside(docs, "doc_id", "source", "text")
-    mixed = mixing.mix(own, keep=names).where("2 * taken >= size and taken > 0")
-    return back(mixed.withColumn("times", F.explode(F.expr("sequence(1L, cast(round(taken / size) as bigint))"))))
+    mixed = mixing.mix(own, keep=names).where("size > 0").withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, size, text), greatest(1L, source_size div {ROUNDED}))"))
+    groups = mixed.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(F.struct("size", "taken", *names)), asc=False).alias("rows"))
+    times = "greatest(0L, least(3L, cast(round((x.taken + a.carry) / x.size) as bigint)))"
+    folded = f"aggregate(transform(rows, x -> struct(x.size as size, x.taken as taken)), struct(0L as carry, cast(array() as array<bigint>) as times), (a, x) -> struct(a.carry + x.taken - {times} * x.size as carry, concat(a.times, array({times})) as times)).times"
+    taken = groups.withColumn("times", F.expr(folded)).select(F.explode(F.arrays_zip("rows", "times")).alias("x")).where("x.times > 0")
+    return back(taken.withColumn("copy", F.explode(F.expr("sequence(1L, x.times)"))).select("x.rows.*"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
