@@ -18,8 +18,11 @@ def held_out(n: int, remainder: int) -> str:
 
 
 def surrogate_key(spark: SparkSession) -> str:
-    """The setting spark.skysweep.surrogateKey; where a job doesn't set it, a key that is no secret."""
-    return spark.conf.get("spark.skysweep.surrogateKey", "no secret: set spark.skysweep.surrogateKey")
+    """The setting spark.skysweep.surrogateKey. Sessions on one machine (tests) may go without and get a key that is no secret; others must set it."""
+    key = spark.conf.get("spark.skysweep.surrogateKey", None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.skysweep.surrogateKey to a secret key")
+    return key or "no secret: set spark.skysweep.surrogateKey"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

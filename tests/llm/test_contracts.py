@@ -178,11 +178,28 @@ def test_crowded_kinds_are_drawn_anew(spark):
     """More entities than half of a format's room: every surrogate is still its own."""
     found = spark.range(60_000).selectExpr("'phone' as kind", "lpad(cast(id + 10000 as string), 5, '0') as norm")
     found = found.unionByName(spark.range(3000).selectExpr("'family_latin' as kind", "concat('n', id) as norm"))
-    drawn = found.join(pii.drawn_anew(found, "k"), ["kind", "norm"], "left").withColumn("draw", F.expr("coalesce(draw, 0)")).withColumn("surrogate", pii._drawn("k"))
+    found, key = found.withColumn("gender", F.lit("n")), pii.secret(spark, "k")
+    drawn = pii._drawn(found.join(pii.drawn_anew(found, key).drop("gender"), ["kind", "norm"], "left").withColumn("draw", F.expr("coalesce(draw, 0)")), key)
     r = drawn.agg(F.count("*").alias("n"), F.count_distinct("kind", "surrogate").alias("d")).first()
     assert r.n == r.d == 63_000
 
 
+def test_one_person_has_one_name(spark):
+    """A given name has one surrogate whatever the form of address tells, and names are replaced in their bare mentions, in their own document only."""
+    texts = ["Dr Anna Weber met Frau Anna Weber. Anna went; Weber said: Webern is no Weber.", "Herr MÜLLER and mr John Smith left. Smithy and John!", "Dr Ελένη Παπαδοπούλου", "Dr Anna Weber", "Weber lives here.", "password = hunterhunter", "to a" + "b" * 90 + "@x.org", "Dr " + "A" + "b" * 60 + " Zed"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    changed = pii.replace_entities(df, "a very secret key")
+    assert "a very secret key" not in changed._jdf.queryExecution().toString()
+    got = {r.doc_id: r.text for r in changed.collect()}
+    m = re.fullmatch(r"Dr (\w+) (\w+) met Frau (\w+) (\w+)\. (\w+) went; (\w+) said: Webern is no (\w+)\.", got[0])
+    assert m[1] == m[3] == m[5] and m[2] == m[4] == m[6] == m[7] and m[1].endswith("na") and m[1] != "Anna"
+    assert got[3] == f"Dr {m[1]} {m[2]}" and got[4] == texts[4]
+    n = re.fullmatch(r"Herr (\w+) and mr (\w+) (\w+) left\. Smithy and (\w+)!", got[1])
+    assert n[2] == n[4] and not {"MÜLLER", "John", "Smith"} & set(n.groups())
+    assert re.fullmatch(r"Dr [Α-Ω][α-ως]+ [Α-Ω][α-ως]+", got[2]) and "Ελένη" not in got[2]
+    assert "hunter" not in got[5] and "bbb" not in got[6] + got[7] and not got[7].endswith("Zed")
+
+
 # --- packing ---
 
 
