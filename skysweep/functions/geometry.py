@@ -113,27 +113,36 @@ def angular_separation(phi1: str, theta1: str, phi2: str, theta2: str) -> Column
     return F.expr(f"acos(greatest(-1D, least(1D, sin({theta1}) * sin({theta2}) + cos({theta1}) * cos({theta2}) * cos({phi1} - {phi2}))))")
 
 
-def pixel_table(scans: DataFrame, size: int, metres_per_pixel: float) -> DataFrame:
+_GRID = ["pulses", "samples_per_pulse", "sample_dist", "first_sample_dist", "bearing_offset", "tilt"]
+
+
+def pixel_table(scans: DataFrame, size: int, metres_per_pixel: float, centre: tuple[float, float] = (0.0, 0.0), rotation: float = 0.0) -> DataFrame:
     """For each scan geometry (distinct pulses, samples_per_pulse, sample_dist, first_sample_dist, bearing_offset, tilt): the pulse and sample
-    under the centre of each pixel of a square grid around the radar. Pixels outside the scan are left out. Size: grid squared times geometries."""
-    shape = scans.select("pulses", "samples_per_pulse", "sample_dist", "first_sample_dist", "bearing_offset", "tilt").distinct()
+    under the centre of each pixel of a square grid. centre: the place (x east, y north, in metres from the radar) in the middle of the grid; rotation: how far north is turned clockwise from the grid's
+    upward direction, in degrees. Pixels outside the scan are left out. Size: grid squared times geometries."""
+    shape = scans.select(*_GRID).distinct()
     grid = shape.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     grid = grid.withColumns({"_x": F.expr(f"(px + 0.5D - {size / 2!r}D) * {metres_per_pixel!r}D"), "_y": F.expr(f"({size / 2!r}D - py - 0.5D) * {metres_per_pixel!r}D")})
+    if rotation:
+        c, s = f"cos(radians({float(rotation)!r}D))", f"sin(radians({float(rotation)!r}D))"
+        grid = grid.withColumns({"_x": F.expr(f"_x * {c} - _y * {s}"), "_y": F.expr(f"_x * {s} + _y * {c}")})
+    if centre != (0.0, 0.0):
+        grid = grid.withColumns({"_x": F.expr(f"_x + {float(centre[0])!r}D"), "_y": F.expr(f"_y + {float(centre[1])!r}D")})
     grid = grid.withColumns({k: v - 1 for k, v in xy_to_sample_pulse("_x", "_y").items()}).withColumnRenamed("sample", "col")
     return grid.where("col >= 0 and col < samples_per_pulse and pulse < pulses").drop("_x", "_y")
 
 
-def polar_to_grid(samples: DataFrame, scans: DataFrame, size: int, metres_per_pixel: float, spread: int = 0, visible: list[int] | None = None) -> DataFrame:
-    """Pixel values of scans: scan_id, px, py, value, the sample nearest to the pixel's centre, or the mean of it and its next `spread` (0 to 3) samples
-    along the beam. visible: classes that are shown, if samples have a column class."""
-    geometry = ["pulses", "samples_per_pulse", "sample_dist", "first_sample_dist", "bearing_offset", "tilt"]
-    lookup = pixel_table(scans, size, metres_per_pixel)
+def polar_to_grid(samples: DataFrame, scans: DataFrame, size: int, metres_per_pixel: float, spread: int = 0, visible: list[int] | None = None, centre: tuple[float, float] = (0.0, 0.0), rotation: float = 0.0) -> DataFrame:
+    """Pixel values of scans: source_id, run_id, scan_id, px, py, value, the sample nearest to the pixel's centre, or the mean of it and its next `spread` (0 to 3) samples
+    along the beam. visible: classes that are shown, if samples have a column class. centre and rotation: as in pixel_table."""
+    scan = ["source_id", "run_id", "scan_id"]
+    lookup = pixel_table(scans, size, metres_per_pixel, centre, rotation)
     if spread:
         lookup = lookup.withColumn("col", F.explode(F.expr(f"sequence(col, least(col + {spread}, samples_per_pulse - 1))")))
     shown = samples if visible is None else samples.where(F.col("class").isin(visible))
-    with_shape = shown.join(scans.select("scan_id", *geometry), "scan_id")
+    with_shape = shown.join(scans.select(*scan, *_GRID), scan)
     # the lookup's size is a grid per geometry; Spark broadcasts it if it is small
-    return with_shape.join(lookup, [*geometry, "pulse", "col"]).groupBy("scan_id", "px", "py").agg(F.avg("value").alias("value"))
+    return with_shape.join(lookup, [*_GRID, "pulse", "col"]).groupBy(*scan, "px", "py").agg(F.avg("value").alias("value"))
 
 
 def rect_to_spatial(patches: DataFrame) -> DataFrame:

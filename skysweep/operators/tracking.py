@@ -32,12 +32,28 @@ def max_pair_distance() -> Column:
     return F.expr(f"if(abs(tilt) >= 60, {reach}, 2 * {reach} * cos(radians(tilt)))")
 
 
+def near_pairs(blips: DataFrame, columns: list[str], frames: int, max_speed_kmh: float) -> DataFrame:
+    """Pairs (u, v) of blips of one run, v 1 to frames - 1 scans (step) later, that may be as near as the speed limit asks, with dist and dt; the limit itself is still to be tested.
+
+    For each pair of scans the ground is cut into squares as wide as the limit allows in the longest time between their blips; a blip meets those of its own square and of the eight around it, so the
+    pairs looked at grow with the pairs that are near."""
+    steps = F.expr(f"explode(slice(sequence(1, {max(1, frames - 1)}), 1, {max(0, frames - 1)}))")
+    times = blips.groupBy(*RUN, "scan_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    later = times.select(*RUN, F.col("scan_id").alias("v_scan"), F.col("t0").alias("v0"), F.col("t1").alias("v1"))
+    spans = times.select(*RUN, F.col("scan_id").alias("u_scan"), "t0", "t1", steps.alias("step")).withColumn("v_scan", F.expr("u_scan + step")).join(later, [*RUN, "v_scan"])
+    width = F.expr(f"greatest(abs(v1 - t0), abs(v0 - t1)) * {max_speed_kmh / 3.6 * (1 + 1e-9)!r}D + 1e-6D")
+    spans = spans.select(*RUN, "u_scan", "v_scan", "step", width.alias("_w"))  # a row a pair of scans
+    u = blips.select(*RUN, F.col("scan_id").alias("u_scan"), *[F.col(c).alias(f"u_{c}") for c in columns]).join(spans, [*RUN, "u_scan"])
+    u = u.withColumn("_x", F.expr("explode(sequence(cast(floor(u_x / _w) as bigint) - 1, cast(floor(u_x / _w) as bigint) + 1))")).withColumn("_y", F.expr("explode(sequence(cast(floor(u_y / _w) as bigint) - 1, cast(floor(u_y / _w) as bigint) + 1))"))
+    v = blips.select(*RUN, F.col("scan_id").alias("v_scan"), *[F.col(c).alias(f"v_{c}") for c in columns]).join(spans.drop("u_scan"), [*RUN, "v_scan"])
+    v = v.withColumns({"_x": F.expr("cast(floor(v_x / _w) as bigint)"), "_y": F.expr("cast(floor(v_y / _w) as bigint)")}).drop("_w")
+    pairs = u.drop("_w").join(v, [*RUN, "v_scan", "step", "_x", "_y"]).drop("_x", "_y")
+    return pairs.withColumn("dist", F.expr("sqrt(pow(u_x - v_x, 2) + pow(u_y - v_y, 2) + pow(u_z - v_z, 2))")).withColumn("dt", F.expr("v_t - u_t"))
+
+
 def candidate_pairs(blips: DataFrame, frames: int = 2, max_speed_kmh: float = 100.0) -> DataFrame:
-    """Pairs (u, v) of blips of one run, v at most frames - 1 scans later, with dist and dt, that the speed limit allows. The join key is (source, run, scan)."""
-    columns = ["blip_id", "t", "x", "y", "z"]
-    u = blips.select(*RUN, F.col("scan_id").alias("u_scan"), *[F.col(c).alias(f"u_{c}") for c in columns]).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(frames - 1)))).withColumn("v_scan", F.expr("u_scan + step"))
-    v = blips.select(*RUN, F.col("scan_id").alias("v_scan"), *[F.col(c).alias(f"v_{c}") for c in columns])
-    pairs = u.join(v, [*RUN, "v_scan"]).withColumn("dist", F.expr("sqrt(pow(u_x - v_x, 2) + pow(u_y - v_y, 2) + pow(u_z - v_z, 2))")).withColumn("dt", F.expr("v_t - u_t"))
+    """Pairs (u, v) of blips of one run, v at most frames - 1 scans later, with dist and dt, that the speed limit allows."""
+    pairs = near_pairs(blips, ["blip_id", "t", "x", "y", "z"], frames, max_speed_kmh)
     return pairs.where(f"abs(try_divide(dist, dt)) <= {max_speed_kmh / 3.6!r}D")  # at one time: null, so no pair
 
 
@@ -61,18 +77,23 @@ def new_state(track_points: DataFrame) -> DataFrame:
     return track_points.withColumns({f"v{c}": F.try_divide(F.col(c) - F.lag(c).over(w), F.col("t") - F.lag("t").over(w)) for c in "xyz"})
 
 
-def nn_gates(blips: DataFrame, max_speed_kmh: float = 100.0, max_change_percent: float = 150.0) -> DataFrame:
-    """Pairs of blips of adjacent scans with the nearest-neighbour gates: fast, area and intensity change, and whether the pair passes all.
+def nn_gates(blips: DataFrame, max_speed_kmh: float = 100.0, max_change_percent: float = 150.0, near: bool = False) -> DataFrame:
+    """Pairs of blips of adjacent scans with the nearest-neighbour gates: fast, area and intensity change, and whether the pair passes all. With near, only the pairs that are not too fast, which are found
+    without looking at all the others; else all pairs.
 
     Divisions by zero are limits: a change from zero is infinite and fails, zero to zero is no change; at one time any change and any way is too fast. A null fails."""
     columns = ["blip_id", "t", "x", "y", "z", "area", "int"]
-    u = blips.select(*RUN, F.expr("scan_id + 1").alias("v_scan"), *[F.col(c).alias(f"u_{c}") for c in columns])
-    v = blips.select(*RUN, F.col("scan_id").alias("v_scan"), *[F.col(c).alias(f"v_{c}") for c in columns])
     m = 1 + max_change_percent / 100
-    rows = u.join(v, [*RUN, "v_scan"]).withColumns({"dist": F.expr("sqrt(pow(u_x - v_x, 2) + pow(u_y - v_y, 2) + pow(u_z - v_z, 2))"), "dt": F.expr("v_t - u_t")})
+    if near:
+        rows = near_pairs(blips, columns, 2, max_speed_kmh).drop("u_scan", "step")
+    else:
+        u = blips.select(*RUN, F.expr("scan_id + 1").alias("v_scan"), *[F.col(c).alias(f"u_{c}") for c in columns])
+        v = blips.select(*RUN, F.col("scan_id").alias("v_scan"), *[F.col(c).alias(f"v_{c}") for c in columns])
+        rows = u.join(v, [*RUN, "v_scan"]).withColumns({"dist": F.expr("sqrt(pow(u_x - v_x, 2) + pow(u_y - v_y, 2) + pow(u_z - v_z, 2))"), "dt": F.expr("v_t - u_t")})
     change = "case when u_{0} = 0 then v_{0} <> 0 when dt = 0 then true else v_{0} / u_{0} / dt > {1!r}D or v_{0} / u_{0} * dt < {2!r}D end"
     rows = rows.withColumns({"too_fast": F.expr(f"case when dt = 0 then dist > 0 else abs(dist / dt) > {max_speed_kmh / 3.6!r}D end"), **{f"{c}_changed": F.expr(change.format(c, m, 1 / m)) for c in ("area", "int")}})
-    return rows.withColumn("passes", F.expr("not (coalesce(too_fast, true) or coalesce(area_changed, true) or coalesce(int_changed, true))"))
+    rows = rows.withColumn("passes", F.expr("not (coalesce(too_fast, true) or coalesce(area_changed, true) or coalesce(int_changed, true))"))
+    return rows.where("not too_fast") if near else rows
 
 
 def gain_to_log_units(gain: str = "gain") -> Column:

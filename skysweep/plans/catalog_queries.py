@@ -48,6 +48,13 @@ def _simplified(s, d, kept):
     return A.simplify_series(rows, ["scan_id"], 120.0) if kept else A.approx_error(rows, A.simplify_series(rows, ["scan_id"], 120.0), ["scan_id"]).selectExpr("scan_id", "max_error <= 120.000001D as within")
 
 
+def _thinned(s, d):
+    """The error of keeping every eighth point and the last, with what a curve of slope 50 may do between the points."""
+    rows = pulses(s, d).selectExpr("scan_id", "cast(pulse as double) as t", "cast(samples[7] as double) as s")
+    kept = rows.join(rows.groupBy("scan_id").agg(F.max("t").alias("last")), "scan_id").where("t % 8 = 0 or t = last").drop("last")
+    return A.approx_error(rows, kept, ["scan_id"], 50.0).withColumn("max_error", F.expr("round(max_error, 6) + 0"))
+
+
 def _angles(s, d):
     return sweeps(s, d).selectExpr("source_id", "run_id", "ts as t", "cast(pmod(scan_id * 37, 90) as double) as angle")
 
@@ -75,6 +82,7 @@ QUERIES = {
     "a20_scale_frames": lambda s, d: A.scale_frames(pulses(s, d).selectExpr("scan_id as frame", "pulse", "transform(samples, x -> x % 256) as samples"), 25.0).selectExpr("frame", "pulse", "round(ts, 9) as ts", "duration_ms", "bits_per_sample", "is_rectangular", "aggregate(samples, 0L, (a, x) -> a + x) as total"),
     "a21_simplify_series": lambda s, d: _simplified(s, d, True),
     "a21_approx_error": lambda s, d: _simplified(s, d, False),
+    "a21_approx_error_thinned": _thinned,
 }
 
 ORACLES = {
@@ -98,5 +106,6 @@ ORACLES = {
     "a18_decode_dbz": with_(PULSES) + 'select scan_id, pulse, col, case when "value" % 256 in (0, 255) then null else ("value" % 256 - 64) / 2::double end dbz from samp',
     "a19_sample_to_dbm": with_(PULSES) + 'select scan_id, pulse, col, round(-48.34::double + 0.01738::double * "value" - 0.802::double * 61, 9) dbm from samp',
     "a20_scale_frames": with_(PULSES) + 'select scan_id frame, pulse, round(scan_id / 25::double, 9) ts, 40::double duration_ms, 15 bits_per_sample, true is_rectangular, sum("value" % 256 * 128)::bigint total from samp group by all',
+    "a21_approx_error_thinned": with_(PULSES, 'p as (select scan_id, pulse::double t, "value"::double s from samp where col = 7), m as (select scan_id, max(t) last from p group by all), n as (select *, lead(t) over (partition by scan_id order by t) t2, lead(s) over (partition by scan_id order by t) s2 from p), w as (select *, least(abs(s2 - s) / 50, t2 - t) w from n where t2 is not null), q as (select scan_id, t a, s own from p union all select scan_id, t + w, s2 from w union all select scan_id, t2 - w, s from w), k0 as (select p.* from p join m using (scan_id) where t % 8 = 0 or t = last), k as (select *, lead(t) over (partition by scan_id order by t) t2, lead(s) over (partition by scan_id order by t) s2 from k0)') + "select q.scan_id, round(max(abs(own - case when k.t2 is null then k.s else k.s + (k.s2 - k.s) * (a - k.t) / (k.t2 - k.t) end)), 6) + 0 max_error from q join k on q.scan_id = k.scan_id and a >= k.t and (a < k.t2 or k.t2 is null) group by all",
     "a21_approx_error": with_(PULSES) + 'select distinct scan_id, true as "within" from samp',
 }

@@ -85,6 +85,12 @@ def clutter_scans(s, d):
     return scans(s, d).withColumn("angle_class", F.expr("cast(bround(tilt) as int)"))
 
 
+def _shared_numbers(s, d, table):
+    """The table for two sources whose scans have the same numbers."""
+    rows = table(s, d)
+    return rows.withColumn("source_id", F.lit("a")).unionByName(rows.withColumns({"source_id": F.lit("b"), **({"value": F.expr("value div 2")} if "value" in rows.columns else {})}))
+
+
 def _interp(s, d, clamp=False):
     series = pulses(s, d).selectExpr("scan_id", "cast(pulse as double) as t", "cast(samples[3] as double) as u", "cast(samples[9] as double) as v").where("t % 4 = 1")
     times = pulses(s, d).selectExpr("scan_id", "cast(pulse as double) + 0.25D as at")
@@ -184,7 +190,8 @@ QUERIES = {
     "c08_dist3d": lambda s, d: rounded(_pairs(s, d).select("scan_id", "i", "j", C.dist3d().alias("dist")), "dist"),
     "c09_cos_angle3d": lambda s, d: rounded(_pairs(s, d).select("scan_id", "i", "j", F.nanvl(C.cos_angle3d(), F.lit(None)).alias("cosine")), "cosine"),
     "c10_angular_separation": lambda s, d: rounded(_pairs(s, d).where("i < j").select("scan_id", "i", "j", C.angular_separation("a_x / 400", "a_y / 2000", "b_x / 400", "b_y / 2000").alias("angle")), "angle"),
-    "c11_polar_to_grid": lambda s, d: rounded(C.polar_to_grid(samples(s, d), scans(s, d), 40, 17.0, spread=2), "value"),
+    "c11_polar_to_grid": lambda s, d: rounded(C.polar_to_grid(samples(s, d), scans(s, d), 40, 17.0, spread=2), "value").drop("source_id", "run_id"),
+    "c11_polar_to_grid_turned": lambda s, d: rounded(C.polar_to_grid(_shared_numbers(s, d, samples), _shared_numbers(s, d, scans), 30, 9.0, centre=(55.0, -38.0), rotation=33.0), "value"),
     "c12_rect_to_spatial": lambda s, d: rounded(C.rect_to_spatial(S.patch_stats_rect(patch_values(s, d), scans(s, d)).withColumns({"scale": F.lit(2.5), "rotation": F.lit(30.0), "origin_x": F.lit(100.0), "origin_y": F.lit(-50.0)})).select(*S.PATCH, "x", "y", "range"), "x", "y", "range"),
     "d01_noise_filter": lambda s, d: explode_samples(B.noise_filter(pulses(s, d), 900)).select("scan_id", "pulse", "col", "value"),
     "d02_scan_cell_stats": lambda s, d: cells(s, d).withColumn("cell_col", F.col("cell_col").cast("int")),
@@ -244,6 +251,7 @@ ORACLES = {
     "c09_cos_angle3d": with_(BLIPS) + "select a.scan_id, a.blip_no i, b.blip_no j, round((a.x * b.x + a.y * b.y + a.z * b.z) / nullif(sqrt(a.x * a.x + a.y * a.y + a.z * a.z) * sqrt(b.x * b.x + b.y * b.y + b.z * b.z), 0), 6) + 0 cosine from blips a join blips b using (scan_id)",
     "c10_angular_separation": with_(BLIPS) + "select a.scan_id, a.blip_no i, b.blip_no j, round(acos(greatest(-1::double, least(1::double, sin(a.y / 2000) * sin(b.y / 2000) + cos(a.y / 2000) * cos(b.y / 2000) * cos(a.x / 400 - b.x / 400)))), 6) + 0 angle from blips a join blips b using (scan_id) where a.blip_no < b.blip_no",
     "c11_polar_to_grid": with_(PULSES, "g as (select scan_id, pulses, px, py, (px + 0.5::double - 20) * 17 x, (20 - py - 0.5::double) * 17 y from scan, (select unnest(range(40)) px) a, (select unnest(range(40)) py) b), h as (select scan_id, px, py, floor(sqrt(x * x + y * y) / (5 * cos(radians(5::double))) - 2)::int c, floor(((pi() / 2 - atan2(y, x) + (180::double / pulses - 15) * pi() / 180 + 4 * pi()) % (2 * pi())) / (2 * pi()) * pulses)::int p from g)") + 'select scan_id, px::int px, py::int py, round(avg("value"), 6) + 0 "value" from h join samp using (scan_id) where c >= 0 and c < 64 and pulse = p and col between c and c + 2 group by all',
+    "c11_polar_to_grid_turned": with_(PULSES, "g0 as (select scan_id, run_id, pulses, px, py, (px + 0.5::double - 15) * 9 dx, (15 - py - 0.5::double) * 9 dy from scan, (select unnest(range(30)) px) a, (select unnest(range(30)) py) b), g as (select *, dx * cos(radians(33::double)) - dy * sin(radians(33::double)) + 55 x, dx * sin(radians(33::double)) + dy * cos(radians(33::double)) - 38 y from g0), h as (select scan_id, run_id, px, py, floor(sqrt(x * x + y * y) / (5 * cos(radians(5::double))) - 2)::int c, floor(((pi() / 2 - atan2(y, x) + (180::double / pulses - 15) * pi() / 180 + 4 * pi()) % (2 * pi())) / (2 * pi()) * pulses)::int p from g)") + 'select source, h.run_id, h.scan_id, px::int px, py::int py, (case when source = \'a\' then "value" else "value" // 2 end)::double + 0 "value" from h join samp on h.scan_id = samp.scan_id and pulse = p and col = c, (select unnest([\'a\', \'b\']) source) where c >= 0 and c < 64'.replace("select source,", "select source source_id,"),
     "c12_rect_to_spatial": with_(PATCHED, f'm as (select {_P}, sum("value"::double * col) / sum("value") x, sum("value"::double * pulse) / sum("value") y from psamp group by all), k as (select {_P}, 100 + 2.5::double * (x * cos(radians(30::double)) - y * sin(radians(30::double))) x, -50 + 2.5::double * (x * sin(radians(30::double)) + y * cos(radians(30::double))) y from m)') + f'select {_P}, round(x, 6) + 0 x, round(y, 6) + 0 y, round(sqrt(x * x + y * y), 6) + 0 "range" from k',
     "d01_noise_filter": with_(PULSES) + 'select scan_id, pulse, col, case when "value" < 900 then 0 else "value" end "value" from samp',
     "d02_scan_cell_stats": with_(CELLS) + f'select {META}, cell_row, cell_col, n, s "sum", mean, dev_sum from cell',

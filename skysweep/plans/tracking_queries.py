@@ -77,6 +77,7 @@ QUERIES = {
     "g06_track_mfc_events": lambda s, d: G.track_mfc(events(s, d), None, frames=3, max_dist=8000.0, max_speed_kmh=900.0),
     "g07_track_nn": lambda s, d: tracked(s, d, "nn"),
     "g08_nn_gates": lambda s, d: G.nn_gates(events(s, d), SPEED).select("v_scan", "u_blip_id", "v_blip_id", "too_fast", "area_changed", "int_changed", "passes"),
+    "g08_nn_gates_near": lambda s, d: G.nn_gates(events(s, d), 1500.0, near=True).select("v_scan", "u_blip_id", "v_blip_id", "area_changed", "int_changed", "passes"),
     "g11_filter_short_tracks": lambda s, d: G.filter_short_tracks(chains(s, d), 5).select("run_id", "track_id", "seq", "blip_id"),
     "g12_track_summary": lambda s, d: rounded(G.track_summary(chains(s, d)), "length_m", "mean_speed_kmh"),
     "g13_tracks_in_interval": lambda s, d: G.tracks_in_interval(G.track_summary(chains(s, d)), 100.0, 200.0).select("run_id", "track_id", "t_start", "t_end"),
@@ -114,6 +115,7 @@ ORACLES = {
     "g04_new_state": with_(_STEP) + "select track_id, run_id, seq, round(vx, 6) + 0 vx, round(vy, 6) + 0 vy, round(vz, 6) + 0 vz from nv",
     "g05_max_pair_distance": with_(PULSES) + f"select {_RUN}, round(case when scan_id % 90 >= 60 then 330 else 660 * cos(radians((scan_id % 90)::double)) end, 6) + 0 max_dist from scan",
     "g08_nn_gates": with_(BLIPS, "n as (select v.scan_id v_scan, u.blip_no u_blip_id, v.blip_no v_blip_id, sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2) d, v.t - u.t dt, v.area va, u.area ua, v.int vi, u.int ui from blips u join blips v on u.source_id = v.source_id and u.run_id = v.run_id and v.scan_id = u.scan_id + 1), f as (select *, case when dt = 0 then d > 0 else abs(d / dt) > 3000 / 3.6::double end too_fast, case when ua = 0 then va <> 0 when dt = 0 then true else va / ua / dt > 2.5::double or va / ua * dt < 0.4::double end area_changed, case when ui = 0 then vi <> 0 when dt = 0 then true else vi / ui / dt > 2.5::double or vi / ui * dt < 0.4::double end int_changed from n)") + "select v_scan, u_blip_id, v_blip_id, too_fast, area_changed, int_changed, not (too_fast or area_changed or int_changed) passes from f",
+    "g08_nn_gates_near": with_(BLIPS, "n as (select v.scan_id v_scan, u.blip_no u_blip_id, v.blip_no v_blip_id, sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2) d, v.t - u.t dt, v.area va, u.area ua, v.int vi, u.int ui from blips u join blips v on u.source_id = v.source_id and u.run_id = v.run_id and v.scan_id = u.scan_id + 1), f as (select *, case when dt = 0 then d > 0 else abs(d / dt) > 1500 / 3.6::double end too_fast, case when ua = 0 then va <> 0 when dt = 0 then true else va / ua / dt > 2.5::double or va / ua * dt < 0.4::double end area_changed, case when ui = 0 then vi <> 0 when dt = 0 then true else vi / ui / dt > 2.5::double or vi / ui * dt < 0.4::double end int_changed from n)") + "select v_scan, u_blip_id, v_blip_id, area_changed, int_changed, not (too_fast or area_changed or int_changed) passes from f where not too_fast",
     "g11_filter_short_tracks": with_(_CHAIN) + "select run_id, track_id, seq, blip_no blip_id from ch qualify count(*) over (partition by source_id, run_id, track_id) >= 5",
     "g12_track_summary": with_(_STEP, _SUM) + "select source_id, run_id, track_id, n_points, t_start, t_end, round(length_m, 6) + 0 length_m, round(case when t_end > t_start then length_m / (t_end - t_start) * 3.6::double end, 6) + 0 mean_speed_kmh from ts_",
     "g13_tracks_in_interval": with_(_STEP, _SUM) + "select run_id, track_id, t_start, t_end from ts_ where t_start <= 200 and t_end >= 100",

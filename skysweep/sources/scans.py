@@ -183,44 +183,44 @@ def scale_frames(frames: DataFrame, rate: float, start_ts: float = 0.0) -> DataF
 
 def simplify_series(points: DataFrame, keys: list[str], error: float, slope: float | None = None) -> DataFrame:
     """A subset of the points (t, s) of each key such that linear interpolation stays within error, found greedily: a piece is as long as the cone
-    of lines through its first point that pass all its points allows. slope bounds the lines' steepness. Points are read in order, one at a time.
+    of lines through its first point that pass all its points allows. slope bounds how fast the curve between two points may rise or fall: the line then stays within error of
+    all such curves (at the corners that they can reach), but for pieces of a single step, which nothing can improve. Points are read in order, one at a time.
     Points with a null t or s are left out; of points at one time, those further than error from the first begin pieces of their own."""
     names = points.columns
 
+    def cone(base: dict, lo: float, hi: float, at: list[tuple[float, float]]) -> tuple[float, float]:
+        """What is left of the slopes (lo, hi) of lines through base that pass the places (t, s) within error."""
+        for t, s in at:
+            if t > base["t"]:
+                lo, hi = max(lo, (s - error - base["s"]) / (t - base["t"])), min(hi, (s + error - base["s"]) / (t - base["t"]))
+        return lo, hi
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = base = last = None
-        lo = hi = 0.0
+        lo, hi = -np.inf, np.inf
         for batch in batches:
             out = []
-            rows = batch.to_pylist()
-            for r in rows:
+            for r in batch.to_pylist():
                 key = tuple(r[k] for k in keys)
                 if key != now:
                     if last is not None and last is not base:
                         out.append(last)
-                    now, base, last = key, r, r
-                    lo, hi = (-slope, slope) if slope is not None else (-np.inf, np.inf)
+                    now, base, last, lo, hi = key, r, r, -np.inf, np.inf
                     out.append(r)
                     continue
-                dt = r["t"] - base["t"]
-                if dt == 0:  # no line has two values at one time
+                if last is not base and r["t"] > base["t"]:
+                    lo, hi = cone(base, lo, hi, corners(last, r, slope))
+                    if not lo <= (r["s"] - base["s"]) / (r["t"] - base["t"]) <= hi:
+                        out.append(last)
+                        base, lo, hi = last, -np.inf, np.inf
+                if r["t"] == base["t"]:  # no line has two values at one time
                     if abs(r["s"] - base["s"]) > error:
-                        base = last = r
-                        lo, hi = (-slope, slope) if slope is not None else (-np.inf, np.inf)
+                        base, last, lo, hi = r, r, -np.inf, np.inf
                         out.append(r)
                     continue
-                own = (r["s"] - base["s"]) / dt
-                if last is not base and not lo <= own <= hi:
-                    out.append(last)
-                    base = last
-                    lo, hi = (-slope, slope) if slope is not None else (-np.inf, np.inf)
-                    dt = r["t"] - base["t"]
-                    if dt == 0:
-                        if abs(r["s"] - base["s"]) > error:
-                            base = last = r
-                            out.append(r)
-                        continue
-                lo, hi = max(lo, (r["s"] - error - base["s"]) / dt), min(hi, (r["s"] + error - base["s"]) / dt)
+                if last is base:
+                    lo, hi = cone(base, lo, hi, corners(base, r, slope))
+                lo, hi = cone(base, lo, hi, [(r["t"], r["s"])])
                 last = r
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
@@ -231,7 +231,20 @@ def simplify_series(points: DataFrame, keys: list[str], error: float, slope: flo
     return points.where("t is not null and s is not null").repartition(*keys).sortWithinPartitions(*keys, "t", "s").select(*names).mapInArrow(fold, points.schema)
 
 
-def approx_error(points: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: the largest distance of points (t, s) from the line through the kept ones around them."""
+def corners(a: dict, b: dict, slope: float | None) -> list[tuple[float, float]]:
+    """The outermost places (t, s) between two points that a curve of this slope can reach at their levels; none without a bound."""
+    if not slope or b["t"] <= a["t"]:
+        return []
+    width = min(abs(b["s"] - a["s"]) / slope, b["t"] - a["t"])
+    return [(a["t"] + width, b["s"]), (b["t"] - width, a["s"])]
+
+
+def approx_error(points: DataFrame, kept: DataFrame, keys: list[str], slope: float | None = None) -> DataFrame:
+    """Per key: the largest distance of points (t, s) from the line through the kept ones around them; with slope, of the corners between them too (see simplify_series)."""
     asked = points.select(*keys, F.col("t").alias("at"), F.col("s").alias("own"))
+    if slope:
+        w = Window.partitionBy(*keys).orderBy("t", "s")
+        steps = points.where("t is not null and s is not null").select(*keys, "t", "s", F.lead("t").over(w).alias("_t"), F.lead("s").over(w).alias("_s")).where("_t > t")
+        steps = steps.withColumn("_w", F.expr(f"least(abs(_s - s) / {float(slope)!r}D, _t - t)"))
+        asked = asked.unionByName(steps.select(*keys, F.explode(F.expr("array(struct(t + _w as at, _s as own), struct(_t - _w as at, s as own))")).alias("c")).select(*keys, "c.at", "c.own"))
     return interp_state(kept.select(*keys, "t", "s"), asked, keys, ["s"]).groupBy(*keys).agg(F.max(F.abs(F.col("own") - F.col("s"))).alias("max_error"))

@@ -101,3 +101,30 @@ def test_patches_by_labels_equal_those_by_scan(spark):
     near = E.run_adjacency(runs, scans, diagonal=True)
     a, b = (sorted((r.scan_id, r.run_no, r.patch_id) for r in E.find_patches(runs, near, m).collect()) for m in ("grouped", "dataframe"))
     assert a == b and len({x[2] for x in a}) > 1
+
+
+@pytest.mark.parametrize("slope", [3.0, 8.0, 40.0])
+def test_a_simplified_series_bounds_the_curve_between_the_points(spark, slope):
+    """With a bound on the slope: at every corner that a curve can reach the line stays within the error, but in pieces of a single step; a piece is as long as that allows."""
+    import math
+
+    error, points = 2.0, [(float(t), math.sin(t / 9) * 12 + (t * 29 % 7) / 5) for t in range(80)]
+    frame = spark.createDataFrame([(1, *p) for p in points], "k int, t double, s double")
+    kept = A.simplify_series(frame, ["k"], error, slope)
+    at = sorted(points.index((r.t, r.s)) for r in kept.collect())
+    assert at[0] == 0 and at[-1] == 79 and len(at) < 70
+
+    def worst(a, b):
+        """The largest distance of points and corners from the line from point a to point b."""
+        line = lambda t: points[a][1] + (points[b][1] - points[a][1]) * (t - points[a][0]) / (points[b][0] - points[a][0])
+        out = [abs(s - line(t)) for t, s in points[a : b + 1]]
+        for (t, s), (u, r) in zip(points[a:b], points[a + 1 : b + 1]):
+            w = min(abs(r - s) / slope, u - t)
+            out += [abs(r - line(t + w)), abs(s - line(u - w))]
+        return max(out)
+
+    pieces = list(zip(at, at[1:]))
+    assert all(worst(a, b) <= error + 1e-9 for a, b in pieces if b - a > 1)
+    assert all(b == 79 or worst(a, b + 1) > error or b - a == 1 for a, b in pieces)
+    got = A.approx_error(frame, kept, ["k"], slope).first().max_error
+    assert got == pytest.approx(max(worst(a, b) for a, b in pieces))
