@@ -142,6 +142,17 @@ def truncate_track(track_points: DataFrame, cuts: DataFrame) -> DataFrame:
 # --- folds ---
 
 Gain = Callable[[dict, np.ndarray, bool], np.ndarray]
+State = Callable[[dict, dict], np.ndarray]
+
+
+def state_of(u: dict, v: dict, make: State | None, size: int | None) -> list[float] | None:
+    """The user's state of the track that ends in v after u: a vector of finite numbers, as long as all others."""
+    if make is None:
+        return None
+    out = np.asarray(make(u, v), float)
+    if out.ndim != 1 or not np.isfinite(out).all() or (size is not None and len(out) != size):
+        raise ValueError(f"a state function must give a vector of {size or 'some'} finite numbers")
+    return out.tolist()
 
 
 class MultiFrame:
@@ -149,11 +160,13 @@ class MultiFrame:
 
     A new scan's blips may follow any blip of the window: as the next point of a track's end (extension), or in place of a point that followed before
     (correction); the choice is the path cover with the greatest total gain. A correction drops what hung on the old choice, and blips left over are matched
-    scan by scan on nearness alone. User gains take (blip, later blips as rows t, x, y, z, consecutive) and give values in [0, 1]."""
+    scan by scan on nearness alone. User gains take (blip, later blips as rows t, x, y, z, consecutive) and give values in [0, 1]. A user state takes (blip, its follower) when the two are linked and gives a
+    vector, always of one length (state_size, if given): the follower carries it as "state", where the gains and the next state find it, until a correction takes the follower off the track. Before the
+    first link a track has no state (None)."""
 
-    def __init__(self, frames: int = 2, alpha: float = 0.5, epsilon: float = 1e-3, min_gain: float = 0.9090909090909, max_speed_kmh: float = 100.0, max_dist: float = 5000.0, user_pp: Gain | None = None, user_tp: Gain | None = None):
+    def __init__(self, frames: int = 2, alpha: float = 0.5, epsilon: float = 1e-3, min_gain: float = 0.9090909090909, max_speed_kmh: float = 100.0, max_dist: float = 5000.0, user_pp: Gain | None = None, user_tp: Gain | None = None, user_state: State | None = None, state_size: int | None = None):
         self.frames, self.alpha, self.epsilon, self.min_gain, self.max_speed, self.max_dist = frames, alpha, epsilon, min_gain, max_speed_kmh / 3.6, max_dist
-        self.user_pp, self.user_tp = user_pp, user_tp
+        self.user_pp, self.user_tp, self.user_state, self.state_size = user_pp, user_tp, user_state, state_size
         self.window: list[list[dict]] = []
         self.tracks: dict[int, list[dict]] = {}
         self.started = 0
@@ -192,6 +205,8 @@ class MultiFrame:
         dt = v["t"] - u["t"]
         v["v"] = np.array([v[c] - u[c] for c in "xyz"]) / dt if dt else np.zeros(3)
         u["next"], v["prev"] = v, u
+        v["state"] = state_of(u, v, self.user_state, self.state_size)
+        self.state_size = len(v["state"]) if v["state"] is not None else None
         self.tracks[u["track"]].append(v)
 
     def _drop_tail(self, u: dict) -> None:
@@ -199,13 +214,13 @@ class MultiFrame:
         tail = self.tracks[u["track"]]
         cut = next(i for i, p in enumerate(tail) if p is u) + 1
         for p in tail[cut:]:
-            p.update(track=None, v=None, next=None, prev=None, gain=None)
+            p.update(track=None, v=None, next=None, prev=None, gain=None, state=None)
         del tail[cut:]
         u["next"] = None
 
     def step(self, points: list[dict]) -> Iterator[list[dict]]:
         """Takes the next scan's blips (t, x, y, z, ...) in order; gives the tracks that have ended."""
-        new = [p | {"v": None, "track": None, "next": None, "prev": None, "gain": None} for p in points]
+        new = [p | {"v": None, "track": None, "next": None, "prev": None, "gain": None, "state": None} for p in points]
         if len(self.window) == self.frames:
             gone = self.window.pop(0)
             for p in gone:
@@ -287,31 +302,41 @@ def pair_gains(ends: np.ndarray, headings: np.ndarray, points: np.ndarray, max_s
 
 
 class Nearest:
-    """Constrained nearest neighbour, for one run: gates on speed, on the change rates of area and intensity, and on turning; a track ends stale_s after its last blip."""
+    """Constrained nearest neighbour, for one run: gates on speed, on the change rates of area and intensity, and on turning; a track ends stale_s after its last blip. user_state: as in MultiFrame;
+    user_gain takes (a track's last blip, blips as rows t, x, y, z) and gives factors of the gains, 0 to 1."""
 
-    def __init__(self, max_speed_kmh: float = 100.0, max_change_percent: float = 150.0, max_turn_rate: float = 20.0, stale_s: float = 10.0):
+    def __init__(self, max_speed_kmh: float = 100.0, max_change_percent: float = 150.0, max_turn_rate: float = 20.0, stale_s: float = 10.0, user_gain: Callable[[dict, np.ndarray], np.ndarray] | None = None, user_state: State | None = None, state_size: int | None = None):
+        self.user_gain, self.user_state, self.state_size = user_gain, user_state, state_size
         self.max_speed, self.change, self.turn, self.stale = max_speed_kmh / 3.6, 1 + max_change_percent / 100, np.radians(max_turn_rate), stale_s
         self.tracks: dict[int, list[dict]] = {}
         self.started = 0
 
     def step(self, points: list[dict], now: float | None = None) -> Iterator[list[dict]]:
         yield from self.expire(now if now is not None else min((p["t"] for p in points), default=-np.inf))
-        keys = list(self.tracks)
+        keys = sorted(self.tracks, key=lambda k: (self.tracks[k][-1].get("scan_id", 0), self.tracks[k][-1].get("blip_id", 0)))  # among equal choices the history plays no part
         taken: dict[int, int] = {}
         if keys and points:
             rows = lambda ps: np.array([[p[c] for c in ("t", "x", "y", "z", "area", "int")] for p in ps], float)
             ends = rows([self.tracks[k][-1] for k in keys])
             before = rows([self.tracks[k][-2] if len(self.tracks[k]) > 1 else dict.fromkeys(self.tracks[k][-1], np.nan) for k in keys])
             gain = pair_gains(ends, ends[:, 1:4] - before[:, 1:4], rows(points), self.max_speed, self.change, self.turn)
+            if self.user_gain is not None:
+                later = rows(points)[:, :4]
+                factors = np.stack([np.asarray(self.user_gain(self.tracks[k][-1], later), float) for k in keys], 1)
+                if factors.shape != gain.shape or not ((factors >= 0) & (factors <= 1)).all():
+                    raise ValueError("a gain function must give one value in [0, 1] for each point")
+                gain = np.trunc(gain * factors)
             taken = dict(best_pairs(gain))
         for i, p in enumerate(points):
             if i in taken:
                 track = self.tracks[keys[taken[i]]]
                 u, d = track[-1], p["t"] - track[-1]["t"]
-                track.append(p | {"track": keys[taken[i]], "gain": None, "v": np.array([p[c] - u[c] for c in "xyz"]) / d if d else np.zeros(3)})
+                state = state_of(u, p, self.user_state, self.state_size)
+                self.state_size = len(state) if state is not None else None
+                track.append(p | {"track": keys[taken[i]], "gain": None, "v": np.array([p[c] - u[c] for c in "xyz"]) / d if d else np.zeros(3), "state": state})
             else:
                 self.started += 1
-                self.tracks[self.started] = [p | {"track": self.started, "gain": None, "v": None}]
+                self.tracks[self.started] = [p | {"track": self.started, "gain": None, "v": None, "state": None}]
 
     def expire(self, now: float) -> Iterator[list[dict]]:
         """Ends the tracks whose last blip is stale_s or more before now."""
@@ -378,14 +403,21 @@ def _track(blips: DataFrame, scans: DataFrame | None, make: Callable[[], Any]) -
     return rows.repartition(*RUN).sortWithinPartitions(*RUN, "scan_id", "blip_id").mapInArrow(fold, POINTS)
 
 
-def track_mfc(blips: DataFrame, scans: DataFrame | None = None, **settings: Any) -> DataFrame:
-    """Points of tracks by multi-frame correspondence: source_id, run_id, track_id, seq, scan_id, blip_id, gain, vx, vy, vz. settings: those of MultiFrame. Only tracks of two points or more exist."""
-    return _track(blips, scans, lambda: MultiFrame(**settings))
+def _tracked(blips: DataFrame, scans: DataFrame | None, make: Callable[[], Any], slices: tuple[int, int] | None) -> DataFrame:
+    from skysweep.operators.slices import track_in_slices
+
+    return track_in_slices(blips, scans, make, *slices)[0] if slices else _track(blips, scans, make)
+
+
+def track_mfc(blips: DataFrame, scans: DataFrame | None = None, slices: tuple[int, int] | None = None, **settings: Any) -> DataFrame:
+    """Points of tracks by multi-frame correspondence: source_id, run_id, track_id, seq, scan_id, blip_id, gain, vx, vy, vz. settings: those of MultiFrame. Only tracks of two points or more exist.
+    slices (scans a slice, scans of warm-up): long runs are folded in slices, side by side (operators.slices)."""
+    return _tracked(blips, scans, lambda: MultiFrame(**settings), slices)
 
 
-def track_nn(blips: DataFrame, scans: DataFrame | None = None, **settings: Any) -> DataFrame:
-    """Points of tracks by constrained nearest neighbour; lone blips are tracks of one point. settings: those of Nearest."""
-    return _track(blips, scans, lambda: Nearest(**settings))
+def track_nn(blips: DataFrame, scans: DataFrame | None = None, slices: tuple[int, int] | None = None, **settings: Any) -> DataFrame:
+    """Points of tracks by constrained nearest neighbour; lone blips are tracks of one point. settings: those of Nearest. slices: as in track_mfc."""
+    return _tracked(blips, scans, lambda: Nearest(**settings), slices)
 
 
 def match_adjacent(blips: DataFrame, **settings: Any) -> DataFrame:

@@ -45,7 +45,8 @@ class BlipParams:
 
 @dataclass(frozen=True)
 class TrackParams:
-    """Tracking: model (mfc or nn), speed limit, the least number of blips of a track, and the gates of nn. max_dist: the distance of no gain; None for the field of view."""
+    """Tracking: model (mfc or nn), speed limit, the least number of blips of a track, and the gates of nn. max_dist: the distance of no gain; None for the field of view. slices:
+    scans a slice and scans of warm-up, for runs that are too long for one task each."""
 
     model: str = "mfc"
     max_speed_kmh: float = 100.0
@@ -54,6 +55,7 @@ class TrackParams:
     stale_s: float = 10.0
     max_change_percent: float = 150.0
     max_turn_rate: float = 20.0
+    slices: tuple[int, int] | None = None
 
 
 @dataclass(frozen=True)
@@ -191,10 +193,10 @@ def track_blips(blips: DataFrame, scans: DataFrame, params: Params) -> DataFrame
     """Points of the tracks of blips (blip_id, t, x, y, z, area, int), without the short ones."""
     track, mfc = params.track, params.mfc
     if track.model == "nn":
-        points = G.track_nn(blips, scans, max_speed_kmh=track.max_speed_kmh, max_change_percent=track.max_change_percent, max_turn_rate=track.max_turn_rate, stale_s=track.stale_s)
+        points = G.track_nn(blips, scans, track.slices, max_speed_kmh=track.max_speed_kmh, max_change_percent=track.max_change_percent, max_turn_rate=track.max_turn_rate, stale_s=track.stale_s)
     elif track.model == "mfc":
         reach = track.max_dist or scans.agg(F.max(G.max_pair_distance())).first()[0] or 1.0
-        points = G.track_mfc(blips, scans, frames=mfc.frames, alpha=mfc.alpha, epsilon=mfc.epsilon, min_gain=mfc.min_gain, max_speed_kmh=track.max_speed_kmh, max_dist=reach)
+        points = G.track_mfc(blips, scans, track.slices, frames=mfc.frames, alpha=mfc.alpha, epsilon=mfc.epsilon, min_gain=mfc.min_gain, max_speed_kmh=track.max_speed_kmh, max_dist=reach)
     else:
         raise ValueError(f"unknown tracker: {track.model}")
     return G.filter_short_tracks(points, track.min_blips)

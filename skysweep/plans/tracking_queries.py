@@ -75,6 +75,8 @@ QUERIES = {
     "g05_max_pair_distance": lambda s, d: rounded(scans(s, d).withColumn("tilt", F.expr("cast(scan_id % 90 as double)")).select(*SCAN, G.max_pair_distance().alias("max_dist")), "max_dist"),
     "g06_track_mfc": lambda s, d: tracked(s, d, "mfc"),
     "g06_track_mfc_events": lambda s, d: G.track_mfc(events(s, d), None, frames=3, max_dist=8000.0, max_speed_kmh=900.0),
+    "g06_track_mfc_slices": lambda s, d: G.track_mfc(events(s, d), None, (12, 4), frames=2, max_dist=8000.0, max_speed_kmh=900.0),
+    "g07_track_nn_slices": lambda s, d: G.track_nn(events(s, d), sweeps(s, d), (12, 6), max_speed_kmh=900.0, max_change_percent=900.0),
     "g07_track_nn": lambda s, d: tracked(s, d, "nn"),
     "g08_nn_gates": lambda s, d: G.nn_gates(events(s, d), SPEED).select("v_scan", "u_blip_id", "v_blip_id", "too_fast", "area_changed", "int_changed", "passes"),
     "g08_nn_gates_near": lambda s, d: G.nn_gates(events(s, d), 1500.0, near=True).select("v_scan", "u_blip_id", "v_blip_id", "area_changed", "int_changed", "passes"),

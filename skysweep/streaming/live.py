@@ -119,7 +119,7 @@ class Live(StatefulProcessor):
         for row in self.window.get() if self.window.exists() else []:
             r = dict(zip(_POINT_NAMES, row, strict=True))
             p = {c: r[c] for c in ("scan_id", "blip_id", "t", "x", "y", "z", "area", "int", "track", "gain")}
-            p |= {"v": None if r["vx"] is None else np.array([r["vx"], r["vy"], r["vz"]]), "next": None, "prev": {} if r["has_prev"] else None}
+            p |= {"v": None if r["vx"] is None else np.array([r["vx"], r["vy"], r["vz"]]), "next": None, "prev": {} if r["has_prev"] else None, "state": None}
             points.append((r["frame"], p, r["next"]))
         for _, p, following in points:
             if following is not None:
