@@ -230,6 +230,11 @@ def classify_samples(scored: DataFrame, hot: float = 2.5, low: float = -128.0) -
     return scored.withColumn("class", F.expr(f"cast(case when score >= {int(hot * UNIT)} or score <= {int(low * UNIT)} then {HOT} else {COLD} end as tinyint)"))
 
 
+def classify_pulses(scored: DataFrame, hot: float = 2.5, low: float = -128.0) -> DataFrame:
+    """Pulses with scores (arrays) with classes, one for each sample; null without a score."""
+    return scored.withColumn("classes", F.expr(f"transform(scores, x -> case when x >= {int(hot * UNIT)} or x <= {int(low * UNIT)} then {HOT} when x is not null then {COLD} end)"))
+
+
 def class_counts(classified: DataFrame) -> DataFrame:
     """Cold and hot samples per scan."""
     return classified.groupBy(*RUN, "scan_id").agg(F.count_if(F.col("class") == COLD).alias("n_cold"), F.count_if(F.col("class") == HOT).alias("n_hot"))

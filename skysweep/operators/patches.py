@@ -5,7 +5,7 @@ Runs are rows (source_id, run_id, scan_id, pulse, col, length, run_no), numbered
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +33,38 @@ def hot_runs(classified: DataFrame, scans: DataFrame | None = None) -> DataFrame
 def scored_runs(pulses: DataFrame, scans: DataFrame, size: int, hot: float, low: float) -> DataFrame:
     """The same from pulses that have the statistics of their cells (background.with_cell_stats), with values, the samples of each run: scores and classes stay in
     arrays, and only hot runs become rows."""
+
+    def is_hot(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values, scores, valid, cuts = flat_scores(batch, size)
+        return values, valid & ((scores >= int(hot * UNIT)) | (scores <= int(low * UNIT))), cuts
+
+    return _runs_by(pulses, scans, ["samples", "_mean", "_dev"], is_hot)
+
+
+def classified_runs(pulses: DataFrame, scans: DataFrame) -> DataFrame:
+    """The same from pulses with classes, an array beside samples."""
+
+    def is_hot(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists, classes = batch.column("samples"), batch.column("classes")
+        cuts = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        if not lists.value_lengths().equals(classes.value_lengths()):
+            raise ValueError("a pulse must have as many classes as samples")
+        values, marks = (x.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, classes))
+        return values, marks == HOT, cuts
+
+    return _runs_by(pulses, scans, ["samples", "classes"], is_hot)
+
+
+def _runs_by(pulses: DataFrame, scans: DataFrame, columns: list[str], hot_samples: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Runs with their values from pulses; hot_samples gives a batch's samples one after another, which are hot, and where each pulse begins and ends."""
     lead = scans.select(*SCAN, F.expr("cast(greatest(0, floor(-first_sample_dist / sample_dist)) as int)").alias("_skip"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, scores, valid, cuts = flat_scores(batch, size)
+            values, hot, cuts = hot_samples(batch)
             row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
             col = np.arange(len(values)) - cuts[row]
-            is_hot = valid & ((scores >= int(hot * UNIT)) | (scores <= int(low * UNIT))) & (col >= batch.column("_skip").to_numpy(zero_copy_only=False)[row])
-            at = np.flatnonzero(is_hot)
+            at = np.flatnonzero(hot & (col >= batch.column("_skip").to_numpy(zero_copy_only=False)[row]))
             first = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(row[at]) > 0))) if len(at) else np.zeros(0, bool)
             starts = at[first]
             bounds = np.append(np.flatnonzero(first), len(at)).astype(np.int32)
@@ -50,7 +73,7 @@ def scored_runs(pulses: DataFrame, scans: DataFrame, size: int, hot: float, low:
             yield pa.record_batch(out)
 
     schema = T.StructType([pulses.schema[c] for c in (*SCAN, "pulse")]).add("col", "integer").add("length", "integer").add("values", T.ArrayType(T.IntegerType()))
-    runs = pulses.join(lead, SCAN).select(*SCAN, "pulse", "samples", "_mean", "_dev", "_skip").mapInArrow(found, schema)
+    runs = pulses.join(lead, SCAN).select(*SCAN, "pulse", *columns, "_skip").mapInArrow(found, schema)
     return runs.withColumn("run_no", F.row_number().over(Window.partitionBy(*SCAN).orderBy("pulse", "col")) - 1)
 
 

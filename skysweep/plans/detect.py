@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
@@ -114,6 +115,23 @@ class Params:
         return cls(**{k: kinds[k](**v) for k, v in groups.items()})
 
 
+#: The stages that functions may stand between: what each gets and gives back. pulses: samples arrays, before anything else (scans beside them are not changed); scores and classes: pulses with scores, and with
+#: classes, arrays beside samples; patches: patches with is_blip, after the filters.
+STAGES = ("pulses", "scores", "classes", "patches")
+Stages = dict[str, list[Callable[[DataFrame], DataFrame]]]
+
+
+def staged(frame: DataFrame, stages: Stages | None, stage: str) -> DataFrame:
+    """frame after the functions of a stage, in order. Each must keep the columns and their types; rows it may add and remove."""
+    for f in (stages or {}).get(stage, []):
+        out = f(frame)
+        kinds = dict(out.dtypes)
+        if lost := [c for c, kind in frame.dtypes if kinds.get(c) != kind]:
+            raise ValueError(f"a function of the stage {stage} changes or drops columns: {lost}")
+        frame = out.select(*frame.columns)
+    return frame
+
+
 def scored_samples(pulses: DataFrame, params: FindParams, scans: DataFrame | None = None) -> DataFrame:
     """Samples with scores by the statistics valid before their scan."""
     return B.explode_scored(B.score_samples(_denoised(pulses, params), cell_stats(pulses, params, scans), params.cell_size))
@@ -134,10 +152,15 @@ def cell_stats(pulses: DataFrame, params: FindParams, scans: DataFrame | None =
     return stored(stats.select(*E.SCAN, "cell_row", "mean", "dev"))  # the only ordered step: one row per row of cells and scan
 
 
-def runs_of(pulses: DataFrame, scans: DataFrame, params: FindParams) -> DataFrame:
+def runs_of(pulses: DataFrame, scans: DataFrame, params: FindParams, stages: Stages | None = None) -> DataFrame:
     """Runs with patch_id and values, of patches of more than one sample. Samples stay in arrays: only hot runs become rows."""
-    near = B.with_cell_stats(_denoised(pulses, params), cell_stats(pulses, params, scans), params.cell_size)
-    runs = stored(E.scored_runs(near, scans, params.cell_size, params.hot_score, params.low_score))  # read again for adjacency, samples and perimeter; a small part of the samples
+    stats = cell_stats(pulses, params, scans)
+    if any((stages or {}).get(x) for x in ("scores", "classes")):
+        scored = staged(B.score_samples(_denoised(pulses, params), stats, params.cell_size), stages, "scores")
+        found = E.classified_runs(staged(B.classify_pulses(scored, params.hot_score, params.low_score), stages, "classes"), scans)
+    else:
+        found = E.scored_runs(B.with_cell_stats(_denoised(pulses, params), stats, params.cell_size), scans, params.cell_size, params.hot_score, params.low_score)
+    runs = stored(found)  # read again for adjacency, samples and perimeter; a small part of the samples
     return stored(E.drop_singletons(E.find_patches(runs, E.run_adjacency(runs, scans, params.diagonal))))
 
 
@@ -158,27 +181,32 @@ def refilter(patches: DataFrame, params: BlipParams) -> DataFrame:
     return Z.filter_expr(patches, params.expression) if params.expression else patches
 
 
-def detected(pulses: DataFrame, scans: DataFrame, params: Params, zones: DataFrame | None = None, clutter: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def detected(pulses: DataFrame, scans: DataFrame, params: Params, zones: DataFrame | None = None, clutter: DataFrame | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """Patches with is_blip, and their runs. With exclude_blips, statistics leave blips out, which ties each scan to those before it (plans.coupled); the filters are then those of
-    the fold, in both modes the whole chain: ranges, expression, zones, clutter."""
+    the fold, in both modes the whole chain: ranges, expression, zones, clutter. stages: functions by the name of their stage (STAGES); scores and classes can't be changed with feedback, where they live inside the fold."""
+    if wrong := set(stages or {}) - set(STAGES):
+        raise ValueError(f"unknown stages: {sorted(wrong)}")
+    pulses = staged(pulses, stages, "pulses")
     if params.find.exclude_blips:
         from skysweep.plans.coupled import coupled_runs
 
+        if any((stages or {}).get(x) for x in ("scores", "classes")):
+            raise ValueError("scores and classes are not tables with feedback: set exclude_blips to false")
         runs = stored(coupled_runs(pulses, scans, params, zones, clutter))  # read again for samples, adjacency and perimeter
         flags = runs.groupBy(*S.PATCH).agg(F.first("is_blip").alias("is_blip"))
-        return measured(runs, scans, params.blip.area_weighting).join(flags, S.PATCH), runs
-    runs = runs_of(pulses, scans, params.find)
+        return staged(measured(runs, scans, params.blip.area_weighting).join(flags, S.PATCH), stages, "patches"), runs
+    runs = runs_of(pulses, scans, params.find, stages)
     patches = refilter(measured(runs, scans, params.blip.area_weighting), params.blip)
     if zones is not None and params.zones.enabled:
         patches = Z.filter_zones(patches, zones, params.zones.expressions).drop("zone_ord")
     if clutter is not None and params.declutter.enabled:
         patches = Z.filter_clutter(patches, E.patch_samples(runs), scans, clutter, params.declutter.cutoff)
-    return patches, runs
+    return staged(patches, stages, "patches"), runs
 
 
-def detect(pulses: DataFrame, scans: DataFrame, params: Params | None = None, zones: DataFrame | None = None, clutter: DataFrame | None = None) -> DataFrame:
+def detect(pulses: DataFrame, scans: DataFrame, params: Params | None = None, zones: DataFrame | None = None, clutter: DataFrame | None = None, stages: Stages | None = None) -> DataFrame:
     """Patches with is_blip."""
-    return detected(pulses, scans, params or Params(), zones, clutter)[0]
+    return detected(pulses, scans, params or Params(), zones, clutter, stages)[0]
 
 
 def with_antenna(scans: DataFrame, params: AntennaParams) -> DataFrame:
@@ -202,12 +230,12 @@ def track_blips(blips: DataFrame, scans: DataFrame, params: Params) -> DataFrame
     return G.filter_short_tracks(points, track.min_blips)
 
 
-def detect_and_track(pulses: DataFrame, scans: DataFrame, params: Params | None = None, zones: DataFrame | None = None, clutter: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def detect_and_track(pulses: DataFrame, scans: DataFrame, params: Params | None = None, zones: DataFrame | None = None, clutter: DataFrame | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """All sources and runs with one set of parameters: patches with is_blip, and the points of their tracks.
 
     zones: as in operators.filters; clutter: a map by learn_clutter (scans then have angle_class). Sources and runs are worked on side by side."""
     params = params or Params()
     scans = with_antenna(scans, params.antenna)
-    patches, _ = detected(pulses, scans, params, zones, clutter)
+    patches, _ = detected(pulses, scans, params, zones, clutter, stages)
     patches = stored(patches)
     return patches, track_blips(patches.where("is_blip").withColumnRenamed("patch_id", "blip_id"), scans, params)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skysweep.functions import geometry as C
+from skysweep.functions.stored import new_path, stored
 from skysweep.operators import background as B
 from skysweep.operators import filters as Z
 from skysweep.operators import patches as E
 from skysweep.operators import stats as S
+from skysweep.operators.cluttermap import clutter_map, update_clutter
 from skysweep.plans import detect as I
 from skysweep.plans.derived import BLIPS, PARCELS, PULSES, blips, parcels, pulses, scans, with_
 from skysweep.sources.scans import explode_samples
@@ -85,6 +87,16 @@ def clutter_scans(s, d):
     return scans(s, d).withColumn("angle_class", F.expr("cast(bround(tilt) as int)"))
 
 
+def _lasting(s, d):
+    """The clutter map from a folder that three batches of scans were added to, the second one twice."""
+    all_scans, samples_ = clutter_scans(s, d), stored(blip_samples(s, d))
+    n, path = (all_scans.agg(F.max("scan_id")).first()[0] or 0) + 1, new_path(s, "clutter")
+    for batch in (0, 1, 1, 2):
+        cut = f"scan_id >= {batch * n // 3} and scan_id < {(batch + 1) * n // 3}"
+        update_clutter(path, batch, samples_.where(cut), all_scans.where(cut))
+    return clutter_map(s, path)
+
+
 def _shared_numbers(s, d, table):
     """The table for two sources whose scans have the same numbers."""
     rows = table(s, d)
@@ -232,6 +244,7 @@ QUERIES = {
     "f13_zone_of_sample": lambda s, d: Z.zone_of_sample(samples(s, d), Z.compile_zones(zones(s, d), scans(s, d)), scans(s, d), [*SCAN, "pulse", "col"]).groupBy("scan_id", "zone_ord").agg(F.count("*").alias("n")),
     "f14_filter_zones": lambda s, d: Z.filter_zones(patches(s, d), zones(s, d), {2: "max > 0.4"}).select(*S.PATCH, "zone_ord", "is_blip"),
     "f15_learn_clutter": lambda s, d: Z.learn_clutter(blip_samples(s, d), clutter_scans(s, d)),
+    "f15_lasting_clutter_map": _lasting,
     "f16_occupancy": lambda s, d: Z.occupancy(Z.learn_clutter(blip_samples(s, d), clutter_scans(s, d))).select("pulses", "pulse", "col", "rate"),
     "f17_filter_clutter": lambda s, d: Z.filter_clutter(patches(s, d), blip_samples(s, d), clutter_scans(s, d), Z.learn_clutter(blip_samples(s, d), clutter_scans(s, d)), 0.15).select(*S.PATCH, "is_blip"),
     "f18_patch_sample_predicate": lambda s, d: Z.patch_sample_predicate(patches(s, d), patch_values(s, d), lambda rows: len(rows) % 3 == 0).select(*S.PATCH, "is_blip"),
@@ -292,6 +305,7 @@ ORACLES = {
     "f13_zone_of_sample": with_(PULSES, ZONES + _COMPILED) + f"select scan_id, zone_ord, count(*) n from (select scan_id, {_ZS()} zone_ord from samp join scan using ({META})) group by all",
     "f14_filter_zones": with_(_ZONE_XY) + f"select {_P}, zone_ord, (case when zone_ord is null then is_blip when zone_ord = 0 then false else ns >= 2 and area between 20 and 9000 and rspan between 0 and 12 end) and (coalesce(zone_ord, -1) <> 2 or max > 0.4::double) is_blip from zx",
     "f15_learn_clutter": with_(BLIPSAMP + _CL) + "select source_id, 5 angle_class, pulses, 64 samples_per_pulse, pulse, col, hits, n_scans from cl join nc using (source_id, pulses)",
+    "f15_lasting_clutter_map": with_(BLIPSAMP, "ch as (select *, coalesce((pulses <> lag(pulses) over w)::int, 0) c from scan window w as (partition by source_id order by ts, run_id, scan_id)), nn as (select *, sum(c) over (partition by source_id order by ts, run_id, scan_id) k from ch), lst as (select * from nn qualify k = max(k) over (partition by source_id)), hh as (select source_id, pulses, pulse, col, count(*) hits from bs join lst using (source_id, run_id, scan_id) group by all), ns as (select source_id, pulses, count(*) n_scans from lst group by all)") + "select source_id, 5 angle_class, pulses, 64 samples_per_pulse, pulse, col, hits, n_scans from hh join ns using (source_id, pulses)",
     "f16_occupancy": with_(BLIPSAMP + _CL) + "select pulses, pulse, col, hits / n_scans rate from cl join nc using (source_id, pulses)",
     "f17_filter_clutter": with_(BLIPSAMP + _CL, f"h as (select bs.source_id, bs.run_id, bs.scan_id, bs.patch_id, avg(hits) h, max(n_scans) n from bs join scan using ({META}) join cl on cl.source_id = bs.source_id and cl.pulses = scan.pulses and cl.pulse = bs.pulse and cl.col = bs.col join nc on nc.source_id = bs.source_id and nc.pulses = scan.pulses group by all)") + f"select {_P}, is_blip and not coalesce(h >= 0.15::double * n, false) is_blip from pf left join h using ({_P})",
     "f18_patch_sample_predicate": with_(STATS) + f"select {_P}, is_blip and ns % 3 = 0 is_blip from pf",

@@ -9,7 +9,7 @@ from skysweep.operators.background import cell_row_stats, cells_of, ewma_cell_st
 from skysweep.operators.onescan import Filters
 from skysweep.operators.patches import hot_runs, scored_runs
 from skysweep.plans.coupled import Detector
-from skysweep.plans.detect import Params, detect
+from skysweep.plans.detect import Params, detect, detected
 
 SHAPE, SCANS, SIZE, LEARN = (24, 20), 9, 4, 3
 
@@ -202,3 +202,27 @@ def test_only_hot_runs_become_rows(spark):
     assert "Generate" not in plan
     one = B.classify_samples(B.explode_scored(B.score_samples(pulses, stats)))
     assert {tuple(r) for r in runs.drop("values").collect()} == {tuple(r) for r in hot_runs(one, scans).select(*runs.drop("values").columns).collect()}
+
+
+def test_functions_between_the_stages(spark):
+    """Scores and classes changed by functions of the user; columns must stay; with feedback pulses and patches can be changed."""
+    pulses, scans = tables(spark, made())
+    params = Params.of({"find": {"learn_scans": LEARN, "exclude_blips": False}, "blip": {"samples": (3, -1), "area": (0.0, -1.0), "angular": (0, -1), "radial": (0, -1)}})
+    plain = {(r.scan_id, r.patch_id): r.ns for r in detect(pulses, scans, params).collect()}
+    same = {"scores": [lambda p: p], "classes": [lambda p: p]}
+    assert {(r.scan_id, r.patch_id): r.ns for r in detect(pulses, scans, params, stages=same).collect()} == plain
+    quiet = {"scores": [lambda p: p.withColumn("scores", F.expr("transform(scores, (x, i) -> if(i < 10, 0, x))"))], "classes": [lambda p: p.withColumn("classes", F.expr("transform(classes, x -> if(scan_id = 5, 0, x))"))]}
+    runs = detected(pulses, scans, params, stages=quiet)[1].collect()
+    assert runs and all(r.col >= 10 and r.scan_id != 5 for r in runs)
+    big = {"patches": [lambda p: p.withColumn("is_blip", F.expr("is_blip and ns > 5")), lambda p: p.where("scan_id > 4")]}
+    for exclude in (False, True):
+        both = Params.of({"find": {"learn_scans": LEARN, "exclude_blips": exclude}})
+        assert all(r.scan_id > 4 and (r.ns > 5 or not r.is_blip) for r in detect(pulses, scans, both, stages=big).collect())
+    halved = {"pulses": [lambda p: p.withColumn("samples", F.transform("samples", lambda x: (x / 2).cast("int")))]}
+    most = [max(r.max for r in detect(pulses, scans, both, stages=x).collect()) for x in (None, halved)]
+    assert most[1] == pytest.approx(most[0] / 2, abs=1e-3)
+    for wrong, text in (({"scores": [lambda p: p.drop("pulse")]}, "pulse"), ({"score": []}, "unknown")):
+        with pytest.raises(ValueError, match=text):
+            detect(pulses, scans, params, stages=wrong)
+    with pytest.raises(ValueError, match="feedback"):
+        detect(pulses, scans, both, stages=same)
