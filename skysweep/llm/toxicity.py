@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton on folded text.
 
 Folding: lower case; accented, full-width and look-alike letters become plain Latin ones; l becomes i (so that 1 and ! can stand
-for either); digits and signs directly before a letter become the letter they stand for; all else becomes a blank. Terms
+for either); digits and signs directly before a letter become the letter they stand for; all else becomes a blank. Words with digits or signs (BEHIND) directly after a letter are folded in a second way
+too, with these as letters, so that either reading can hold a term. Runs of substitutions may have any length. Terms
 are whole words and word beginnings; of several that begin at one place the heaviest counts. A hit inside an exception
 phrase doesn't count. The hits' weights are summed, and normalised by the text's words; two features, the sum and the density,
 go through a logistic curve.
@@ -33,6 +34,8 @@ from skysweep.llm.language import _groups
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for.
 LOOKALIKES = {"а": "a", "в": "b", "е": "e", "ё": "e", "з": "e", "и": "n", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ї": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ł": "i", "ø": "o", "đ": "d"}
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
+#: What may stand for a letter at a word's end as well: not the signs that end sentences.
+BEHIND = "013457 8@$€".replace(" ", "")
 #: Harmless phrases that hold a word of the lexicon in everyday English.
 EXCEPTIONS = ("clown fish", "trash can", "trash bag", "trash bin", "white trash can", "not stupid", "class clown act")
 #: Chance under which a phrase's being clean is no chance.
@@ -63,23 +66,54 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0]
 
 
-def folded(texts: list[str | None]) -> str:
-    """The folded texts, each between blanks, one a line."""
+def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring places as runs: for each place its run, and each run's first and last place."""
+    first = np.concatenate(([True], np.diff(marks) > 1))
+    run = np.cumsum(first) - 1
+    return run, marks[first], marks[np.append(np.flatnonzero(first)[1:] - 1, len(marks) - 1)]
+
+
+def _text(signs: np.ndarray) -> str:
+    return signs.astype(np.uint8).tobytes().decode("latin-1") if signs.max(initial=0) < 256 else signs.tobytes().decode("utf-32-le", "replace")
+
+
+def _both_folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Code points of the folded texts, each between blanks, one a line; and of their second folding, if it differs."""
     joined = "\n".join(f" {x} ".replace("\n", " ") if x else "  " for x in texts)
     fold, stands = _tables()
     signs = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     out = fold[signs]
     marks = np.flatnonzero((stands[signs] > 0) & (out == 32))
     if len(marks):
-        letter = np.append(out > 32, False)
-        for _ in range(4):  # a run of signs before a letter, from its end
-            good = marks[letter[marks + 1] & ~letter[marks]]
-            if not len(good):
-                break
-            out[good] = stands[signs[good]]
-            letter[good] = True
-    top = out.max(initial=0)
-    return out.astype(np.uint8).tobytes().decode("latin-1") if top < 256 else out.tobytes().decode("utf-32-le", "replace")
+        run, _, last = _runs(marks)
+        good = marks[(np.append(out, 32)[last + 1] > 32)[run]]
+        out[good] = stands[signs[good]]
+    marks = np.flatnonzero(_behind()[signs] & (out == 32))
+    if not len(marks):
+        return out, None
+    run, first, _ = _runs(marks)
+    good = marks[(out[first - 1] > 32)[run]]  # every text begins with a blank
+    if not len(good):
+        return out, None
+    other = out.copy()
+    other[good] = stands[signs[good]]
+    return out, other
+
+
+def _behind() -> np.ndarray:
+    """Whether each code point may stand for a letter behind one."""
+    if len(_TABLES) < 2:
+        _tables()
+        own = np.zeros(0x110000, bool)
+        for c in BEHIND:
+            own[[ord(c), ord(c) + 0xFEE0] if ord(c) < 127 else [ord(c)]] = True
+        _TABLES.append((own, own))
+    return _TABLES[1][0]
+
+
+def folded(texts: list[str | None]) -> str:
+    """The folded texts, each between blanks, one a line."""
+    return _text(_both_folded(texts)[0])
 
 
 def folded_phrase(phrase: str) -> str:
@@ -109,8 +143,8 @@ class Lexicon:
 
 def features(automaton, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """For each text: the sum of its hits' weights, and its number of words."""
-    joined = folded(texts)
-    signs = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    signs, other = _both_folded(texts)
+    joined = _text(signs)
     ends = np.append(np.flatnonzero(signs == 10), len(signs))
     blank = signs <= 32
     words = np.flatnonzero(blank[:-1] & ~blank[1:])
@@ -124,6 +158,14 @@ def features(automaton, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
                 spared.append((start, start + length))
             elif best.get(start, (0.0, 0))[0] < weight:
                 best[start] = (weight, start + length)
+        if other is not None:  # words that the second folding changes are looked up on their own
+            gap = np.flatnonzero(other <= 32)
+            nth = np.unique(np.searchsorted(gap, np.flatnonzero(other != signs)))
+            for a, b in zip(gap[nth - 1].tolist(), np.append(gap, len(other))[nth].tolist(), strict=True):
+                for end, (length, weight, whole) in automaton.iter(f" {_text(other[a + 1 : b])} "):
+                    start = a + end - whole + 1
+                    if weight is not None and best.get(start, (0.0, 0))[0] < weight:
+                        best[start] = (weight, start + length)
     for a, b in spared:
         for start in [x for x in range(a, b) if x in best and best[x][1] <= b]:
             del best[start]

@@ -200,6 +200,13 @@ def test_one_person_has_one_name(spark):
     assert "hunter" not in got[5] and "bbb" not in got[6] + got[7] and not got[7].endswith("Zed")
 
 
+def test_substitutions_at_the_end_of_a_word():
+    """Digits and signs stand for letters before and behind letters, in runs of any length; a word's plain reading counts as well."""
+    found = toxicity.Lexicon({" hate ": 2.0, " ass ": 3.0, " dog ": 1.0, " fooi ": 5.0, " sss": 4.0}).automaton()
+    texts = ["h4t3 a$$, dog5", "hate", "a dog! fool5 fool!", "$" * 9000 + "x", None, "d0g", "5 5 $ 7", "ＡＳ＄", "x" + "0" * 9000]
+    assert toxicity.features(found, texts)[0].tolist() == [6.0, 2.0, 11.0, 4.0, 0.0, 1.0, 0.0, 3.0, 0.0]
+
+
 # --- packing ---
 
 
