@@ -12,7 +12,7 @@ buckets of a sketch keeps its smallest hash as a leading-zero count and MANTISSA
    all members of other components that share a group with them: by estimate, then on full sets. Members are dealt to blocks of about
    BLOCK_BYTES, and a task compares one pair of blocks and puts out only the links that connect something, never the pairs.
 
-Null texts and texts without words have an empty set and no link. Rows with one id share one entry: the first text in order counts. Null ids are kept, without a component. Other columns are not looked at.
+Null texts and texts without words have an empty set and no link. Rows with one id share one entry, with the links of all their texts. Null ids are kept, without a component. Other columns are not looked at.
 """
 
 from __future__ import annotations
