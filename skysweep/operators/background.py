@@ -115,10 +115,10 @@ class Learner:
         return *before, valid
 
 
-def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list[str] | None = None) -> DataFrame:
+def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list[str] | None = None, absent: bool = False) -> DataFrame:
     """Statistics valid before each scan, from cell_row_stats: those of the first `learn` scans, then fixed-point exponentially weighted. Rows: keys, cell_row, scan_id, and mean and dev
     as arrays by cell_col, null for cells that have none yet. A row of cells is read scan by scan, its cells together; cells without samples in a scan keep
-    their statistics."""
+    their statistics, which that scan shows only with absent."""
     by, k1 = [*(keys or RUN), "cell_row"], int(decay * 4096)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,9 @@ def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list
             for key, a, b in zip(own, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if key != now:
                     now, learner = key, Learner(learn, k1)
-                means[a:b], devs[a:b], valid[a:b] = (x[0] for x in learner.step(*(x[None, a:b] for x in flat)))
+                known = learner.before(1, b - a)[2][0]
+                means[a:b], devs[a:b], there = (x[0] for x in learner.step(*(x[None, a:b] for x in flat)))
+                valid[a:b] = known if absent else there
             lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int64(), mask=~valid)) for x in (means, devs)]
             some = np.logical_or.reduceat(valid, cuts[:-1]) if len(sizes) else np.zeros(0, bool)
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "scan_id")), *lists], names=[*by, "scan_id", "mean", "dev"])

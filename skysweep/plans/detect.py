@@ -19,7 +19,7 @@ from skysweep.operators import tracking as G
 
 @dataclass(frozen=True)
 class FindParams:
-    """Learning and scoring."""
+    """Learning and scoring. exclude_blips: feedback, statistics leave blips out; in_rounds: by rounds over whole tables (plans.rounds), for few long runs, instead of a fold for each run."""
 
     cell_size: int = 4
     learn_scans: int = 15
@@ -28,6 +28,7 @@ class FindParams:
     hot_score: float = 2.5
     low_score: float = -128.0
     exclude_blips: bool = True
+    in_rounds: bool = False
     diagonal: bool = False
 
 
@@ -152,9 +153,9 @@ def cell_stats(pulses: DataFrame, params: FindParams, scans: DataFrame | None =
     return stored(stats.select(*E.SCAN, "cell_row", "mean", "dev"))  # the only ordered step: one row per row of cells and scan
 
 
-def runs_of(pulses: DataFrame, scans: DataFrame, params: FindParams, stages: Stages | None = None) -> DataFrame:
-    """Runs with patch_id and values, of patches of more than one sample. Samples stay in arrays: only hot runs become rows."""
-    stats = cell_stats(pulses, params, scans)
+def runs_of(pulses: DataFrame, scans: DataFrame, params: FindParams, stages: Stages | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Runs with patch_id and values, of patches of more than one sample. Samples stay in arrays: only hot runs become rows. stats: those of cell_stats, unless others are given."""
+    stats = cell_stats(pulses, params, scans) if stats is None else stats
     if any((stages or {}).get(x) for x in ("scores", "classes")):
         scored = staged(B.score_samples(_denoised(pulses, params), stats, params.cell_size), stages, "scores")
         found = E.classified_runs(staged(B.classify_pulses(scored, params.hot_score, params.low_score), stages, "classes"), scans)
@@ -183,25 +184,35 @@ def refilter(patches: DataFrame, params: BlipParams) -> DataFrame:
 
 def detected(pulses: DataFrame, scans: DataFrame, params: Params, zones: DataFrame | None = None, clutter: DataFrame | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
     """Patches with is_blip, and their runs. With exclude_blips, statistics leave blips out, which ties each scan to those before it (plans.coupled); the filters are then those of
-    the fold, in both modes the whole chain: ranges, expression, zones, clutter. stages: functions by the name of their stage (STAGES); scores and classes can't be changed with feedback, where they live inside the fold."""
+    the fold, in both modes the whole chain: ranges, expression, zones, clutter. stages: functions by the name of their stage (STAGES); scores and classes can't be changed with feedback by folds, where they live inside the fold."""
     if wrong := set(stages or {}) - set(STAGES):
         raise ValueError(f"unknown stages: {sorted(wrong)}")
     pulses = staged(pulses, stages, "pulses")
+    if params.find.exclude_blips and params.find.in_rounds:
+        from skysweep.plans.rounds import detected_in_rounds
+
+        patches, runs, _ = detected_in_rounds(pulses, scans, params, zones, clutter, stages)
+        return staged(patches, stages, "patches"), runs
     if params.find.exclude_blips:
         from skysweep.plans.coupled import coupled_runs
 
         if any((stages or {}).get(x) for x in ("scores", "classes")):
-            raise ValueError("scores and classes are not tables with feedback: set exclude_blips to false")
+            raise ValueError("scores and classes are not tables with feedback by folds: set in_rounds, or exclude_blips to false")
         runs = stored(coupled_runs(pulses, scans, params, zones, clutter))  # read again for samples, adjacency and perimeter
         flags = runs.groupBy(*S.PATCH).agg(F.first("is_blip").alias("is_blip"))
         return staged(measured(runs, scans, params.blip.area_weighting).join(flags, S.PATCH), stages, "patches"), runs
     runs = runs_of(pulses, scans, params.find, stages)
+    return staged(filtered(runs, scans, params, zones, clutter), stages, "patches"), runs
+
+
+def filtered(runs: DataFrame, scans: DataFrame, params: Params, zones: DataFrame | None = None, clutter: DataFrame | None = None) -> DataFrame:
+    """The patches of runs with is_blip by the whole chain of filters."""
     patches = refilter(measured(runs, scans, params.blip.area_weighting), params.blip)
     if zones is not None and params.zones.enabled:
         patches = Z.filter_zones(patches, zones, params.zones.expressions).drop("zone_ord")
     if clutter is not None and params.declutter.enabled:
         patches = Z.filter_clutter(patches, E.patch_samples(runs), scans, clutter, params.declutter.cutoff)
-    return staged(patches, stages, "patches"), runs
+    return patches
 
 
 def detect(pulses: DataFrame, scans: DataFrame, params: Params | None = None, zones: DataFrame | None = None, clutter: DataFrame | None = None, stages: Stages | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from skysweep.operators import tracking as G
@@ -16,6 +18,8 @@ from skysweep.sources import sinks as K
 SPEED = 3000.0
 COUPLED = detect.Params.of({"find": {"learn_scans": 3}, "blip": {"samples": (10, 5000), "area": (10.0, 100000.0)}, "track": {"min_blips": 2, "max_speed_kmh": 400.0}, "mfc": {"min_gain": 0.3}, "zones": {"expressions": {2: "max > 0.4"}}})
 
+IN_ROUNDS = replace(COUPLED, find=replace(COUPLED.find, in_rounds=True))
+
 
 def events(s, d):
     return blips(s, d).withColumnRenamed("blip_no", "blip_id").withColumn("max_dist", F.lit(8000.0))
@@ -93,6 +97,7 @@ QUERIES = {
     "h04_blips_in_time": lambda s, d: H.blips_in_time(events(s, d), 100.0, 200.0).select("scan_id", "blip_id", "t"),
     "h05_blip_file_summary": lambda s, d: H.blip_file_summary(events(s, d)),
     "d06_detect_coupled": lambda s, d: detect.detect(pulses(s, d), scans(s, d), COUPLED),
+    "d06_detect_in_rounds": lambda s, d: detect.detect(pulses(s, d), scans(s, d), IN_ROUNDS),
     "i02_detect_and_track": lambda s, d: detect.detect_and_track(pulses(s, d), scans(s, d), COUPLED, Q.zones(s, d).where("zone_id <> 'exclusion'"))[1],
     "i03_retrack": lambda s, d: G.track_nn(events(s, d), sweeps(s, d), max_speed_kmh=900.0, max_change_percent=900.0),
 }

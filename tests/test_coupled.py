@@ -90,6 +90,12 @@ def test_feedback_against_a_plain_loop(spark, least):
     assert found(spark, data, True, least)[0] == by_hand(data, lambda patch, scan: len(patch) >= least)
 
 
+@pytest.mark.parametrize("least", [2, 6])
+def test_feedback_by_rounds_against_a_plain_loop(spark, least):
+    data = made()
+    assert found(spark, data, True, least, groups={"find": {"learn_scans": LEARN, "in_rounds": True}})[0] == by_hand(data, lambda patch, scan: len(patch) >= least)
+
+
 def test_without_blips_the_fold_is_the_plan(spark):
     """If no patch is a blip, nothing is left out, and both modes give the same patches."""
     data = made(7)
