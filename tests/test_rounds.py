@@ -10,14 +10,13 @@ from skysweep.plans.rounds import detected_in_rounds
 
 
 def both(spark, pulses, scans, groups, **more):
-    """The same patches by the fold and by rounds; the rounds, and the blips."""
+    """The same patches by the fold and by rounds; the rounds, and the scans with blips."""
+    patches, _, rounds = detected_in_rounds(pulses, scans, Params.of(groups), **more)
     out = []
-    for in_rounds in (False, True):
-        params = Params.of(groups | {"find": groups["find"] | {"in_rounds": in_rounds}})
-        rows = detect(pulses, scans, params, **more).collect()
-        out.append(sorted((r.source_id, r.run_id, r.scan_id, r.patch_id, r.ns, round(r.x, 6), round(r.area, 6), round(r.perim, 6), r.is_blip) for r in rows))
+    for rows in (detect(pulses, scans, Params.of(groups), **more), patches):
+        out.append(sorted((r.source_id, r.run_id, r.scan_id, r.patch_id, r.ns, round(r.x, 6), round(r.area, 6), round(r.perim, 6), r.is_blip) for r in rows.collect()))
     assert out[0] == out[1] and out[0]
-    return detected_in_rounds(pulses, scans, params, **more)[2], {r[2] for r in out[0] if r[-1]}
+    return rounds, {r[2] for r in out[0] if r[-1]}
 
 
 WIDE = {"samples": (3, -1), "area": (0.0, -1.0), "angular": (0, -1), "radial": (0, -1)}
