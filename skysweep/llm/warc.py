@@ -76,7 +76,8 @@ def write_archive(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataFr
     """Writes pages (page_id, url, html) to archives in folder; a table (path, records) of the files that count."""
     records = planned(pages, min_revisit)
     share = min(1.0, 2 * SAMPLE_RECORDS / max(1, pages.count()))
-    picked = pages.where(f"octet_length(html) <= {SAMPLE_BYTES} and pmod(xxhash64(html, url), 1048576) < {int(share * 1048576) + 1}").limit(SAMPLE_RECORDS)
+    picked = pages.where(f"octet_length(html) <= {SAMPLE_BYTES} and pmod(xxhash64(html, url), 1048576) < {int(share * 1048576) + 1}")
+    picked = picked.orderBy(F.xxhash64("html", "url"), "html", "url").limit(SAMPLE_RECORDS)  # the same ones in every run
     samples = [record(0, r.url, r.html.encode(), "A" * 32, None) for r in picked.select("url", "html").collect()]
     trained = dictionary(samples)
 
