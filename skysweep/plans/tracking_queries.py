@@ -127,7 +127,7 @@ ORACLES = {
     "g12_track_summary": with_(_STEP, _SUM) + "select source_id, run_id, track_id, n_points, t_start, t_end, round(length_m, 6) + 0 length_m, round(case when t_end > t_start then length_m / (t_end - t_start) * 3.6::double end, 6) + 0 mean_speed_kmh from ts_",
     "g13_tracks_in_interval": with_(_STEP, _SUM) + "select run_id, track_id, t_start, t_end from ts_ where t_start <= 200 and t_end >= 100",
     "g14_scan_track_index": with_(_CHAIN, "c as (select source_id, run_id, scan_id, count(*) n_blips from blips group by all), a as (select source_id, run_id, scan_id, array_to_string(list_sort(list(distinct track_id)), ',') track_ids from ch group by all)") + "select c.*, (coalesce(sum(n_blips) over (partition by source_id, run_id order by scan_id rows between unbounded preceding and 1 preceding), 0) + 1)::bigint first_blip, track_ids from c left join a using (source_id, run_id, scan_id)",
-    "g15_gain_log_units": with_(BLIPS, "u as (select scan_id, blip_no, case when int < 1 then 10 * log10(int / (1 - int)) else 'Infinity'::double end u from blips)") + "select scan_id, blip_no, round(u, 6) + 0 units, round(case when isinf(u) then 1 else pow(10::double, u / 10) / (1 + pow(10::double, u / 10)) end, 6) + 0 gain from u",
+    "g15_gain_log_units": with_(BLIPS, "u as (select scan_id, blip_no, case when int = 1 then 'Infinity'::double when int = 0 then '-Infinity'::double when int > 0 and int < 1 then 10 * log10(int / (1 - int)) end u from blips)") + "select scan_id, blip_no, round(u, 6) + 0 units, round(1 / (1 + pow(10::double, -u / 10)), 6) + 0 gain from u",
     "g17_truncate_track": with_(_CHAIN, "k as (select source_id, run_id, track_id, min(seq) k from ch where scan_id % 7 = 4 and blip_no % 3 = 0 group by all)") + "select run_id, track_id, seq, blip_no blip_id from ch left join k using (source_id, run_id, track_id) where k is null or seq < k",
     "h01_trails_last_n": with_(_GOOD, 'h as (select scan.source_id, scan.run_id, scan.scan_id, gs.pulse, gs.col, arg_max(gs."value", gs.scan_id) v, (scan.scan_id - max(gs.scan_id) + 1)::int age from scan join gs on gs.source_id = scan.source_id and gs.run_id = scan.run_id and gs.scan_id between scan.scan_id - 3 and scan.scan_id group by scan.source_id, scan.run_id, scan.scan_id, gs.pulse, gs.col)') + 'select source_id, run_id, scan_id, pulse, col, v "value", age, round(v * pow(0.85::double, age), 6) + 0 faded from h',
     "h02_trails_storage": with_(_GOOD) + 'select source_id, run_id, pulse, col, arg_max("value", scan_id) "value", arg_max(score, scan_id) score from gs group by all',
