@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysweep.functions.stored import dropped, stored
-from skysweep.operators.tracking import RUN
+from skysweep.operators.tracking import RUN, spread
 
 _COORDINATES = ("t", "x", "y", "z", "area", "int")
 _OUT = "source_id string, run_id long, slice long, kind string, label_scan long, label_blip long, scan_id long, blip_id long, gain double, vx double, vy double, vz double, before string, after string"
@@ -55,7 +55,8 @@ def _name(p: dict) -> tuple[int, int]:
 
 def _folded(rows: DataFrame, make: Callable[[], Any]) -> DataFrame:
     """Each slice's points that no later scan can change (point), those that would be left if the run ended with it (rest), the names of its open tracks with the oldest point
-    that the next slice knows of each (link), and the states before and after it (state). rows: those of the slice (own) and of the warm-up before it, or the state given."""
+    that the next slice knows of each (link), and the states before and after it (state). rows: those of the slice (own) and of the warm-up before it, or a first row with the state given and
+    nothing else: states are long texts, so they must not stand in every row."""
     names = [x.split()[0] for x in _OUT.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
     types = [kinds[x.split()[1]] for x in _OUT.split(", ")]
@@ -98,20 +99,20 @@ def _folded(rows: DataFrame, make: Callable[[], Any]) -> DataFrame:
             return self.out
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = scan = own = None
+        now = scan = own = begun = None
         points: list[dict] = []
         for batch in batches:
             done: list[tuple] = []
             for r in batch.select(columns).to_pylist():
                 key = (r["source_id"], r["run_id"], r["slice"])
                 if now is None or key != now.key or r["scan_id"] != scan:
-                    if now is not None:
+                    if now is not None and begun:
                         now.step(own, points)
                     points = []
                 if now is None or key != now.key:
                     done += now.end() if now is not None else []
                     now = Slice(key, r["given"])
-                scan, own = r["scan_id"], r["own"]
+                scan, own, begun = r["scan_id"], r["own"], r["given"] is None
                 if r["blip_id"] is not None:
                     points.append({c: r[c] for c in ("scan_id", "blip_id", *_COORDINATES)})
             yield _batch(done)
@@ -122,7 +123,7 @@ def _folded(rows: DataFrame, make: Callable[[], Any]) -> DataFrame:
     def _batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(types)], names=names)
 
-    return rows.select(*columns).repartition(*_SLICE).sortWithinPartitions(*_SLICE, "scan_id", "blip_id").mapInArrow(fold, _OUT)
+    return spread(rows.select(*columns), *_SLICE).sortWithinPartitions(*_SLICE, "scan_id", "blip_id").mapInArrow(fold, _OUT)
 
 
 def track_in_slices(blips: DataFrame, scans: DataFrame | None, make: Callable[[], Any], scans_a_slice: int, warm_up: int) -> tuple[DataFrame, list[int]]:
@@ -147,8 +148,9 @@ def track_in_slices(blips: DataFrame, scans: DataFrame | None, make: Callable[[]
         n = wrong.count()
         if not n:
             break
-        again = _folded(rows.join(wrong, _SLICE).withColumn("own", F.lit(True)), make)
-        old, found = found, stored(found.join(wrong, _SLICE, "left_anti").unionByName(again))
+        own = rows.join(wrong.select(*_SLICE), _SLICE, "left_semi").withColumn("given", none).unionByName(wrong, allowMissingColumns=True)
+        again = _folded(own.withColumn("own", F.lit(True)), make)
+        old, found = found, stored(found.join(wrong.select(*_SLICE), _SLICE, "left_anti").unionByName(again))
         dropped(old, wrong)
         rounds.append(n)
     # the names of one track are tied from slice to slice: every name learns of its first one by doubling steps

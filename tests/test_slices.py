@@ -66,3 +66,21 @@ def test_a_state_comes_back_whole(model):
         other = MODELS[model]()
         unpacked(other, packed(one))
         assert packed(other) == packed(one)
+
+
+def test_a_state_goes_to_its_slice_once(spark, monkeypatch):
+    """Rows that are folded again don't carry the text of the state that they begin with."""
+    from skysweep.operators import slices
+
+    given, folded = [], slices._folded
+
+    def seen(rows, make):
+        given.append(rows.where("given is not null").groupBy("run_id", "slice").count().collect())
+        return folded(rows, make)
+
+    monkeypatch.setattr(slices, "_folded", seen)
+    blips = spark.createDataFrame(made(), SCHEMA)
+    points, rounds = track_in_slices(blips, None, MODELS["nn"], 16, 1)
+    assert [len(rows) for rows in given] == [0, *rounds[1:]] and len(rounds) > 1
+    assert all(r["count"] == 1 for rows in given for r in rows)
+    assert tracks_of(points.collect()) == tracks_of(_track(blips, None, MODELS["nn"]).collect())
