@@ -36,8 +36,8 @@ def cut_at(s, d):
 
 def moving(s, d):
     """Candidate pairs over up to two scans, whose first blip has a velocity."""
-    v = G.new_state(chains(s, d)).where("vx is not null").select("source_id", "run_id", F.col("scan_id").alias("u_scan"), F.col("blip_id").alias("u_blip_id"), "vx", "vy", "vz")
-    return G.candidate_pairs(events(s, d), 3, SPEED).join(v, ["source_id", "run_id", "u_scan", "u_blip_id"]).withColumn("max_dist", F.lit(8000.0))
+    first = G.new_state(chains(s, d)).where("vx is not null")
+    return G.candidate_pairs(events(s, d), 3, SPEED, first=first, own=["vx", "vy", "vz"]).withColumn("max_dist", F.lit(8000.0))
 
 
 def good(s, d):
