@@ -62,7 +62,11 @@ def patches(s, d):
 
 
 def blip_samples(s, d):
-    return E.patch_samples(patched(s, d)).join(patches(s, d).where("is_blip").select(*E.SCAN, "patch_id"), S.PATCH, "left_semi")
+    return samples_of_blips(*I.detected(pulses(s, d), scans(s, d), PARAMS))
+
+
+def samples_of_blips(found, runs):
+    return E.patch_samples(runs).join(found.where("is_blip").select(*E.SCAN, "patch_id"), S.PATCH, "left_semi")
 
 
 def zones(s, d):
@@ -87,6 +91,14 @@ def clutter_scans(s, d):
     return scans(s, d).withColumn("angle_class", F.expr("cast(bround(tilt) as int)"))
 
 
+def _without_clutter(s, d):
+    """One detection gives the patches, the map that is learned from their blips, and the samples that meet it."""
+    found, runs = I.detected(pulses(s, d), scans(s, d), PARAMS)
+    found = stored(found)
+    samples_, all_scans = stored(samples_of_blips(found, runs)), stored(clutter_scans(s, d))
+    return Z.filter_clutter(found, samples_, all_scans, Z.learn_clutter(samples_, all_scans), 0.15).select(*S.PATCH, "is_blip")
+
+
 def _lasting(s, d):
     """The clutter map from a folder that three batches of scans were added to, the second one twice."""
     all_scans, samples_ = clutter_scans(s, d), stored(blip_samples(s, d))
@@ -246,7 +258,7 @@ QUERIES = {
     "f15_learn_clutter": lambda s, d: Z.learn_clutter(blip_samples(s, d), clutter_scans(s, d)),
     "f15_lasting_clutter_map": _lasting,
     "f16_occupancy": lambda s, d: Z.occupancy(Z.learn_clutter(blip_samples(s, d), clutter_scans(s, d))).select("pulses", "pulse", "col", "rate"),
-    "f17_filter_clutter": lambda s, d: Z.filter_clutter(patches(s, d), blip_samples(s, d), clutter_scans(s, d), Z.learn_clutter(blip_samples(s, d), clutter_scans(s, d)), 0.15).select(*S.PATCH, "is_blip"),
+    "f17_filter_clutter": _without_clutter,
     "f18_patch_sample_predicate": lambda s, d: Z.patch_sample_predicate(patches(s, d), patch_values(s, d), lambda rows: len(rows) % 3 == 0).select(*S.PATCH, "is_blip"),
     "i01_detect": lambda s, d: rounded(patches(s, d), *_STAT_COLUMNS).where("is_blip").drop("is_blip"),
     "i03_refilter": lambda s, d: I.refilter(patches(s, d), I.BlipParams(samples=(2, 12), area=(0.0, -1.0))).select(*S.PATCH, "is_blip"),
