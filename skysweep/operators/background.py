@@ -141,7 +141,8 @@ def ewma_cell_stats(rows: DataFrame, learn: int, decay: float = 0.95, keys: list
             yield out.filter(pa.array(some))
 
     schema = T.StructType([*rows.select(*by, "scan_id").schema, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("mean", "dev"))])
-    return rows.select(*by, "scan_id", "n", "sum", "mean", "dev_sum").repartition(*by).sortWithinPartitions(*by, "scan_id").mapInArrow(fold, schema)
+    # by a hash of the keys: after a join on the keys themselves Spark leaves a repartition by them out, and AQE may then read the join's shuffle by its map tasks, which cuts the folds
+    return rows.select(*by, "scan_id", "n", "sum", "mean", "dev_sum").repartition(F.xxhash64(*by)).sortWithinPartitions(*by, "scan_id").mapInArrow(fold, schema)
 
 
 def sequences(scans: DataFrame) -> tuple[DataFrame, list[str]]:

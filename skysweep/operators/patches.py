@@ -27,21 +27,27 @@ def hot_runs(classified: DataFrame, scans: DataFrame | None = None) -> DataFrame
         hot = hot.join(lead, SCAN).where("col >= _skip").drop("_skip")
     island = F.col("col") - F.row_number().over(Window.partitionBy(*SCAN, "pulse").orderBy("col"))
     runs = hot.withColumn("_i", island).groupBy(*SCAN, "pulse", "_i").agg(F.min("col").alias("col"), F.count("*").cast("int").alias("length")).drop("_i")
+    return numbered(runs)
+
+
+def numbered(runs: DataFrame) -> DataFrame:
+    """runs with run_no."""
     return runs.withColumn("run_no", F.row_number().over(Window.partitionBy(*SCAN).orderBy("pulse", "col")) - 1)
 
 
-def scored_runs(pulses: DataFrame, scans: DataFrame, size: int, hot: float, low: float) -> DataFrame:
+def scored_runs(pulses: DataFrame, scans: DataFrame, size: int, hot: float, low: float, number: bool = True) -> DataFrame:
     """The same from pulses that have the statistics of their cells (background.with_cell_stats), with values, the samples of each run: scores and classes stay in
-    arrays, and only hot runs become rows."""
+    arrays, and only hot runs become rows. number: with run_no, for which all pulses of a scan must be there."""
 
     def is_hot(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         values, scores, valid, cuts = flat_scores(batch, size)
         return values, valid & ((scores >= int(hot * UNIT)) | (scores <= int(low * UNIT))), cuts
 
-    return _runs_by(pulses, scans, ["samples", "_mean", "_dev"], is_hot)
+    runs = _runs_by(pulses, scans, ["samples", "_mean", "_dev"], is_hot)
+    return numbered(runs) if number else runs
 
 
-def classified_runs(pulses: DataFrame, scans: DataFrame) -> DataFrame:
+def classified_runs(pulses: DataFrame, scans: DataFrame, number: bool = True) -> DataFrame:
     """The same from pulses with classes, an array beside samples."""
 
     def is_hot(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,11 +58,12 @@ def classified_runs(pulses: DataFrame, scans: DataFrame) -> DataFrame:
         values, marks = (x.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, classes))
         return values, marks == HOT, cuts
 
-    return _runs_by(pulses, scans, ["samples", "classes"], is_hot)
+    runs = _runs_by(pulses, scans, ["samples", "classes"], is_hot)
+    return numbered(runs) if number else runs
 
 
 def _runs_by(pulses: DataFrame, scans: DataFrame, columns: list[str], hot_samples: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """Runs with their values from pulses; hot_samples gives a batch's samples one after another, which are hot, and where each pulse begins and ends."""
+    """Runs with their values, not numbered, from pulses; hot_samples gives a batch's samples one after another, which are hot, and where each pulse begins and ends."""
     lead = scans.select(*SCAN, F.expr("cast(greatest(0, floor(-first_sample_dist / sample_dist)) as int)").alias("_skip"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +80,7 @@ def _runs_by(pulses: DataFrame, scans: DataFrame, columns: list[str], hot_sample
             yield pa.record_batch(out)
 
     schema = T.StructType([pulses.schema[c] for c in (*SCAN, "pulse")]).add("col", "integer").add("length", "integer").add("values", T.ArrayType(T.IntegerType()))
-    runs = pulses.join(lead, SCAN).select(*SCAN, "pulse", *columns, "_skip").mapInArrow(found, schema)
-    return runs.withColumn("run_no", F.row_number().over(Window.partitionBy(*SCAN).orderBy("pulse", "col")) - 1)
+    return pulses.join(lead, SCAN).select(*SCAN, "pulse", *columns, "_skip").mapInArrow(found, schema)
 
 
 def run_values(runs: DataFrame) -> DataFrame:

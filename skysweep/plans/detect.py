@@ -153,18 +153,30 @@ def cell_stats(pulses: DataFrame, params: FindParams, scans: DataFrame | None =
     return stored(stats.select(*E.SCAN, "cell_row", "mean", "dev"))  # the only ordered step: one row per row of cells and scan
 
 
-def runs_of(pulses: DataFrame, scans: DataFrame, params: FindParams, stages: Stages | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """Runs with patch_id and values, of patches of more than one sample. Samples stay in arrays: only hot runs become rows. stats: those of cell_stats, unless others are given."""
-    stats = cell_stats(pulses, params, scans) if stats is None else stats
-    if any((stages or {}).get(x) for x in ("scores", "classes")):
+def hot_runs_of(pulses: DataFrame, scans: DataFrame, params: FindParams, stages: Stages | None, stats: DataFrame, number: bool = True) -> DataFrame:
+    """Runs of hot samples with values. Samples stay in arrays: only hot runs become rows."""
+    if between_scores_and_runs(stages):
         scored = staged(B.score_samples(_denoised(pulses, params), stats, params.cell_size), stages, "scores")
-        found = E.classified_runs(staged(B.classify_pulses(scored, params.hot_score, params.low_score), stages, "classes"), scans)
-    else:
-        found = E.scored_runs(B.with_cell_stats(_denoised(pulses, params), stats, params.cell_size), scans, params.cell_size, params.hot_score, params.low_score)
-    runs = stored(found)  # read again for adjacency, samples and perimeter; a small part of the samples
+        return E.classified_runs(staged(B.classify_pulses(scored, params.hot_score, params.low_score), stages, "classes"), scans, number)
+    return E.scored_runs(B.with_cell_stats(_denoised(pulses, params), stats, params.cell_size), scans, params.cell_size, params.hot_score, params.low_score, number)
+
+
+def between_scores_and_runs(stages: Stages | None) -> bool:
+    """Whether functions of the user get scores or classes."""
+    return any((stages or {}).get(x) for x in ("scores", "classes"))
+
+
+def patched(runs: DataFrame, scans: DataFrame, params: FindParams) -> DataFrame:
+    """Numbered runs with patch_id, of patches of more than one sample."""
+    runs = stored(runs)  # read again for adjacency, samples and perimeter; a small part of the samples
     return stored(E.drop_singletons(E.find_patches(runs, E.run_adjacency(runs, scans, params.diagonal))))
 
 
+def runs_of(pulses: DataFrame, scans: DataFrame, params: FindParams, stages: Stages | None = None) -> DataFrame:
+    """Runs with patch_id and values, of patches of more than one sample."""
+    return patched(hot_runs_of(pulses, scans, params, stages, cell_stats(pulses, params, scans)), scans, params)
+
+
 def measured(runs: DataFrame, scans: DataFrame, area_weighting: bool = False) -> DataFrame:
     """Statistics of the patches of runs (with values)."""
     geometry = pulse_table(scans).select(*E.SCAN, "pulse", "azi", "elev")
@@ -196,7 +208,7 @@ def detected(pulses: DataFrame, scans: DataFrame, params: Params, zones: DataFra
     if params.find.exclude_blips:
         from skysweep.plans.coupled import coupled_runs
 
-        if any((stages or {}).get(x) for x in ("scores", "classes")):
+        if between_scores_and_runs(stages):
             raise ValueError("scores and classes are not tables with feedback by folds: set in_rounds, or exclude_blips to false")
         runs = stored(coupled_runs(pulses, scans, params, zones, clutter))  # read again for samples, adjacency and perimeter
         flags = runs.groupBy(*S.PATCH).agg(F.first("is_blip").alias("is_blip"))

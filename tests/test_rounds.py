@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_coupled import LEARN, SHAPE, made, reshaped, tables, zone_table
 
+from skysweep.functions.stored import stored
+from skysweep.operators import background as B
+from skysweep.plans import rounds as rounds_module
 from skysweep.plans.detect import Params, detect, detected
 from skysweep.plans.rounds import detected_in_rounds
 
@@ -67,3 +70,37 @@ def test_functions_between_the_stages(spark):
     quiet = {"scores": [lambda p: p.withColumn("scores", F.expr("transform(scores, (x, i) -> if(i < 10, 0, x))"))], "classes": [lambda p: p.withColumn("classes", F.expr("transform(classes, x -> if(scan_id = 5, 0, x))"))]}
     runs = detected(pulses, scans, params, stages=quiet)[1].collect()
     assert runs and all(r.col >= 10 and r.scan_id != 5 for r in runs)
+
+
+def test_statistics_of_rows_that_come_from_a_join_on_the_keys(spark):
+    """AQE may make a broadcast join of one by shuffles: the rows of a sequence must still meet in one fold."""
+    pulses, _ = tables(spark, np.concatenate([made(3), made(4)]))
+    sequence = [*B.RUN, "cell_row"]
+    cells = stored(B.cell_row_stats(pulses.unionByName(pulses.withColumn("run_id", F.col("run_id") + 1))).repartition(6, "scan_id"))
+    want = sorted(map(tuple, B.ewma_cell_stats(cells, LEARN, absent=True).collect()))
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.openCostInBytes": "128m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # each file is a map task
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        got = B.ewma_cell_stats(cells.join(cells.select(*sequence).distinct(), sequence, "left_semi"), LEARN, absent=True)
+        assert sorted(map(tuple, got.collect())) == want and want
+    finally:
+        for k in names:
+            spark.conf.unset(k)
+
+
+def test_a_round_does_only_what_has_changed(spark, monkeypatch):
+    """Scans whose runs of hot samples stay are not measured again, and only rows of cells whose statistics are others are scored again."""
+    rng = np.random.default_rng(5)
+    data = np.where(rng.random((10, *SHAPE)) < 0.5, 95, 105)
+    for i in range(4, 10):
+        data[i, 4:8, 8:12] += 700
+    scored, measured = [], []
+    hot, filters = rounds_module.D.hot_runs_of, rounds_module.D.filtered
+    monkeypatch.setattr(rounds_module.D, "hot_runs_of", lambda pulses, scans, find, stages, stats, **k: scored.append(stats.count()) or hot(pulses, scans, find, stages, stats, **k))
+    monkeypatch.setattr(rounds_module.D, "filtered", lambda runs, scans, *a: measured.append(scans.count()) or filters(runs, scans, *a))
+    rounds, blips = both(spark, *tables(spark, data), {"find": {"learn_scans": LEARN}, "blip": WIDE})
+    rows = SHAPE[0] // 4
+    assert blips == set(range(4, 10)) and rounds[0] == 7 and len(rounds) > 1
+    assert scored == [7 * rows, *rounds[1:]]  # of the rows of cells, one has other statistics
+    assert measured == [10] and len(measured) < len(scored)
