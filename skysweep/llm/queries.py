@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,14 @@ def held_out(n: int, remainder: int) -> str:
 
 
 def surrogate_key(spark: SparkSession) -> str:
-    """The setting spark.skysweep.surrogateKey. Sessions on one machine (tests) may go without and get a key that is no secret; others must set it."""
+    """The setting spark.skysweep.surrogateKey. Without it, sessions on one machine (tests) get a key that is no secret, and an application on a cluster a random one, which it draws once and
+    which no other knows: surrogates then agree within the application only."""
     key = spark.conf.get("spark.skysweep.surrogateKey", None)
-    if key is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.skysweep.surrogateKey to a secret key")
-    return key or "no secret: set spark.skysweep.surrogateKey"
+    if key:
+        return key
+    if spark.sparkContext.master.startswith("local"):
+        return "no secret: set spark.skysweep.surrogateKey"
+    return vars(spark.sparkContext).setdefault("_skysweep_surrogate_key", secrets.token_hex(32))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skysweep.llm import embdup, language, mixing, neardup, packing, pii, substrings, topk, toxicity, warc
+from skysweep.llm import embdup, language, mixing, neardup, packing, pii, queries, substrings, topk, toxicity, warc
 from skysweep.llm.common import aside
 
 # --- language ID ---
@@ -200,6 +200,35 @@ def test_one_person_has_one_name(spark):
     assert "hunter" not in got[5] and "bbb" not in got[6] + got[7] and not got[7].endswith("Zed")
 
 
+@pytest.fixture()
+def cluster(spark, monkeypatch):
+    """The session as if its master were another machine."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    yield spark
+    vars(spark.sparkContext).pop("_skysweep_surrogate_key", None)
+
+
+def test_pipeline_replaces_entities_on_a_cluster_without_a_key(cluster):
+    """Stage 3 runs with a key of the application's own: the same in each run, not the one that sessions on one machine have, and not in the plan; a key that is set holds."""
+    docs = cluster.createDataFrame([(0, "Write to anna@web.org or +1 415 555 0123."), (1, "anna@web.org is gone"), (2, "plain"), (3, None)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["pii"]
+    changed = stage(cluster, docs, "")
+    got = {r.doc_id: r.text for r in changed.collect()}
+    assert "anna" not in got[0] + got[1] and "555" not in got[0] and got[0].split()[2] == got[1].split()[0] and (got[2], got[3]) == ("plain", None)
+    assert got == {r.doc_id: r.text for r in stage(cluster, docs, "").collect()}
+    key = queries.surrogate_key(cluster)
+    assert len(key) == 64 and key not in changed._jdf.queryExecution().toString()
+    public = {r.doc_id: r.text for r in pii.replace_entities(docs, "no secret: set spark.skysweep.surrogateKey", count=None).collect()}
+    assert got[0] != public[0] and got[1] != public[1]
+    cluster.conf.set("spark.skysweep.surrogateKey", "k")
+    try:
+        assert queries.surrogate_key(cluster) == "k"
+        cluster.conf.set("spark.skysweep.surrogateKey", "")
+        assert queries.surrogate_key(cluster) == key
+    finally:
+        cluster.conf.unset("spark.skysweep.surrogateKey")
+
+
 def test_substitutions_at_the_end_of_a_word():
     """Digits and signs stand for letters before and behind letters, in runs of any length; a word's plain reading counts as well."""
     found = toxicity.Lexicon({" hate ": 2.0, " ass ": 3.0, " dog ": 1.0, " fooi ": 5.0, " sss": 4.0}).automaton()
