@@ -229,6 +229,15 @@ def test_pipeline_replaces_entities_on_a_cluster_without_a_key(cluster):
         cluster.conf.unset("spark.skysweep.surrogateKey")
 
 
+def test_op10_finds_the_same_entities_on_a_cluster_without_a_key(cluster):
+    """op10 runs over whole tables under another machine's name, and replaces what it replaces with any other key."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in queries.QUERIES["op10_pii"](cluster, sf).collect()}
+    want = {r.doc_id: r for r in pii.replace_entities(cluster.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "k").collect()}
+    assert {i: r.n_entities for i, r in got.items()} == {i: r.n_entities for i, r in want.items()} and len(got) == 200
+    assert all((r.text == want[i].text) == (r.n_entities == 0) for i, r in got.items()) and any(r.n_entities for r in got.values())
+
+
 def test_substitutions_at_the_end_of_a_word():
     """Digits and signs stand for letters before and behind letters, in runs of any length; a word's plain reading counts as well."""
     found = toxicity.Lexicon({" hate ": 2.0, " ass ": 3.0, " dog ": 1.0, " fooi ": 5.0, " sss": 4.0}).automaton()
